@@ -90,11 +90,13 @@ def sliced(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BY
 
 
 class Words(NamedTuple):
-    """The words `[^\\x20\\x09-\\x0D]+` of some texts: their bytes without gaps, n + 1 offsets, each text's first word (texts + 1)."""
+    """The words `[^\\x20\\x09-\\x0D]+` of some texts: their bytes without gaps, n + 1 offsets, each text's first word (texts + 1),
+    and where each word starts in the texts."""
 
     raw: np.ndarray
     off: np.ndarray
     first: np.ndarray
+    at: np.ndarray
 
     def encoded(self) -> tuple[np.ndarray, pa.StringArray]:
         """An id for each word, and the distinct words by id."""
@@ -120,7 +122,7 @@ def words(raw: np.ndarray, off: np.ndarray) -> Words:
     ends = np.flatnonzero(inside & (~after | edge[1:])) + 1
     out = np.zeros(len(starts) + 1, np.int64)
     np.cumsum(ends - starts, out=out[1:])
-    return Words(raw[inside], out, np.searchsorted(starts, off))
+    return Words(raw[inside], out, np.searchsorted(starts, off), starts)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
