@@ -188,3 +188,39 @@ def joined_words(raw: np.ndarray, off: np.ndarray) -> Joined:
     np.cumsum(size + inner, out=at[1:])
     spaced = np.where(inside, raw, np.uint8(0x20))[keep]
     return Joined(spaced, at[:-1], at[:-1] + size, first)
+
+
+def _plain(digits: bool) -> np.ndarray:
+    table = LOWER.copy()
+    for b in range(128):
+        if not (48 <= b < 58 or 97 <= table[b] < 123):
+            table[b] = 0x20
+        elif digits and 48 <= b < 58:
+            table[b] = 48
+    return table
+
+
+#: Byte tables of normalized(): without and with digits made equal.
+PLAIN = (_plain(False), _plain(True))
+
+
+def normalized(raw: np.ndarray, off: np.ndarray, digits: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Texts in lower-case A-Z, each run of ASCII signs and white space a single space, none at the ends; with `digits`, every
+    digit is 0. Bytes and offsets."""
+    out = PLAIN[digits][raw]
+    space = out == 0x20
+    before = np.ones(len(raw), bool)
+    before[1:] = space[:-1]
+    edge = off[:-1][off[:-1] < len(raw)]
+    before[edge] = True
+    keep = ~space | ~before
+    # a space that is left at a text's end goes too
+    size = np.r_[0, np.cumsum(keep)]
+    ends = off[1:][np.diff(off) > 0] - 1
+    place = np.maximum.accumulate(np.where(keep, np.arange(len(raw)), -1)) if len(raw) else np.zeros(0, np.int64)
+    last = place[ends]
+    inside = (last >= off[:-1][np.diff(off) > 0]) & (last >= 0)
+    last = last[inside]
+    keep[last[space[last]]] = False
+    size = np.r_[0, np.cumsum(keep)]
+    return out[keep], size[off].astype(np.int64)

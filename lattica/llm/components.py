@@ -63,3 +63,30 @@ def local_forest(a, b):
             parent = up
     moved = np.flatnonzero(parent != np.arange(len(nodes)))
     return nodes[moved], nodes[parent[moved]]
+
+
+def spanning_edges(a, b):
+    """Some of the given edges that make a forest with the same components."""
+    import numpy as np
+
+    nodes, inverse = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = inverse[: len(a)], inverse[len(a) :]
+    parent, picked = np.arange(len(nodes)), []
+    while len(x):
+        px, py = parent[x], parent[y]
+        open_ = np.flatnonzero(px != py)
+        if not len(open_):
+            break
+        low, high = np.minimum(px[open_], py[open_]), np.maximum(px[open_], py[open_])
+        best = parent.copy()
+        np.minimum.at(best, high, low)
+        used = best[high] == low
+        _, first = np.unique(high[used], return_index=True)
+        picked.append(open_[used][first])
+        parent = best
+        while not np.array_equal(up := parent[parent], parent):
+            parent = up
+    if not picked:
+        return a[:0], b[:0]
+    at = np.concatenate(picked)
+    return a[at], b[at]

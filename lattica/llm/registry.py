@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.llm import brown, chat, repetition, simhash, toxicity, urlfilter, warc
+from lattica.llm import brown, chat, decontam, lines, repetition, simhash, toxicity, urlfilter, warc
 
 #: The rules that op1_url_filter applies.
 URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
@@ -27,6 +27,16 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.filter_urls(pages, listed, URL_RULES)
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of each document, as a digest, and the numbers of the lines that went."""
+    out = lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", F.size("removed").alias("n_removed"), "removed", F.md5("text").alias("text_md5"))
+
+
 def op5_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.repetition(table(spark, sf_dir, "documents"))
 
@@ -55,6 +65,8 @@ def op10_brown(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
+    "op2_decontamination": op2_decontamination,
+    "op3_line_dedup": op3_line_dedup,
     "op5_repetition": op5_repetition,
     "op6_warc": op6_warc,
     "op7_simhash": op7_simhash,

@@ -10,12 +10,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lattica.llm.buckets import dealt, meet
 from lattica.llm.common import LOWER, buffers, checked_broadcast, joined_words, majority, materialize, sliced
 from lattica.llm.components import connected_components, local_forest
 
-#: Rows of a bucket's table that are compared with its probes at once; a fuller bucket is dealt out in parts of this size.
-BUCKET_ROWS = 4096
-
 
 def fingerprints(texts: pa.Array, shingle: int = 4, seed: int = 42) -> np.ndarray:
     """Signed 64-bit SimHash of each text: lower-case A-Z, words `[^\\x20\\x09-\\x0D]+`, runs of `shingle` words with repeats, joined
@@ -79,60 +77,17 @@ def _probes(fps: DataFrame, max_distance: int) -> DataFrame:
     return fps.select("fp").mapInArrow(run, "bucket bigint, fp bigint, probe boolean")
 
 
-def _dealt(rows: DataFrame) -> DataFrame:
-    """Rows (key, fp, probe): a bucket with over BUCKET_ROWS table rows becomes several, with a share of the table rows and all
-    the probes in each, table rows among them. Keys that collide only add comparisons."""
-    full = rows.where("not probe").groupBy("bucket").count().where(F.col("count") > BUCKET_ROWS)
-    full = materialize(full.select(F.col("bucket").alias("full"), F.ceil(F.col("count") / BUCKET_ROWS).cast("int").alias("parts")), "full")
-    if full.isEmpty():
-        return rows.withColumnRenamed("bucket", "key")
-    both = rows.join(checked_broadcast(full), F.col("bucket") == F.col("full"), "left")
-    keyed = both.select(F.coalesce("parts", F.lit(1)).alias("parts"), "bucket", "fp", "probe")
-    own = keyed.where("not probe").select(F.when(F.col("parts") == 1, F.col("bucket")).otherwise(F.xxhash64("bucket", F.pmod(F.xxhash64("fp"), "parts"))).alias("key"), "fp", "probe")
-    every = keyed.where("probe or parts > 1").select("bucket", "fp", "parts", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    return own.union(every.select(F.when(F.col("parts") == 1, F.col("bucket")).otherwise(F.xxhash64("bucket", F.col("part").cast("bigint"))).alias("key"), "fp", F.lit(True)))
-
-
 def _links(max_distance: int):
-    """A function for mapInArrow that reads rows sorted by (key, probe) and returns a forest of the links in each run of buckets."""
-
-    def found(key: np.ndarray, fp: np.ndarray, probe: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        new = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-        size = np.diff(np.r_[new, len(key)])
-        table = np.add.reduceat((~probe).astype(np.int64), new)
-        begin = np.repeat(new, size)
-        many = np.minimum(np.arange(len(key)) - begin, np.repeat(table, size))  # table rows of its bucket that stand before a row
-        sums = np.cumsum(many)
-        left, right, at = [], [], 0
-        while at < len(key):
-            end = max(at + 1, int(np.searchsorted(sums, (sums[at - 1] if at else 0) + 4_000_000, "right")))
-            m = many[at:end]
-            x = np.repeat(np.arange(at, end), m)
-            y = np.repeat(begin[at:end] - (np.cumsum(m) - m), m) + np.arange(m.sum())
-            near = np.bitwise_count((fp[x] ^ fp[y]).view(np.uint64)) <= max_distance
-            a, b = local_forest(fp[x[near]], fp[y[near]])
-            left.append(a)
-            right.append(b)
-            at = end
-        return local_forest(np.concatenate(left), np.concatenate(right))
+    """A function for mapInArrow over dealt rows (key, probe, fp): a forest of the links in each run of buckets."""
+
+    def near(columns: list[np.ndarray], x: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
+        (fp,) = columns
+        hit = np.bitwise_count((fp[x] ^ fp[y]).view(np.uint64)) <= max_distance
+        return list(local_forest(fp[x[hit]], fp[y[hit]]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[np.ndarray]] = []
-
-        def flush() -> pa.RecordBatch:
-            key, fp, probe = (np.concatenate(x) for x in zip(*held))
-            a, b = found(key, fp, probe)
-            last = (key == key[-1]) & ~probe  # the table rows that later rows of the last bucket still have to meet
-            held[:] = [[key[last], fp[last], probe[last]]]
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
-
-        for batch in batches:
-            if batch.num_rows:
-                held.append([batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)])
-            if sum(len(r[0]) for r in held) >= 200_000:
-                yield flush()
-        if sum(len(r[0]) for r in held):
-            yield flush()
+        for a, b in meet(batches, near, local_forest):
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
     return run
 
@@ -141,8 +96,7 @@ def fingerprint_classes(fps: DataFrame, max_distance: int = 4) -> DataFrame:
     """Columns fp, component_id: for each fingerprint of fps (columns doc_id, fp) the least doc_id that it reaches over links of
     at most max_distance differing bits. Equal fingerprints are one node, so that copies make no pairs."""
     reps = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "reps")
-    rows = _dealt(_probes(reps, max_distance))
-    links = rows.repartition("key").sortWithinPartitions("key", "probe").mapInArrow(_links(max_distance), "a bigint, b bigint")
+    links = dealt(_probes(reps, max_distance), ["fp"]).mapInArrow(_links(max_distance), "a bigint, b bigint")
     parts = connected_components(links)
     least = parts.join(reps, F.col("node") == F.col("fp")).groupBy("root").agg(F.min("least").alias("component_id"))
     linked = parts.join(least.withColumnRenamed("root", "top"), F.col("root") == F.col("top")).select("node", "component_id")
