@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.llm import brown, chat, decontam, lines, repetition, simhash, toxicity, urlfilter, warc
+from lattica.llm import brown, chat, decontam, lines, pieces, repetition, simhash, toxicity, urlfilter, warc
 
 #: The rules that op1_url_filter applies.
 URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
+#: The SentencePiece model that op4_sentencepiece and the pipeline use.
+MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 #: What conversation -1 says in both of its turns.
 CONTROL_TEXT = "</s>[INST] ok [/INST]"
 
@@ -37,6 +39,10 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", F.size("removed").alias("n_removed"), "removed", F.md5("text").alias("text_md5"))
 
 
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.with_tokens(table(spark, sf_dir, "documents"), MODEL_PATH)
+
+
 def op5_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.repetition(table(spark, sf_dir, "documents"))
 
@@ -67,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_decontamination": op2_decontamination,
     "op3_line_dedup": op3_line_dedup,
+    "op4_sentencepiece": op4_sentencepiece,
     "op5_repetition": op5_repetition,
     "op6_warc": op6_warc,
     "op7_simhash": op7_simhash,
