@@ -25,8 +25,9 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the least doc_id of each group of near copies."""
-    return simhash.drop_near_duplicates(docs, max_distance=4, shingle=4)
+    """The document of the least doc_id of each group of near copies: fingerprints of five-word shingles within seven bits, verified by
+    a Jaccard similarity of 0.8."""
+    return simhash.drop_near_duplicates(docs, max_distance=7, shingle=5, min_similarity=0.8)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lattica.llm.common import checked_broadcast, materialize
@@ -17,12 +17,24 @@ BUCKET_ROWS = 4096
 PAIRS, ROWS = 4_000_000, 200_000
 
 
-def dealt(rows: DataFrame, columns: list[str]) -> DataFrame:
+def full_buckets(rows: DataFrame, bucket: Column, total: int, label: str = "full") -> DataFrame:
+    """bucket and parts of the buckets with over BUCKET_ROWS rows. Buckets are first counted in cells of some thousand rows, which
+    partial aggregation keeps small; only those of cells that hold more are counted one by one."""
+    cells = max(1, total // 1024)
+    cell = F.pmod(bucket, F.lit(cells).cast("bigint"))
+    crowded = materialize(rows.groupBy(cell.alias("crowded")).count().where(F.col("count") > BUCKET_ROWS).select("crowded"), label + "-cells")
+    if crowded.isEmpty():
+        return crowded.select(F.col("crowded").alias("full"), F.lit(1).alias("parts"))
+    inside = rows.select(bucket.alias("full")).withColumn("cell", F.pmod("full", F.lit(cells).cast("bigint"))).join(checked_broadcast(crowded), F.col("cell") == F.col("crowded"), "left_semi")
+    counted = inside.groupBy("full").count().where(F.col("count") > BUCKET_ROWS)
+    return materialize(counted.select("full", F.ceil(F.col("count") / BUCKET_ROWS).cast("int").alias("parts")), label)
+
+
+def dealt(rows: DataFrame, columns: list[str], total: int) -> DataFrame:
     """Rows (bucket, probe, columns) with a key instead of a bucket, sorted by (key, probe). A bucket with over BUCKET_ROWS table
     rows (not probe) becomes several keys, each with a share of the table rows and all the probes; the table rows are probes of
-    the other parts. Keys that collide only add comparisons."""
-    full = rows.where("not probe").groupBy("bucket").count().where(F.col("count") > BUCKET_ROWS)
-    full = materialize(full.select(F.col("bucket").alias("full"), F.ceil(F.col("count") / BUCKET_ROWS).cast("int").alias("parts")), "full")
+    the other parts. Keys that collide only add comparisons. total: how many table rows there are, about."""
+    full = full_buckets(rows.where("not probe"), F.col("bucket"), total)
     if full.isEmpty():
         keyed = rows.select(F.col("bucket").alias("key"), "probe", *columns)
     else:
@@ -36,8 +48,8 @@ def dealt(rows: DataFrame, columns: list[str]) -> DataFrame:
     return keyed.repartition("key").sortWithinPartitions("key", "probe")
 
 
-def meet(batches: Iterator[pa.RecordBatch], found: Callable[[list[np.ndarray], np.ndarray, np.ndarray], list[np.ndarray]], merge: Callable[..., list[np.ndarray]] | None = None) -> Iterator[list[np.ndarray]]:
-    """Over rows as dealt() sorts them: found(columns, x, y) for blocks of pairs of row numbers, where y is a table row that stands
+def meet(batches: Iterator[list[np.ndarray]], found: Callable[[list[np.ndarray], np.ndarray, np.ndarray], list[np.ndarray]], merge: Callable[..., list[np.ndarray]] | None = None) -> Iterator[list[np.ndarray]]:
+    """Over batches of the columns key, probe and others, sorted as dealt() sorts them: found(columns, x, y) for blocks of pairs of row numbers, where y is a table row that stands
     before x in its bucket. Yields the arrays that found returns, joined (and merged) over ROWS rows."""
     held: list[list[np.ndarray]] = []
 
@@ -63,9 +75,14 @@ def meet(batches: Iterator[pa.RecordBatch], found: Callable[[list[np.ndarray], n
         return merge(*joined) if merge else joined
 
     for batch in batches:
-        if batch.num_rows:
-            held.append([batch.column(i).to_numpy(zero_copy_only=False) for i in range(batch.num_columns)])
+        if len(batch[0]):
+            held.append(batch)
         if sum(len(r[0]) for r in held) >= ROWS:
             yield flush()
     if sum(len(r[0]) for r in held):
         yield flush()
+
+
+def arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    for b in batches:
+        yield [b.column(i).to_numpy(zero_copy_only=False) for i in range(b.num_columns)]

@@ -103,7 +103,7 @@ class Index:
                 e, m = int(self.budget[i]), int(self.size[i])
                 start, stop = b * (e + 1), (b + 2) * (e + 1) + m
                 first = max(0, int(np.searchsorted(off, start, "right")) - 1)
-                for doc in range(first, int(np.searchsorted(off, stop, "left"))):
+                for doc in range(first, min(len(off) - 1, int(np.searchsorted(off, stop, "left")))):
                     s, t = max(start, int(off[doc])), min(stop, int(off[doc + 1]))
                     if t - s < m - e or (doc, i) in seen:
                         continue
@@ -147,8 +147,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, id_col: str
             for b in sliced(batches, "text"):
                 items, far = b.column("items").to_pylist(), b.column("distances").to_pylist()
                 for doc, item, d in zip(*(x.tolist() for x in index.search(b.column("text")))):
-                    items[doc].append(item)
-                    far[doc].append(d)
+                    if item in items[doc]:  # items may share an id
+                        k = items[doc].index(item)
+                        far[doc][k] = min(far[doc][k], d)
+                    else:
+                        items[doc].append(item)
+                        far[doc].append(d)
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text"), pa.array(items, pa.list_(pa.int64())), pa.array(far, pa.list_(pa.int64()))], ["doc_id", "text", "items", "distances"])
 
         out = out.mapInArrow(run, kind)

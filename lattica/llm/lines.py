@@ -8,14 +8,17 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.buckets import dealt, meet
+from lattica.llm.buckets import dealt, full_buckets, meet
 from lattica.llm.common import buffers, checked_broadcast, majority, materialize, mix, normalized, sliced
-from lattica.llm.components import connected_components, spanning_edges
+from lattica.llm.components import spanning_edges
+from lattica.llm.settle import settle
 
 MAX_DISTANCE, MIN_SIMILARITY = 3, 0.8
+#: Bytes of the runs that fingerprints are made of. Long lines of one language share most shorter runs, whatever they say.
+GRAM = 5
 #: Borders of the five blocks of a fingerprint. Three bits that differ lie in three blocks at most, so that two lines which are
 #: linked agree in two blocks at least: one of ten pairs of blocks, 25 or 26 bits, is their bucket.
 CUTS = (0, 13, 26, 39, 52, 64)
@@ -36,19 +39,18 @@ def split_lines(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def fingerprints(data: np.ndarray, off: np.ndarray) -> np.ndarray:
-    """SimHash over the byte trigrams of each line (shorter lines: all their bytes)."""
-    size = np.diff(off)
-    padded = np.r_[data, np.zeros(2, np.uint8)].astype(np.uint64)
-    gram = padded[:-2] | (padded[1:-1] << np.uint64(8)) | (padded[2:] << np.uint64(16))
-    short = np.flatnonzero((size > 0) & (size < 3))
-    for i in short:
-        gram[off[i]] = int.from_bytes(data[off[i] : off[i + 1]].tobytes(), "little") | 1 << 32
-    keep = np.ones(len(data), bool)
-    for k in (1, 2):
-        ends = off[1:] - k
-        keep[ends[(size >= k) & (ends > off[:-1])]] = False
-    count = np.where(size > 0, np.maximum(size - 2, 1), 0)
-    return majority(mix(gram[keep] + np.uint64(0x9E3779B97F4A7C15)), np.r_[0, np.cumsum(count)]).view(np.int64)
+    """SimHash over the runs of GRAM bytes of each line (shorter lines: all their bytes)."""
+    n, size = len(data), np.diff(off)
+    if not n:
+        return np.zeros(len(size), np.int64)
+    gram = np.ndarray((n,), "<u8", buffer=np.r_[data, np.zeros(8, np.uint8)].tobytes(), strides=(1,)) & np.uint64((1 << 8 * GRAM) - 1)
+    count = np.where(size > 0, np.maximum(size - GRAM + 1, 1), 0)
+    first = np.r_[0, np.cumsum(count)]
+    at = np.arange(first[-1]) + np.repeat(off[:-1] - first[:-1], count)
+    value = gram[at]
+    short = np.flatnonzero((size > 0) & (size < GRAM))
+    value[first[short]] = [int.from_bytes(data[off[i] : off[i + 1]].tobytes(), "little") | 1 << 63 for i in short.tolist()]
+    return majority(mix(value + np.uint64(0x9E3779B97F4A7C15)), first).view(np.int64)
 
 
 def with_row_key(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -71,29 +73,52 @@ def line_table(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "row_key bigint, doc_id bigint, line int, h1 bigint, h2 bigint, fp bigint")
 
 
-def _buckets(reps: DataFrame) -> DataFrame:
-    """A row for each distinct line (columns id, fp, label) and pair of blocks."""
-    keys = [F.xxhash64(F.lit(k), F.col("fp").bitwiseAND(F.lit(m if m < 1 << 63 else m - (1 << 64)).cast("bigint"))) for k, m in enumerate(MASKS)]
-    return reps.select(F.explode(F.array(*keys)).alias("bucket"), F.lit(False).alias("probe"), "id", "fp", "label")
+def _mask(table: Column) -> Column:
+    """The bits of a fingerprint that a pair of blocks has."""
+    return F.element_at(F.array(*(F.lit(m if m < 1 << 63 else m - (1 << 64)).cast("bigint") for m in MASKS)), table.cast("int") + 1)
 
 
-def _links(max_distance: int, forest: bool):
-    """Candidate links between lines of different labels: a forest of them, or each one once."""
+def candidates(reps: DataFrame, max_distance: int, forest: bool) -> DataFrame:
+    """Links (a, b) between distinct lines (columns id, fp, and label if not forest) of other fingerprints: a forest of them, or all
+    between lines of different labels. Each line comes once for every pair of blocks, and rows that agree in these stand together;
+    a pair that agrees in several is met in each but counts in the first."""
+    columns = ["id", "fp"] + ([] if forest else ["label"])
+    rows = reps.select(*columns, F.explode(F.array(*(F.lit(k).cast("tinyint") for k in range(len(MASKS))))).alias("t"))
+    own = F.col("fp").bitwiseAND(_mask(F.col("t")))
+    total = reps.count() * len(MASKS)
+    full = full_buckets(rows, F.xxhash64("t", own), total)
+    masks = np.array(MASKS, np.uint64).view(np.int64)
 
     def near(columns: list[np.ndarray], x: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
-        ident, fp, label = columns
-        hit = (np.bitwise_count((fp[x] ^ fp[y]).view(np.uint64)) <= max_distance) & (label[x] != label[y])
-        a, b = ident[x[hit]], ident[y[hit]]
-        if forest:
-            return list(spanning_edges(a, b))
-        pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
-        return [pairs[:, 0], pairs[:, 1]]
+        ident, fp, t = columns[:3]
+        other = fp[x] ^ fp[y]
+        hit = np.bitwise_count(other.view(np.uint64)) <= max_distance
+        if not forest:
+            hit &= columns[3][x] != columns[3][y]
+        x, y, other = x[hit], y[hit], other[hit]
+        first = np.full(len(x), len(masks))
+        for k in range(len(masks) - 1, -1, -1):
+            first[(other & masks[k]) == 0] = k
+        mine = first == t[x]
+        a, b = ident[x[mine]], ident[y[mine]]
+        return list(spanning_edges(a, b)) if forest else [a, b]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for a, b in meet(batches, near, spanning_edges if forest else None):
+        def unpack() -> Iterator[list[np.ndarray]]:
+            for b in batches:
+                get = lambda c: b.column(c).to_numpy(zero_copy_only=False)
+                t = get("t").astype(np.int64)
+                key = get("key") if "key" in b.schema.names else mix((get("fp") & masks[t]).view(np.uint64) + t.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+                yield [key, get("probe") if "probe" in b.schema.names else np.zeros(len(t), bool), get("id"), get("fp"), t, *([] if forest else [get("label")])]
+
+        for a, b in meet(unpack(), near, spanning_edges if forest else None):
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
-    return run
+    if full.isEmpty():  # the bucket is a part of the row, and needs no column of its own
+        sorted_rows = rows.repartition(F.col("t"), own).sortWithinPartitions(F.col("t"), own)
+    else:
+        sorted_rows = dealt(rows.select(F.xxhash64("t", own).alias("bucket"), F.lit(False).alias("probe"), *columns, "t"), [*columns, "t"], total)
+    return sorted_rows.mapInArrow(run, "a bigint, b bigint")
 
 
 def _verified(links: DataFrame, texts: DataFrame, min_similarity: float) -> DataFrame:
@@ -125,32 +150,18 @@ def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                     out.append(data[at[i] : at[i + 1]].tobytes().decode("utf-8", "replace"))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.string())], ["id", "line_text"])
 
-    return materialize(rows.mapInArrow(run, "id bigint, line_text string").dropDuplicates(["id"]), "line-texts")
+    # rows that share doc_id and text give the same lines, of which one is enough
+    return rows.mapInArrow(run, "id bigint, line_text string").dropDuplicates(["id"])
 
 
 def groups(reps: DataFrame, docs: DataFrame, max_distance: int = MAX_DISTANCE, min_similarity: float = MIN_SIMILARITY) -> DataFrame:
-    """node, root for the distinct lines that are linked with others: within max_distance bits and min_similarity in edits.
-
-    First a forest of the candidate links is verified, which settles groups whose lines are all alike with as many checks as lines.
-    Where a check fails, the candidates between what is not yet connected are all verified, so that no link is lost."""
-    own = reps.select("id", "fp", F.col("id").alias("label"))
-    kind = "a bigint, b bigint"
-    candidates = materialize(dealt(_buckets(own), ["id", "fp", "label"]).mapInArrow(_links(max_distance, True), kind), "candidates")
-    rough = connected_components(candidates)
-    nodes = materialize(rough, "nodes")
-    texts = _texts(docs, reps.join(nodes, F.col("id") == F.col("node"), "left_semi").select("id", F.col("first.row_key").alias("row_key"), F.col("first.line").alias("line")))
-    checked = materialize(_verified(candidates.distinct(), texts, min_similarity), "checked")
-    good = checked.where("ok").select("a", "b")
-    failed = checked.where("not ok").select(F.explode(F.array("a", "b")).alias("bad")).join(nodes, F.col("bad") == F.col("node")).select(F.col("root").alias("open_root")).distinct()
-    failed = materialize(failed, "open")
-    if failed.isEmpty():
-        return connected_components(good)
-    now = connected_components(good).select(F.col("node").alias("n"), F.col("root").alias("label"))
-    still = nodes.join(failed, F.col("root") == F.col("open_root"), "left_semi").select("node")
-    again = reps.join(still, F.col("id") == F.col("node"), "left_semi").join(now, F.col("id") == F.col("n"), "left").select("id", "fp", F.coalesce("label", "id").alias("label"))
-    more = materialize(dealt(_buckets(again), ["id", "fp", "label"]).mapInArrow(_links(max_distance, False), kind).distinct(), "more")
-    more = _verified(more, texts, min_similarity).where("ok").select("a", "b")
-    return connected_components(good.union(more))
+    """node, root for the distinct lines that are linked with others: within max_distance bits and min_similarity in edits."""
+
+    def verify(links: DataFrame, named: DataFrame) -> DataFrame:
+        wanted = reps.join(named, "id", "left_semi").select("id", F.col("first.row_key").alias("row_key"), F.col("first.line").alias("line"))
+        return _verified(links, _texts(docs, wanted), min_similarity)
+
+    return settle(reps, lambda nodes, forest: candidates(nodes, max_distance, forest), verify)
 
 
 def removed_lines(docs: DataFrame, max_distance: int = MAX_DISTANCE, min_similarity: float = MIN_SIMILARITY) -> DataFrame:
@@ -159,11 +170,15 @@ def removed_lines(docs: DataFrame, max_distance: int = MAX_DISTANCE, min_similar
     lines = materialize(line_table(docs), "lines")
     first = F.min(F.struct("doc_id", "row_key", "line")).alias("first")
     reps = materialize(lines.groupBy("h1", "h2").agg(first, F.min("fp").alias("fp")).select(F.xxhash64("h1", "h2").alias("id"), "fp", "first"), "reps")
-    found = groups(reps, docs, max_distance, min_similarity)
-    joined = reps.join(found, F.col("id") == F.col("node"), "left").select(F.coalesce("root", "id").alias("group"), "first")
-    kept = joined.groupBy("group").agg(F.min("first").alias("first")).select(F.col("first.row_key").alias("k"), F.col("first.line").alias("l"))
-    gone = lines.select("row_key", "line").distinct().join(kept, (F.col("row_key") == F.col("k")) & (F.col("line") == F.col("l")), "left_anti")
-    return materialize(gone.groupBy("row_key").agg(F.array_sort(F.collect_list("line")).alias("removed")), "removed")
+    found = materialize(groups(reps, docs, max_distance, min_similarity), "groups")
+    # what goes: all but the first occurrence of a line, and the first ones of those that have a like one before them
+    member = reps.join(found, F.col("id") == F.col("node")).select("root", "first")
+    best = member.groupBy("root").agg(F.min("first").alias("best")).withColumnRenamed("root", "r")
+    later = member.join(best, F.col("root") == F.col("r")).where("first <> best").select("first.row_key", "first.line")
+    firsts = reps.select(F.col("first.row_key").alias("k"), F.col("first.line").alias("l"))
+    repeats = lines.select("row_key", "line").join(firsts, (F.col("row_key") == F.col("k")) & (F.col("line") == F.col("l")), "left_anti")
+    gone = repeats.union(later).groupBy("row_key").agg(F.array_sort(F.collect_set("line")).alias("removed"))
+    return materialize(gone, "removed")
 
 
 def dedup_lines(docs: DataFrame, max_distance: int = MAX_DISTANCE, min_similarity: float = MIN_SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -10,17 +10,18 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.buckets import dealt, meet
+from lattica.llm.buckets import arrays, dealt, meet
 from lattica.llm.common import LOWER, buffers, checked_broadcast, joined_words, majority, materialize, sliced
-from lattica.llm.components import connected_components, local_forest
+from lattica.llm.components import connected_components, local_forest, spanning_edges
+from lattica.llm.settle import settle
 
 
-def fingerprints(texts: pa.Array, shingle: int = 4, seed: int = 42) -> np.ndarray:
-    """Signed 64-bit SimHash of each text: lower-case A-Z, words `[^\\x20\\x09-\\x0D]+`, runs of `shingle` words with repeats, joined
-    by spaces (fewer words: all of them), XXH64 of each; a bit is 1 if set in over half of the hashes. Null and wordless texts give 0."""
+def shingles(texts: pa.Array, shingle: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the shingles of all texts, joined, and where each text's begin: lower-case A-Z, words `[^\\x20\\x09-\\x0D]+`, runs of
+    `shingle` words with repeats, joined by spaces (fewer words: all of them), XXH64 of each."""
     raw, off = buffers(texts)
     if not len(raw):
-        return np.zeros(len(texts), np.int64)
+        return np.zeros(0, np.uint64), np.zeros(len(texts) + 1, np.int64)
     t = joined_words(LOWER[raw], off)
     n = np.diff(t.first)
     count = np.where(n > 0, np.maximum(n - shingle + 1, 1), 0)
@@ -29,8 +30,12 @@ def fingerprints(texts: pa.Array, shingle: int = 4, seed: int = 42) -> np.ndarra
     begin = np.repeat(t.first[:-1] - first[:-1], count) + np.arange(first[-1])
     last = np.minimum(begin + shingle, np.repeat(t.first[1:], count)) - 1
     text, one = t.raw.tobytes(), xxhash.xxh64_intdigest
-    hashes = np.fromiter((one(text[s:e], seed) for s, e in zip(t.start[begin].tolist(), t.end[last].tolist())), np.uint64, len(begin))
-    return majority(hashes, first).view(np.int64)
+    return np.fromiter((one(text[s:e], seed) for s, e in zip(t.start[begin].tolist(), t.end[last].tolist())), np.uint64, len(begin)), first
+
+
+def fingerprints(texts: pa.Array, shingle: int = 4, seed: int = 42) -> np.ndarray:
+    """Signed 64-bit SimHash of each text: a bit is 1 if set in over half of the hashes of its shingles. Null and wordless texts give 0."""
+    return majority(*shingles(texts, shingle, seed)).view(np.int64)
 
 
 def with_fingerprints(docs: DataFrame, shingle: int = 4, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -77,30 +82,78 @@ def _probes(fps: DataFrame, max_distance: int) -> DataFrame:
     return fps.select("fp").mapInArrow(run, "bucket bigint, fp bigint, probe boolean")
 
 
-def _links(max_distance: int):
-    """A function for mapInArrow over dealt rows (key, probe, fp): a forest of the links in each run of buckets."""
+def _near(columns: list[np.ndarray], x: np.ndarray, y: np.ndarray, max_distance: int) -> np.ndarray:
+    return np.bitwise_count((columns[0][x] ^ columns[0][y]).view(np.uint64)) <= max_distance
 
-    def near(columns: list[np.ndarray], x: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
-        (fp,) = columns
-        hit = np.bitwise_count((fp[x] ^ fp[y]).view(np.uint64)) <= max_distance
-        return list(local_forest(fp[x[hit]], fp[y[hit]]))
+
+def links(fps: DataFrame, max_distance: int, how: str = "star") -> DataFrame:
+    """Links (a, b) between fingerprints (column fp, each once) of at most max_distance bits, as tasks find them: a forest that links
+    each fingerprint with the least one it reaches (star) or along links found (tree), or all of them between fingerprints of
+    different `label` (all)."""
+    columns = ["fp", "label"] if how == "all" else ["fp"]
+    rows = _probes(fps, max_distance)
+    if how == "all":
+        rows = rows.join(fps.select(F.col("fp").alias("own"), "label"), F.col("fp") == F.col("own")).drop("own")
+    merge = {"star": local_forest, "tree": spanning_edges, "all": None}[how]
+
+    def found(columns: list[np.ndarray], x: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
+        hit = _near(columns, x, y, max_distance)
+        if how == "all":
+            hit &= columns[1][x] != columns[1][y]
+        a, b = columns[0][x[hit]], columns[0][y[hit]]
+        return list(merge(a, b)) if merge else [np.minimum(a, b), np.maximum(a, b)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for a, b in meet(batches, near, local_forest):
+        for a, b in meet(arrays(batches), found, merge):
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
-    return run
+    return dealt(rows, columns, fps.count() * len(segments(max_distance))).mapInArrow(run, "a bigint, b bigint")
+
+
+def shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
+    """key and the set of shingle hashes (array of bigint) of each row of docs (columns key, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in sliced(batches, "text"):
+            hashes, first = shingles(b.column("text"), shingle, 42)
+            sets = [np.unique(hashes[s:e]).view(np.int64) for s, e in zip(first[:-1], first[1:])]
+            yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(sets, pa.list_(pa.int64()))], ["key", "shingles"])
+
+    return docs.select("key", "text").mapInArrow(run, "key bigint, shingles array<bigint>")
+
+
+def similar_classes(docs: DataFrame, fps: DataFrame, max_distance: int, min_similarity: float, shingle: int) -> DataFrame:
+    """fingerprint_classes() over links that are verified: the texts' sets of shingles have a Jaccard similarity of at least
+    min_similarity. A fingerprint stands for the text of its least doc_id; one without any doc_id is linked with none."""
+    reps = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("least")).select(F.col("fp").alias("id"), "fp", "least"), "reps")
+
+    def search(nodes: DataFrame, forest: bool) -> DataFrame:
+        return links(nodes, max_distance, "tree" if forest else "all")
+
+    def verify(found: DataFrame, named: DataFrame) -> DataFrame:
+        wanted = materialize(reps.join(named, "id", "left_semi").select("fp", F.col("least").alias("wanted")).where("wanted is not null"), "wanted")
+        texts = docs.join(checked_broadcast(wanted), F.col("doc_id") == F.col("wanted")).select(F.col("fp").alias("key"), "text")
+        sets = shingle_sets(texts, shingle).dropDuplicates(["key"])
+        both = found.join(sets.select(F.col("key").alias("a"), F.col("shingles").alias("s")), "a").join(sets.select(F.col("key").alias("b"), F.col("shingles").alias("t")), "b")
+        shared = F.size(F.array_intersect("s", "t"))
+        return both.select("a", "b", (shared >= min_similarity * (F.size("s") + F.size("t") - shared) - 1e-9).alias("ok"))
+
+    return _classes(reps, settle(reps, search, verify))
+
+
+def _classes(reps: DataFrame, parts: DataFrame) -> DataFrame:
+    """fp, component_id, from the representatives (fp, least) and the components (node, root) of those that have links."""
+    parts = materialize(parts, "components")
+    least = parts.join(reps, F.col("node") == F.col("fp")).groupBy("root").agg(F.min("least").alias("component_id"))
+    linked = parts.join(least.withColumnRenamed("root", "top"), F.col("root") == F.col("top")).select("node", "component_id")
+    return reps.join(linked, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
 
 
 def fingerprint_classes(fps: DataFrame, max_distance: int = 4) -> DataFrame:
     """Columns fp, component_id: for each fingerprint of fps (columns doc_id, fp) the least doc_id that it reaches over links of
     at most max_distance differing bits. Equal fingerprints are one node, so that copies make no pairs."""
     reps = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "reps")
-    links = dealt(_probes(reps, max_distance), ["fp"]).mapInArrow(_links(max_distance), "a bigint, b bigint")
-    parts = connected_components(links)
-    least = parts.join(reps, F.col("node") == F.col("fp")).groupBy("root").agg(F.min("least").alias("component_id"))
-    linked = parts.join(least.withColumnRenamed("root", "top"), F.col("root") == F.col("top")).select("node", "component_id")
-    return reps.join(linked, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
+    return _classes(reps, connected_components(links(reps, max_distance)))
 
 
 def near_duplicates(docs: DataFrame, max_distance: int = 4, shingle: int = 4, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -116,9 +169,13 @@ def near_duplicates(docs: DataFrame, max_distance: int = 4, shingle: int = 4, se
     return joined.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, max_distance: int = 4, shingle: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the rows whose component has a lesser doc_id; all columns stay. Rows without doc_id stay, rows that repeat a
-    doc_id count as one document."""
-    found = near_duplicates(docs, max_distance, shingle, id_col=id_col, text_col=text_col)
-    gone = materialize(found.where("component_id < doc_id").select(F.col("doc_id").alias("__gone")).distinct(), "gone")
+def drop_near_duplicates(docs: DataFrame, max_distance: int = 7, shingle: int = 5, min_similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs without the rows that are near copies of one with a lesser doc_id; all columns stay. Near copies are linked: their
+    fingerprints differ in at most max_distance bits and their sets of shingles have a Jaccard similarity of at least
+    min_similarity. Rows without doc_id stay, rows that repeat a doc_id count as one document."""
+    own = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    fps = materialize(with_fingerprints(own, shingle), "fingerprints")
+    classes = similar_classes(own, fps, max_distance, min_similarity, shingle).withColumnRenamed("fp", "key")
+    found = fps.join(classes, F.col("fp") == F.col("key")).where("component_id < doc_id")
+    gone = materialize(found.select(F.col("doc_id").alias("__gone")).distinct(), "gone")
     return docs.join(checked_broadcast(gone), F.col(id_col).cast("bigint") == F.col("__gone"), "left_anti")

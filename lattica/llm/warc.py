@@ -50,7 +50,8 @@ def write_warc(pages: DataFrame, path: str, min_bytes: int = 0, level: int = 4,
     largest page_id are response records and the others revisit records that refer to it; rows with shorter payloads are all
     response records. A row without page_id is written with an empty one, and never referred to. A task writes to a name of its
     own attempt and renames the file at its end, so that a repeated task leaves one whole file."""
-    spark = pages.sparkSession
+    where = pages.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(pages.sparkSession.sparkContext._jsc.hadoopConfiguration()).mkdirs(where)
     rows = pages.select(F.col(id_col).cast("bigint").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(payload_col).cast("string"), F.lit("")).alias("html"))
     rows = rows.withColumn("sha", F.unhex(F.sha1(F.col("html").cast("binary"))))
     same = rows.where(F.octet_length("html") >= min_bytes).groupBy("sha").agg(F.max("page_id").alias("first_id"), F.count("*").alias("n"))

@@ -119,8 +119,8 @@ def distance(a, b):
 
 def line_fp(s):
     b = s.encode()
-    grams = [b[i : i + 3] for i in range(len(b) - 2)] or [b]
-    values = np.array([int.from_bytes(g, "little") | (0 if len(g) == 3 else 1 << 32) for g in grams], np.uint64)
+    grams = [b[i : i + 5] for i in range(len(b) - 4)] or [b]
+    values = np.array([int.from_bytes(g, "little") | (0 if len(g) == 5 else 1 << 63) for g in grams], np.uint64)
     h = [int(x) for x in lines.mix(values + np.uint64(0x9E3779B97F4A7C15))]
     return sum(1 << k for k in range(64) if 2 * sum(x >> k & 1 for x in h) > len(h))
 
@@ -235,3 +235,26 @@ def test_leaks_of_tables(spark, monkeypatch):
         got = decontam.leaks(docs, bench).collect()
         assert {r.doc_id: list(r["items"]) for r in got if r.contaminated} == want and len(got) == len(rows)
         assert decontam.drop_contaminated(docs, bench).count() == len(rows) - len(want)
+
+
+@pytest.mark.parametrize("rows", [4096, 5])
+def test_verified_near_duplicates(spark, rows, monkeypatch):
+    monkeypatch.setattr(buckets, "BUCKET_ROWS", rows)
+    rng = random.Random(8)
+    vocabulary = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(400)]
+    texts = []
+    for _ in range(12):
+        base = [rng.choice(vocabulary) for _ in range(rng.choice([4, 30, 120, 400]))]
+        for _ in range(rng.randint(1, 9)):
+            w = list(base)
+            for _ in range(rng.randint(0, 1 + len(w) // 60)):
+                w[rng.randrange(len(w))] = rng.choice(vocabulary)
+            texts.append(" ".join(w))
+    fps = [fingerprint(t, 5) for t in texts]
+    words = [t.split(" ") for t in texts]
+    sets = [{" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in words]
+    near = [(i, j) for i, j in combinations(range(len(texts)), 2) if fps[i] == fps[j] or ((fps[i] ^ fps[j]).bit_count() <= 7 and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]))]
+    want = classes(len(texts), near)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = sorted(r.doc_id for r in simhash.drop_near_duplicates(docs).collect())
+    assert got == sorted(set(want)) and len(near) > 20
