@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 import xxhash
 
-from lattica.llm import buckets, decontam, lines, simhash
+from lattica.llm import buckets, components, decontam, lines, simhash
 from lattica.llm.components import connected_components, local_forest, spanning_edges
 
 SMALL = "/root/testdata/sf0.001"
@@ -80,7 +80,9 @@ def test_near_duplicates(spark):
     assert sorted(map(tuple, got)) == sorted((d.doc_id, f"{f:016x}", least[c]) for d, f, c in zip(docs, fps, want))
 
 
-def test_components(spark):
+@pytest.mark.parametrize("most", [1_000_000, 0])
+def test_components(spark, most, monkeypatch):
+    monkeypatch.setattr(components, "ONE_TASK", most)
     rng = random.Random(2)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(i, i + 1) for i in range(1000, 1200)] + [(7, 7), (3, None)]
     got = dict(connected_components(spark.createDataFrame(edges, "a bigint, b bigint")).collect())
