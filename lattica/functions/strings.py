@@ -81,11 +81,11 @@ def phrase_length(s: Column) -> Column:
 
 def char_to_integer(c: Column) -> Column:
     """The code point of the first character."""
-    return F.conv(F.hex(F.encode(F.substring(c, 1, 1), "UTF-32BE")), 16, 10).cast("int")
+    return F.conv(F.hex(F.encode(F.substring(c, 1, 1), "UTF-32")), 16, 10).cast("int")
 
 
 def integer_to_char(n: Column) -> Column:
-    return F.decode(F.unhex(F.lpad(F.hex(n.cast("bigint")), 8, "0")), "UTF-32BE")
+    return F.decode(F.unhex(F.lpad(F.hex(n.cast("bigint")), 8, "0")), "UTF-32")
 
 
 def capitalize(s: Column) -> Column:
