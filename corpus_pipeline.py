@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.llm import decontam, lines, pieces, registry, simhash, toxicity
+from lattica.llm import decontam, jaccard, lines, pieces, registry, toxicity
 from lattica.llm.common import materialize
 
 
@@ -25,9 +25,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the least doc_id of each group of near copies: fingerprints of five-word shingles within seven bits, verified by
-    a Jaccard similarity of 0.8."""
-    return simhash.drop_near_duplicates(docs, max_distance=7, shingle=5, min_similarity=0.8)
+    """The document of the least doc_id of each group of near copies: sets of five-word shingles with a Jaccard similarity of 0.8."""
+    return jaccard.drop_similar(docs, shingle=5, min_similarity=0.8)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
