@@ -68,3 +68,12 @@ def test_empty_and_null(spark):
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
     got = corpus_pipeline.near_dedup(spark, docs, "").collect()
     assert sorted((r.doc_id or 0, r.text or "") for r in got) == [(0, ""), (0, "x y z"), (2, "a b c d e f"), (2, "x y z"), (4, "")]
+
+
+def test_equal_fingerprints(spark):
+    """A repeated word makes the fingerprint, the rest of the text differs."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    texts = ["spam " * 200 + " ".join(word() for _ in range(60)) for _ in range(12)]
+    assert len({fingerprint(t, 5) for t in texts}) == 1 and kept(texts)[1] == []
+    assert near_dedup(spark, [*texts, *texts]) == list(range(12))
