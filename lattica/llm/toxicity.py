@@ -84,9 +84,10 @@ def language_model(docs: DataFrame) -> np.ndarray:
     return np.log10(p).ravel()
 
 
-def restore(word: str, model: np.ndarray) -> str:
+def restore(word: str, model: np.ndarray, spaced: bool = False) -> str:
     """The most probable plain word behind a lower-case word: each character stands for itself, for a letter that it looks like,
-    for nothing (put between letters), or for the same letter said again."""
+    for nothing (put between letters), or for the same letter said again. With `spaced`, a word may end before any character, and
+    what is returned are words with spaces between."""
     states: dict[tuple[int, int, int], tuple[float, str]] = {(EDGE, EDGE, EDGE): (0.0, "")}
     back: list[tuple] = []
     for i, c in enumerate(word):
@@ -100,6 +101,11 @@ def restore(word: str, model: np.ndarray) -> str:
             if c in BETWEEN:
                 options.append(("", BETWEEN_COST))
         again = i > 0 and word[i - 1] == c
+        if spaced and i:  # the words that end here all go on from one state
+            ends = [(cost + model[((s[0] * SYMBOLS + s[1]) * SYMBOLS + s[2]) * SYMBOLS + EDGE], s, node) for s, (cost, node) in states.items() if s[2] != EDGE]
+            if ends:
+                cost, _, node = max(ends, key=lambda x: x[:2])
+                states = {**states, (EDGE, EDGE, EDGE): (cost, (node, " "))}
         after: dict[tuple[int, int, int], tuple] = {}
         for state, (cost, node) in states.items():
             for x, price in [*options, *([("", AGAIN_COST)] if again else [])]:
@@ -139,9 +145,31 @@ def suspicious(vocab: pa.Array) -> np.ndarray:
 _restored: dict[str, str] = {}
 
 
-def restored_tokens(texts: pa.Array, model: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+def split_words(plain: pa.Array, ids: np.ndarray, doc: np.ndarray, known: list[str]) -> tuple[np.ndarray, list[str]]:
+    """The words of `known` that two or more successive words of a text make when joined: texts and words."""
+    begins = pa.array(sorted({x[:k] for x in known for k in range(1, len(x))}), pa.string())
+    inside = pa.array(sorted({x[i:j] for x in known for i in range(1, len(x)) for j in range(i + 1, len(x) + 1)}), pa.string())
+    whole = pa.array(known, pa.string())
+    starts, goes_on = (pc.is_in(plain, value_set=v).to_numpy(zero_copy_only=False) for v in (begins, inside))
+    at = np.flatnonzero(starts[ids[:-1]] & goes_on[ids[1:]] & (doc[:-1] == doc[1:]))
+    so_far, owners, out = plain.take(pa.array(ids[at])), [], []
+    while len(at):
+        so_far = pc.binary_join_element_wise(so_far, plain.take(pa.array(ids[at + 1])), "")
+        hit = pc.is_in(so_far, value_set=whole)
+        owners.append(doc[at][hit.to_numpy(zero_copy_only=False)])
+        out += so_far.filter(hit).to_pylist()
+        at = at + 1
+        last = at + 1 >= len(ids)
+        after = np.minimum(at + 1, len(ids) - 1)
+        more = ~last & pc.is_in(so_far, value_set=begins).to_numpy(zero_copy_only=False) & goes_on[ids[after]] & (doc[after] == doc[at])
+        at, so_far = at[more], so_far.filter(pa.array(more))
+    return np.concatenate(owners) if owners else np.zeros(0, np.int64), out
+
+
+def restored_tokens(texts: pa.Array, model: np.ndarray, known: list[str] | None = None) -> tuple[np.ndarray, pa.Array]:
     """Pairs (text, token) without repeats, as an index and a token each: all words with their punctuation trimmed, suspicious ones
-    restored, and each run of three or more words of one character read as one word (and without its first one or two)."""
+    restored, each run of three or more words of one character read as words wherever these end (and as one word, and without its
+    first one or two), and the words of `known` that are split by spaces."""
     raw, off = buffers(texts)
     w = words(LOWER[raw] if len(raw) else raw, off)
     ids, vocab = w.encoded()
@@ -170,12 +198,21 @@ def restored_tokens(texts: pa.Array, model: np.ndarray) -> tuple[np.ndarray, pa.
             for skip in range(min(3, len(run) - 2)):
                 extra_doc.append(doc[run[0]])
                 extra.append(restore("".join(chars[skip:]), model))
+            found = restore("".join(chars), model, spaced=True).split(" ")
+            extra_doc += [doc[run[0]]] * len(found)
+            extra += found
+    if known and len(ids) > 1:
+        owners, found = split_words(plain.cast(pa.string()), ids, doc, known)
+        extra_doc += owners.tolist()
+        extra += found
     token, names = plain.dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64), plain.dictionary_encode().dictionary
     pairs = np.unique(doc * max(1, len(names)) + token[ids]) if len(ids) else np.zeros(0, np.int64)
     owner, own = pairs // max(1, len(names)), pairs % max(1, len(names))
     if extra:
-        names = pa.concat_arrays([names.cast(pa.string()), pa.array(extra, pa.string())])
-        owner, own = np.r_[owner, extra_doc].astype(np.int64), np.r_[own, len(names) - len(extra) + np.arange(len(extra))]
+        both = pa.concat_arrays([names.cast(pa.string()), pa.array(extra, pa.string())]).dictionary_encode()
+        code, names = both.indices.to_numpy(zero_copy_only=False).astype(np.int64), both.dictionary
+        pairs = np.unique(np.r_[owner, extra_doc].astype(np.int64) * len(names) + code[np.r_[own, len(code) - len(extra) + np.arange(len(extra))]])
+        owner, own = pairs // len(names), pairs % len(names)
     return np.stack([owner, own]), names.cast(pa.string())
 
 
@@ -196,7 +233,7 @@ class Model:
 
     def evidence(self, texts: pa.Array) -> np.ndarray:
         """The sum over a text's different tokens of the weight of each one's strongest feature."""
-        (owner, token), names = restored_tokens(texts, self.language)
+        (owner, token), names = restored_tokens(texts, self.language, [x[2:] for x in self.lexicon if x.startswith("w:")])
         out = np.zeros(len(texts))
         if not len(owner) or not self.lexicon:
             return out
