@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.common import LOWER, buffers, materialize, release, sliced, words
+from lattica.llm.common import LOWER, arrow_map, buffers, materialize, release, sliced, words
 
 #: A word is clustered if it makes up this share of the training tokens at least, so that 1 / SHARE words are at most, however
 #: large the corpus. All other words are one more class, in which each has its own emission probability.
@@ -42,7 +42,7 @@ def word_counts(texts: DataFrame) -> DataFrame:
             _, ids, vocab = tokens(b.column("text"))
             yield pa.RecordBatch.from_arrays([vocab.cast(pa.string()), pa.array(np.bincount(ids, minlength=len(vocab)))], ["word", "n"])
 
-    return texts.select("text").mapInArrow(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    return texts.select("text").transform(arrow_map, run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def clustered_ids(ids: np.ndarray, vocab: pa.Array, clustered: pa.Array) -> np.ndarray:
@@ -69,7 +69,7 @@ def bigram_counts(texts: DataFrame, clustered: list[str]) -> DataFrame:
             pairs, n = np.unique(np.r_[END, after[:-1]] * wide + after, return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(pairs // wide), pa.array(pairs % wide), pa.array(n)], ["a", "b", "n"])
 
-    return texts.select("text").mapInArrow(run, "a bigint, b bigint, n bigint").groupBy("a", "b").agg(F.sum("n").alias("n"))
+    return texts.select("text").transform(arrow_map, run, "a bigint, b bigint, n bigint").groupBy("a", "b").agg(F.sum("n").alias("n"))
 
 
 def _f(x: np.ndarray) -> np.ndarray:
@@ -130,7 +130,7 @@ def classes_of(bigrams: DataFrame, size: int, classes: int, sweeps: int) -> np.n
         order = np.lexsort((b, a))
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(size)), pa.array(exchange(a[order], b[order], n[order], size, classes, sweeps))], ["id", "class"])
 
-    rows = bigrams.select("a", "b", "n").coalesce(1).mapInArrow(run, "id bigint, class bigint").collect()
+    rows = bigrams.select("a", "b", "n").coalesce(1).transform(arrow_map, run, "id bigint, class bigint").collect()
     cls = np.zeros(size, np.int64)
     for r in rows:
         cls[r["id"]] = r["class"]
@@ -250,7 +250,7 @@ def score(docs: DataFrame, mod: int = 7, rest: int = 2, share: float = SHARE, cl
         if meta:
             yield done()
 
-    emitted = own.mapInArrow(emit, "block bigint, word string, refs binary, i bigint, doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base double, model double, n_rare bigint")
+    emitted = own.transform(arrow_map, emit, "block bigint, word string, refs binary, i bigint, doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base double, model double, n_rare bigint")
     rare_counts = counts.where(F.col("n") < max(1.0, share * n_train)).select(F.col("word").alias("w"), "n")
     joined = emitted.join(rare_counts, F.col("word") == F.col("w"), "left").where("n is not null or n_tokens is not null").drop("word", "w")
-    return joined.repartition("block").sortWithinPartitions("block").mapInArrow(gather, SCORED)
+    return joined.repartition("block").sortWithinPartitions("block").transform(arrow_map, gather, SCORED)

@@ -13,8 +13,8 @@ from lattica.llm.common import checked_broadcast, materialize
 
 #: Table rows of a bucket that one task holds; a fuller bucket is dealt out in parts of this size.
 BUCKET_ROWS = 4096
-#: Pairs that are looked at together, and rows that are read before they are.
-PAIRS, ROWS = 4_000_000, 200_000
+#: Pairs that are looked at together, and rows (or their bytes) that are read before they are.
+PAIRS, ROWS, HELD = 1_000_000, 200_000, 32 << 20
 
 
 def full_buckets(rows: DataFrame, bucket: Column, total: int, label: str = "full") -> DataFrame:
@@ -48,10 +48,12 @@ def dealt(rows: DataFrame, columns: list[str], total: int) -> DataFrame:
     return keyed.repartition("key").sortWithinPartitions("key", "probe")
 
 
-def meet(batches: Iterator[list[np.ndarray]], found: Callable[[list[np.ndarray], np.ndarray, np.ndarray], list[np.ndarray]], merge: Callable[..., list[np.ndarray]] | None = None) -> Iterator[list[np.ndarray]]:
+def meet(batches: Iterator[list[np.ndarray]], found: Callable[[list[np.ndarray], np.ndarray, np.ndarray], list[np.ndarray]], merge: Callable[..., list[np.ndarray]] | None = None, weigh: Callable[[list[np.ndarray]], int] = lambda rows: 0) -> Iterator[list[np.ndarray]]:
     """Over batches of the columns key, probe and others, sorted as dealt() sorts them: found(columns, x, y) for blocks of pairs of row numbers, where y is a table row that stands
-    before x in its bucket. Yields the arrays that found returns, joined (and merged) over ROWS rows."""
+    before x in its bucket. Yields the arrays that found returns, joined (and merged) over ROWS rows, or over HELD bytes as `weigh` has
+    them of a batch."""
     held: list[list[np.ndarray]] = []
+    weight = 0
 
     def flush() -> list[np.ndarray]:
         key, probe, *columns = (np.concatenate(x) for x in zip(*held))
@@ -77,8 +79,10 @@ def meet(batches: Iterator[list[np.ndarray]], found: Callable[[list[np.ndarray],
     for batch in batches:
         if len(batch[0]):
             held.append(batch)
-        if sum(len(r[0]) for r in held) >= ROWS:
+            weight += weigh(batch)
+        if sum(len(r[0]) for r in held) >= ROWS or weight >= HELD:
             yield flush()
+            weight = 0
     if sum(len(r[0]) for r in held):
         yield flush()
 

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -22,7 +24,7 @@ SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 #: Text bytes that the numpy kernels take at once; a longer text is taken alone, whole.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 _own: list[str] = []
 
@@ -59,6 +61,31 @@ def release(df: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A name that no column of df has (in any case of letters)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def _give_back() -> None:
+    """Freed memory goes back to the system: Python workers are kept between stages and would else stay as large as they ever were."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has malloc_trim
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def arrow_map(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """df.mapInArrow(run, schema), whose workers give freed memory back when a task ends."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        _give_back()
+
+    return df.mapInArrow(whole, schema)
+
+
 def checked_broadcast(df: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
     """df with a broadcast hint if it has at most max_rows rows of a few numbers each (some 16 MB), else df as it is,
     which joins by shuffling. df must be cheap to count, such as a materialized table."""
@@ -136,25 +163,29 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def majority(h: np.ndarray, first: np.ndarray) -> np.ndarray:
+def majority(h: np.ndarray, first: np.ndarray, weight: np.ndarray | None = None, most: int = 1) -> np.ndarray:
     """For each group first[i]:first[i+1] of hashes, the 64-bit word whose bit is 1 where over half of the hashes have it; empty groups give 0.
+    With a weight from 1 to `most` for each hash, it is over half of the group's weight.
 
-    Eight bits are counted at a time in the byte lanes of a 64-bit word, over runs of at most 255 hashes."""
+    Eight bits are counted at a time in the byte lanes of a 64-bit word, over runs of hashes that weigh at most 255."""
     sizes = np.diff(first)
     out = np.zeros(len(sizes), np.uint64)
     full = np.flatnonzero(sizes)
     if not len(full):
         return out
-    runs = -(-sizes[full] // 255)
+    longest = 255 // most
+    runs = -(-sizes[full] // longest)
     head = np.zeros(len(full), np.int64)
     np.cumsum(runs[:-1], out=head[1:])
-    starts = np.repeat(first[full], runs) + 255 * (np.arange(runs.sum()) - np.repeat(head, runs))
+    starts = np.repeat(first[full], runs) + longest * (np.arange(runs.sum()) - np.repeat(head, runs))
+    whole = sizes[full] if weight is None else np.add.reduceat(weight.astype(np.int64), first[full])
     lanes = np.uint64(0x0101010101010101)
     got = np.zeros(len(full), np.uint64)
     for k in range(8):
-        counts = np.add.reduceat((h >> np.uint64(k)) & lanes, starts)
+        lane_of = (h >> np.uint64(k)) & lanes
+        counts = np.add.reduceat(lane_of if weight is None else lane_of * weight, starts)
         total = np.add.reduceat(counts.view(np.uint8).reshape(-1, 8).astype(np.int64), head, axis=0)
-        over = 2 * total > sizes[full][:, None]
+        over = 2 * total > whole[:, None]
         for lane in range(8):
             got |= over[:, lane].astype(np.uint64) << np.uint64(8 * lane + k)
     out[full] = got
@@ -190,24 +221,14 @@ def joined_words(raw: np.ndarray, off: np.ndarray) -> Joined:
     return Joined(spaced, at[:-1], at[:-1] + size, first)
 
 
-def _plain(digits: bool) -> np.ndarray:
-    table = LOWER.copy()
-    for b in range(128):
-        if not (48 <= b < 58 or 97 <= table[b] < 123):
-            table[b] = 0x20
-        elif digits and 48 <= b < 58:
-            table[b] = 48
-    return table
-
-
-#: Byte tables of normalized(): without and with digits made equal.
-PLAIN = (_plain(False), _plain(True))
+#: The byte table of normalized().
+PLAIN = LOWER.copy()
+PLAIN[[b for b in range(128) if not (48 <= b < 58 or 97 <= LOWER[b] < 123)]] = 0x20
 
 
-def normalized(raw: np.ndarray, off: np.ndarray, digits: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """Texts in lower-case A-Z, each run of ASCII signs and white space a single space, none at the ends; with `digits`, every
-    digit is 0. Bytes and offsets."""
-    out = PLAIN[digits][raw]
+def normalized(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Texts in lower-case A-Z, each run of ASCII signs and white space a single space, none at the ends. Bytes and offsets."""
+    out = PLAIN[raw]
     space = out == 0x20
     before = np.ones(len(raw), bool)
     before[1:] = space[:-1]

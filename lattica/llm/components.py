@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.common import materialize, release
+from lattica.llm.common import arrow_map, materialize, release
 
 #: Edges that one task may hold.
 ONE_TASK = 1_000_000
@@ -47,7 +47,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
                 top = np.unique(roots)
                 yield pa.RecordBatch.from_arrays([pa.array(np.r_[nodes, top]), pa.array(np.r_[roots, top])], ["node", "root"])
 
-        return now.coalesce(1).mapInArrow(run, "node bigint, root bigint")
+        return now.coalesce(1).transform(arrow_map, run, "node bigint, root bigint")
     mark = None
     for _ in range(max_rounds):
         n, total = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.common import buffers, normalized, sliced
+from lattica.llm.common import arrow_map, buffers, normalized, sliced
 
 Q, RATE = 8, 0.1
 #: Benchmark bytes that are searched for in one pass over the documents. A larger benchmark takes several passes, so that what a
@@ -161,7 +161,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, id_col: str
                         far[doc].append(d)
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text"), pa.array(items, pa.list_(pa.int64())), pa.array(far, pa.list_(pa.int64()))], ["doc_id", "text", "items", "distances"])
 
-        out = out.mapInArrow(run, kind)
+        out = out.transform(arrow_map, run, kind)
     pairs = F.array_sort(F.arrays_zip("items", "distances"))
     out = out.select("doc_id", F.when(F.size("items") == 0, F.arrays_zip("items", "distances")).otherwise(pairs).alias("pairs"))
     return out.select("doc_id", (F.size("pairs") > 0).alias("contaminated"), F.transform("pairs", lambda p: p["items"]).alias("items"), F.transform("pairs", lambda p: p["distances"]).alias("distances"))
@@ -178,5 +178,5 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = RATE,
                 clean[index.search(b.column(text_col))[0]] = False
                 yield b.filter(pa.array(clean))
 
-        out = out.mapInArrow(run, schema)
+        out = out.transform(arrow_map, run, schema)
     return out

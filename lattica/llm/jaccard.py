@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lattica.llm.buckets import arrays, dealt, meet
-from lattica.llm.common import checked_broadcast, materialize, sliced
+from lattica.llm.common import arrow_map, checked_broadcast, materialize, sliced
 from lattica.llm.components import spanning_edges
 from lattica.llm.settle import settle
 from lattica.llm.simhash import shingles
@@ -53,7 +53,7 @@ def with_sets(docs: DataFrame, shingle: int) -> DataFrame:
             _, begin, names = _sets(b.column("text"), shingle, none, none)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(names), pa.array(np.diff(begin).astype(np.int32))], ["doc_id", "node", "n"])
 
-    return docs.mapInArrow(run, "doc_id bigint, node bigint, n int")
+    return docs.transform(arrow_map, run, "doc_id bigint, node bigint, n int")
 
 
 def _elements(docs: DataFrame, reps: DataFrame, shingle: int, common: np.ndarray, times: np.ndarray, min_similarity: float | None) -> DataFrame:
@@ -73,7 +73,7 @@ def _elements(docs: DataFrame, reps: DataFrame, shingle: int, common: np.ndarray
             at = np.repeat(begin[:-1], many) + place
             yield pa.RecordBatch.from_arrays([pa.array(hashes[at]), pa.array(np.repeat(names, many)), pa.array(np.repeat(size, many).astype(np.int32)), pa.array(place.astype(np.int32))], ["token", "id", "n", "place"])
 
-    return rows.mapInArrow(run, "token bigint, id bigint, n int, place int")
+    return rows.transform(arrow_map, run, "token bigint, id bigint, n int, place int")
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,7 +128,7 @@ def _links(shared: DataFrame, nodes: DataFrame, min_similarity: float, forest: b
         for a, b in meet(arrays(batches), found, spanning_edges if forest else None):
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
-    return dealt(rows, columns, shared.count()).mapInArrow(run, "a bigint, b bigint")
+    return dealt(rows, columns, shared.count()).transform(arrow_map, run, "a bigint, b bigint")
 
 
 def _members(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
@@ -142,7 +142,7 @@ def _members(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
             out = pa.RecordBatch.from_arrays([pa.array(names), pa.ListArray.from_arrays(pa.array(begin.astype(np.int32)), pa.array(hashes))], ["id", "shingles"])
             yield out.filter(pa.array(names == b.column("id").to_numpy(zero_copy_only=False)))
 
-    return rows.mapInArrow(run, "id bigint, shingles array<bigint>").dropDuplicates(["id"])
+    return rows.transform(arrow_map, run, "id bigint, shingles array<bigint>").dropDuplicates(["id"])
 
 
 def drop_similar(docs: DataFrame, shingle: int = 5, min_similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -155,7 +155,7 @@ def drop_similar(docs: DataFrame, shingle: int = 5, min_similarity: float = 0.8,
     known = reps.where("least is not null and n > 0")
     common, times = _common(own, known, shingle)
     prefixes = _elements(own, known, shingle, common, times, min_similarity)
-    shared = materialize(prefixes.repartition("token").sortWithinPartitions("token").mapInArrow(_shared, prefixes.schema), "shared")
+    shared = materialize(prefixes.repartition("token").sortWithinPartitions("token").transform(arrow_map, _shared, prefixes.schema), "shared")
 
     def search(nodes: DataFrame, forest: bool) -> DataFrame:
         return _links(shared, nodes, min_similarity, forest)

@@ -3,26 +3,38 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-
-from lattica.llm.buckets import dealt, full_buckets, meet
-from lattica.llm.common import buffers, checked_broadcast, majority, materialize, mix, normalized, sliced
-from lattica.llm.components import spanning_edges
-from lattica.llm.settle import settle
-
-MAX_DISTANCE, MIN_SIMILARITY = 3, 0.8
-#: Bytes of the runs that fingerprints are made of. Long lines of one language share most shorter runs, whatever they say.
-GRAM = 5
-#: Borders of the five blocks of a fingerprint. Three bits that differ lie in three blocks at most, so that two lines which are
-#: linked agree in two blocks at least: one of ten pairs of blocks, 25 or 26 bits, is their bucket.
-CUTS = (0, 13, 26, 39, 52, 64)
-MASKS = [sum(((1 << (CUTS[i + 1] - CUTS[i])) - 1) << CUTS[i] for i in two) for two in combinations(range(5), 2)]
+from pyspark.sql.types import StringType
+
+from lattica.llm.buckets import PAIRS, arrays, dealt, meet
+from lattica.llm.common import arrow_map, buffers, checked_broadcast, majority, materialize, mix, normalized, release, sliced, unused, words
+from lattica.llm.components import connected_components, spanning_edges
+
+#: Bits of a fingerprint. Of the first 64 bits of two lines that are compared, MAX_DISTANCE differ at most.
+BITS, MAX_DISTANCE, MIN_SIMILARITY = 192, 14, 0.8
+#: A fingerprint is looked up by TABLES blocks of BLOCK bits. The bits are dealt out to the blocks in two orders (every STRIDES-th
+#: bit). The ten blocks of an order don't overlap: lines that differ in nine of its 180 bits or fewer share a block.
+TABLES, BLOCK, STRIDES = 20, 18, (1, 37)
+COLUMNS = [[STRIDES[t // 10] * (BLOCK * (t % 10) + i) % BITS for i in range(BLOCK)] for t in range(TABLES)]
+#: What is kept of a line: its fingerprint, and LENGTH_STEPS times the logarithm of its characters (511 at most).
+SKETCH = np.dtype([("fp", "<u8", BITS // 64), ("length", "<u2")])
+LENGTH_STEPS = 40
+#: Lines of fewer words are made of runs of 3 bytes instead; words of more bytes than LONG count as their runs of 5 bytes.
+FEW, LONG = 8, 24
+#: Weight of a word by its length in bytes: 1 up to 3, then 2.
+WEIGHT = np.array([1 + (n > 3) for n in range(LONG + 1)], np.uint64)
+#: Entries of a part, which one task holds, and lines whose entries are dealt out to the parts together.
+PART, CHUNK = 500_000, 50_000
+#: Entries of one block of bits beyond which it is dealt out in shares (also if 16 times as many as on the mean).
+FULL = 4096
+#: Bits of the filter that tells which lines' texts are wanted: 2 MB, whatever the input.
+FILTER_BITS = 24
 
 
 def split_lines(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -32,25 +44,60 @@ def split_lines(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarra
     owner = np.searchsorted(np.sort(off[:-1]), begin, "right") - 1
     # of the lines that start where an empty text or the next text does, the first ones are empty
     bound = np.r_[begin, len(raw)]
-    data, at = normalized(raw, bound, digits=True)
+    data, at = normalized(raw, bound)
     kind = np.diff(at) > 0
     number = np.arange(len(begin)) - np.searchsorted(owner, owner, "left")
     return owner[kind], number[kind], data, np.r_[at[:-1][kind], at[-1]]
 
 
+def hashes(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The 128-bit hash of each line, as two signed integers."""
+    text, where, one = data.tobytes(), at.tolist(), xxhash.xxh3_128_digest
+    return np.frombuffer(b"".join([one(text[s:e]) for s, e in zip(where[:-1], where[1:])]), "<i8").reshape(-1, 2)
+
+
+def _grams(data: np.ndarray, begin: np.ndarray, end: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the runs of `size` bytes of data[begin:end] (all bytes where there are fewer), and how many each has."""
+    count = np.maximum(end - begin - size + 1, 1)
+    place = np.arange(count.sum()) + np.repeat(begin - (np.cumsum(count) - count), count)
+    eight = np.ndarray((len(data),), "<u8", buffer=np.r_[data, np.zeros(8, np.uint8)].tobytes(), strides=(1,))
+    left = np.minimum(np.repeat(end, count) - place, size).astype(np.uint64)
+    value = eight[place] & ((np.uint64(1) << (left * np.uint64(8))) - np.uint64(1))
+    return mix(value ^ (left << np.uint64(56)) ^ np.uint64(0x9E3779B97F4A7C15)), count
+
+
 def fingerprints(data: np.ndarray, off: np.ndarray) -> np.ndarray:
-    """SimHash over the runs of GRAM bytes of each line (shorter lines: all their bytes)."""
-    n, size = len(data), np.diff(off)
-    if not n:
-        return np.zeros(len(size), np.int64)
-    gram = np.ndarray((n,), "<u8", buffer=np.r_[data, np.zeros(8, np.uint8)].tobytes(), strides=(1,)) & np.uint64((1 << 8 * GRAM) - 1)
-    count = np.where(size > 0, np.maximum(size - GRAM + 1, 1), 0)
-    first = np.r_[0, np.cumsum(count)]
-    at = np.arange(first[-1]) + np.repeat(off[:-1] - first[:-1], count)
-    value = gram[at]
-    short = np.flatnonzero((size > 0) & (size < GRAM))
-    value[first[short]] = [int.from_bytes(data[off[i] : off[i + 1]].tobytes(), "little") | 1 << 63 for i in short.tolist()]
-    return majority(mix(value + np.uint64(0x9E3779B97F4A7C15)), first).view(np.int64)
+    """SimHash of each line, an array of lines x 3 words of 64 bits: over its words, weighted by their length, or its runs of bytes."""
+    n = len(off) - 1
+    if not len(data):
+        return np.zeros((n, BITS // 64), np.uint64)
+    w = words(data, off)
+    ids, vocab = w.encoded()
+    known = np.array([xxhash.xxh3_64_intdigest(x, 1) for x in vocab.cast(pa.binary()).to_pylist()], np.uint64)
+    many = np.diff(w.first)
+    line, size = np.repeat(np.arange(n), many), np.diff(w.off)
+    whole = many >= FEW
+    as_word = whole[line] & (size <= LONG)
+    as_grams = np.flatnonzero(whole[line] & (size > LONG))
+    short = np.flatnonzero(~whole & (many > 0))
+    g, g_count = _grams(data, w.at[as_grams], w.at[as_grams] + size[as_grams], 5)
+    s, s_count = _grams(data, off[short], off[short + 1], 3)
+    h = np.concatenate([known[ids[as_word]] if len(ids) else np.zeros(0, np.uint64), g, s])
+    owner = np.concatenate([line[as_word], np.repeat(line[as_grams], g_count), np.repeat(short, s_count)])
+    weight = np.concatenate([WEIGHT[size[as_word]], np.ones(len(g) + len(s), np.uint64)])
+    order = np.lexsort((h, owner))
+    h, owner, weight = h[order], owner[order], weight[order]
+    new = np.r_[True, (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])]  # what a line says again doesn't count: most lines of a language repeat the same few words
+    h, weight, first = h[new], weight[new], np.searchsorted(owner[new], np.arange(n + 1))
+    return np.stack([majority(mix(h + np.uint64((k + 1) * 0xD1B54A32D192ED03 & (1 << 64) - 1)), first, weight, 2) for k in range(BITS // 64)], 1)
+
+
+def sketches(data: np.ndarray, off: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(off) - 1, SKETCH)
+    out["fp"] = fingerprints(data, off)
+    characters = np.diff(np.r_[0, np.cumsum((data & 0xC0) != 0x80)][off])
+    out["length"] = np.minimum(LENGTH_STEPS * np.log(np.maximum(characters, 1)), 511).astype(np.uint16)
+    return out
 
 
 def with_row_key(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -59,109 +106,317 @@ def with_row_key(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def line_table(docs: DataFrame) -> DataFrame:
-    """row_key, doc_id, line, h1 and h2 (128-bit hash of the normalized line), fp of each line that isn't blank."""
+    """row_key, doc_id, line, h1 and h2 (128-bit hash of the normalized line), sketch of each line that isn't blank."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in sliced(batches, "text"):
             owner, number, data, at = split_lines(*buffers(b.column("text")))
-            text, one = data.tobytes(), xxhash.xxh3_128_digest
-            where = at.tolist()
-            h = np.frombuffer(b"".join([one(text[s:e]) for s, e in zip(where[:-1], where[1:])]), "<i8").reshape(-1, 2)
-            of = pa.array(owner)
-            yield pa.RecordBatch.from_arrays([b.column("row_key").take(of), b.column("doc_id").take(of), pa.array(number.astype(np.int32)), pa.array(h[:, 0].copy()), pa.array(h[:, 1].copy()), pa.array(fingerprints(data, at))], ["row_key", "doc_id", "line", "h1", "h2", "fp"])
-
-    return docs.mapInArrow(run, "row_key bigint, doc_id bigint, line int, h1 bigint, h2 bigint, fp bigint")
+            h, rows, of = hashes(data, at), sketches(data, at), pa.array(owner)
+            packed = pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(np.arange(0, rows.nbytes + 1, SKETCH.itemsize, dtype=np.int32)), pa.py_buffer(rows.tobytes())])
+            yield pa.RecordBatch.from_arrays([b.column("row_key").take(of), b.column("doc_id").take(of), pa.array(number.astype(np.int32)), pa.array(h[:, 0].copy()), pa.array(h[:, 1].copy()), packed], ["row_key", "doc_id", "line", "h1", "h2", "sketch"])
+
+    return docs.transform(arrow_map, run, "row_key bigint, doc_id bigint, line int, h1 bigint, h2 bigint, sketch binary")
+
+
+def block_keys(fp: np.ndarray) -> np.ndarray:
+    """The key of each fingerprint (lines x 3 words) in each table: lines x TABLES, the number of the table before BLOCK bits."""
+    bits = np.unpackbits(np.ascontiguousarray(fp).view(np.uint8).reshape(len(fp), -1), axis=1).T.astype(np.uint32)
+    out = np.empty((len(fp), TABLES), np.uint32)
+    for t, columns in enumerate(COLUMNS):
+        key = np.full(len(fp), t, np.uint32)
+        for c in columns:
+            key = key << np.uint32(1) | bits[c]
+        out[:, t] = key
+    return out
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """id and sketch of CHUNK lines at a time."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        held.append(b)
+        if sum(x.num_rows for x in held) >= CHUNK:
+            yield _ids_and_sketches(held)
+            held = []
+    if sum(x.num_rows for x in held):
+        yield _ids_and_sketches(held)
+
+
+def _ids_and_sketches(held: list[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
+    t = pa.Table.from_batches(held).combine_chunks()
+    column = t.column("sketch").combine_chunks()
+    column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
+    data, _ = buffers(column.cast(pa.large_binary()).view(pa.large_string()))
+    return t.column("id").to_numpy(), np.frombuffer(data.tobytes(), SKETCH)
+
+
+def full_keys(reps: DataFrame, n: int) -> np.ndarray:
+    """The keys (sorted) with more entries than the mean of a key's by far. Each chunk of lines names the keys that it has often: a key
+    is missed only if it has less than its share of twice the bound in every chunk. There are some TABLES * 2 ** BLOCK / 16 at most."""
+    full = max(FULL, 16 * n >> BLOCK)
+    often = max(2, full // (n // CHUNK + reps.rdd.getNumPartitions() + 1))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, line in _unpacked(batches):
+            key, count = np.unique(block_keys(line["fp"]), return_counts=True)
+            some = count >= often
+            yield pa.RecordBatch.from_arrays([pa.array(key[some].astype(np.int64)), pa.array(count[some])], ["key", "n"])
+
+    got = reps.select("id", "sketch").transform(arrow_map, run, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") > full)
+    return np.sort(got.select("key").toPandas()["key"].to_numpy(np.uint32))
+
+
+def _pairs(key: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Blocks of pairs of places that have the same key; key is sorted."""
+    new = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
+    begin = np.repeat(new, np.diff(np.r_[new, len(key)]))
+    many = np.arange(len(key)) - begin
+    sums, at = np.cumsum(many), 0
+    while at < len(key):
+        end = max(at + 1, int(np.searchsorted(sums, (sums[at - 1] if at else 0) + PAIRS // 4, "right")))
+        m = many[at:end]
+        yield np.repeat(np.arange(at, end), m), np.repeat(begin[at:end] - (np.cumsum(m) - m), m) + np.arange(m.sum())
+        at = end
+
+
+def _far(min_similarity: float) -> int:
+    """By how much the lengths of alike lines, as sketches have them, differ at most."""
+    return int(LENGTH_STEPS * -np.log(max(min_similarity, 1e-3)) + 1e-6) + 1
+
+
+def candidates(reps: DataFrame, max_distance: int = MAX_DISTANCE, min_similarity: float = MIN_SIMILARITY) -> DataFrame:
+    """A forest (a, b) of the links between distinct lines (columns id, sketch) that share a block, differ in max_distance of their
+    first 64 bits at most, and have lengths that let them be alike.
+
+    The entries (key, id, 64 bits) go to parts by key, packed: a row holds what a chunk of lines has for a part. Entries of keys
+    that are full are rows of their own, and dealt out in shares."""
+    n = reps.count()
+    full, parts, far = full_keys(reps, n), max(1, n * TABLES // PART), _far(min_similarity)
+    entry = np.dtype([("key", "<u4"), ("id", "<i8"), ("fp", "<u8")])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ident, sketch in _unpacked(batches):
+            key = block_keys(sketch["fp"]).ravel()
+            line = np.repeat(np.arange(len(sketch)), TABLES)
+            if len(full):
+                at = np.flatnonzero(full[np.minimum(np.searchsorted(full, key), len(full) - 1)] != key)
+                key, line = key[at], line[at]
+            part = (mix(key) % np.uint64(parts)).astype(np.int64)
+            order = np.argsort(part, kind="stable")
+            rows = np.empty(len(order), entry)
+            line = line[order]
+            rows["key"], rows["id"], rows["fp"] = key[order] << np.uint32(9) | sketch["length"][line], ident[line], sketch["fp"][line, 0]
+            names, first = np.unique(part[order], return_index=True)
+            cut = np.r_[first, len(order)]
+            for s in range(0, len(names), 1000):
+                e = min(s + 1000, len(names))
+                off = ((cut[s : e + 1] - cut[s]) * entry.itemsize).astype(np.int32)
+                packed = pa.Array.from_buffers(pa.binary(), e - s, [None, pa.py_buffer(off), pa.py_buffer(rows[cut[s] : cut[e]].tobytes())])
+                yield pa.RecordBatch.from_arrays([pa.array(names[s:e]), packed], ["part", "entries"])
+
+    def compare(rows: np.ndarray) -> list[np.ndarray]:
+        rows = rows[np.argsort(rows["key"], kind="stable")]
+        out = []
+        ident, fp, length = rows["id"].copy(), rows["fp"].copy(), (rows["key"] & np.uint32(511)).astype(np.int16)
+        for x, y in _pairs(rows["key"] >> np.uint32(9)):
+            hit = np.bitwise_count(fp[x] ^ fp[y]) <= max_distance
+            x, y = x[hit], y[hit]
+            hit = np.abs(length[x] - length[y]) <= far
+            out.append(spanning_edges(ident[x[hit]], ident[y[hit]]))
+        return [np.concatenate(c) for c in zip(*out)] if out else []
 
-def _mask(table: Column) -> Column:
-    """The bits of a fingerprint that a pair of blocks has."""
-    return F.element_at(F.array(*(F.lit(m if m < 1 << 63 else m - (1 << 64)).cast("bigint") for m in MASKS)), table.cast("int") + 1)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+        for b in batches:
+            for part, data in zip(b.column("part").to_pylist(), b.column("entries")):
+                if part != now and held:
+                    yield _edges(*compare(np.concatenate(held)))
+                    held = []
+                now = part
+                held.append(np.frombuffer(data.as_buffer(), entry))
+        if held:
+            yield _edges(*compare(np.concatenate(held)))
+
+    packed = reps.select("id", "sketch").transform(arrow_map, pack, "part bigint, entries binary")
+    found = packed.repartition("part").sortWithinPartitions("part").transform(arrow_map, run, "a bigint, b bigint")
+    if not len(full):
+        return found
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ident, sketch in _unpacked(batches):
+            key, fp = block_keys(sketch["fp"]), sketch["fp"]
+            line, t = np.nonzero(full[np.minimum(np.searchsorted(full, key), len(full) - 1)] == key)
+            for s in range(0, len(line), 100_000):
+                own, k = line[s : s + 100_000], key[line[s : s + 100_000], t[s : s + 100_000]].astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(np.zeros(len(k), bool)), pa.array(ident[own]), pa.array(fp[own, 0].copy().view(np.int64)), pa.array(sketch["length"][own].astype(np.int16))], ["bucket", "probe", "id", "first", "length"])
 
+    def near(columns: list[np.ndarray], x: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
+        hit = (np.bitwise_count((columns[1][x] ^ columns[1][y]).view(np.uint64)) <= max_distance) & (np.abs(columns[2][x] - columns[2][y]) <= far)
+        return list(spanning_edges(columns[0][x[hit]], columns[0][y[hit]]))
+
+    def crowd(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for a, b in meet(arrays(batches), near, spanning_edges):
+            yield _edges(a, b)
+
+    rows = materialize(reps.select("id", "sketch").transform(arrow_map, spread, "bucket bigint, probe boolean, id bigint, first bigint, length smallint"), "crowded")
+    return found.union(dealt(rows, ["id", "first", "length"], rows.count()).transform(arrow_map, crowd, "a bigint, b bigint"))
+
+
+def _edges(a=(), b=()) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+
+def edit_distance(s: str, t: str, most: int) -> int:
+    """The edit distance of s and t, or some number over `most` if it is greater: bit-parallel, without what both begin or end with."""
+    if abs(len(s) - len(t)) > most:
+        return most + 1
+    if len(s) > len(t):
+        s, t = t, s
+    begin, end = 0, 0
+    if s != t[: len(s)]:
+        low, high = 0, len(s)  # the longest common beginning, by halving
+        while low < high:
+            mid = (low + high + 1) // 2
+            low, high = (mid, high) if s[:mid] == t[:mid] else (low, mid - 1)
+        begin = low
+    else:
+        begin = len(s)
+    s, t = s[begin:], t[begin:]
+    low, high = 0, len(s)
+    while low < high:
+        mid = (low + high + 1) // 2
+        low, high = (mid, high) if s[len(s) - mid :] == t[len(t) - mid :] else (low, mid - 1)
+    end = low
+    s, t = s[: len(s) - end], t[: len(t) - end]
+    if not s:
+        return len(t)
+    where: dict[str, int] = {}
+    for i, c in enumerate(s):
+        where[c] = where.get(c, 0) | 1 << i
+    full, top, score = (1 << len(s)) - 1, 1 << len(s) - 1, len(s)
+    up, down = full, 0
+    for left, c in zip(range(len(t) - 1, -1, -1), t):
+        same = where.get(c, 0)
+        across = (((same & up) + up) ^ up) | same
+        rise, fall = down | ~(across | up) & full, up & across
+        if rise & top:
+            score += 1
+        elif fall & top:
+            score -= 1
+        if score - left > most:
+            return most + 1
+        rise, fall = (rise << 1 | 1) & full, fall << 1 & full
+        same |= down
+        up, down = fall | ~(same | rise) & full, rise & same
+    return score
+
+
+def alike(s: str, t: str, min_similarity: float) -> bool:
+    """Whether the edit distance of two lines is at most 1 - min_similarity of the longer one's length."""
+    most = int((1 - min_similarity) * max(len(s), len(t)) + 1e-9)
+    return edit_distance(s, t, most) <= most
 
-def candidates(reps: DataFrame, max_distance: int, forest: bool) -> DataFrame:
-    """Links (a, b) between distinct lines (columns id, fp, and label if not forest) of other fingerprints: a forest of them, or all
-    between lines of different labels. Each line comes once for every pair of blocks, and rows that agree in these stand together;
-    a pair that agrees in several is met in each but counts in the first."""
-    columns = ["id", "fp"] + ([] if forest else ["label"])
-    rows = reps.select(*columns, F.explode(F.array(*(F.lit(k).cast("tinyint") for k in range(len(MASKS))))).alias("t"))
-    own = F.col("fp").bitwiseAND(_mask(F.col("t")))
-    total = reps.count() * len(MASKS)
-    full = full_buckets(rows, F.xxhash64("t", own), total)
-    masks = np.array(MASKS, np.uint64).view(np.int64)
 
-    def near(columns: list[np.ndarray], x: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
-        ident, fp, t = columns[:3]
-        other = fp[x] ^ fp[y]
-        hit = np.bitwise_count(other.view(np.uint64)) <= max_distance
-        if not forest:
-            hit &= columns[3][x] != columns[3][y]
-        x, y, other = x[hit], y[hit], other[hit]
-        first = np.full(len(x), len(masks))
-        for k in range(len(masks) - 1, -1, -1):
-            first[(other & masks[k]) == 0] = k
-        mine = first == t[x]
-        a, b = ident[x[mine]], ident[y[mine]]
-        return list(spanning_edges(a, b)) if forest else [a, b]
+def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """id, h2 and normalized text (line_text) of the distinct lines in wanted (column id), from a second look at the documents: a
+    filter of fixed size passes the lines, and few others that a join then drops."""
+    size = np.uint64((1 << FILTER_BITS) - 1)
+    slot = F.col("id").bitwiseAND(F.lit(int(size)))
+    cells = wanted.groupBy(F.shiftright(slot, 5).alias("cell")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(id & 31 as int))")).alias("bits")).toPandas()  # 2 ** 19 rows at most
+    marks = np.zeros(1 << FILTER_BITS - 5, np.uint32)
+    marks[cells["cell"].to_numpy(np.int64)] = cells["bits"].to_numpy(np.int64).astype(np.uint32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def unpack() -> Iterator[list[np.ndarray]]:
-            for b in batches:
-                get = lambda c: b.column(c).to_numpy(zero_copy_only=False)
-                t = get("t").astype(np.int64)
-                key = get("key") if "key" in b.schema.names else mix((get("fp") & masks[t]).view(np.uint64) + t.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-                yield [key, get("probe") if "probe" in b.schema.names else np.zeros(len(t), bool), get("id"), get("fp"), t, *([] if forest else [get("label")])]
-
-        for a, b in meet(unpack(), near, spanning_edges if forest else None):
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
-
-    if full.isEmpty():  # the bucket is a part of the row, and needs no column of its own
-        sorted_rows = rows.repartition(F.col("t"), own).sortWithinPartitions(F.col("t"), own)
-    else:
-        sorted_rows = dealt(rows.select(F.xxhash64("t", own).alias("bucket"), F.lit(False).alias("probe"), *columns, "t"), [*columns, "t"], total)
-    return sorted_rows.mapInArrow(run, "a bigint, b bigint")
+        for b in sliced(batches, "text"):
+            _, _, data, at = split_lines(*buffers(b.column("text")))
+            h = hashes(data, at)
+            spot = (h[:, 0].view(np.uint64) & size).astype(np.int64) if len(h) else np.zeros(0, np.int64)
+            hit = np.flatnonzero(marks[spot >> 5] >> (spot & 31).astype(np.uint32) & 1)
+            _, once = np.unique(h[hit], axis=0, return_index=True)
+            hit = hit[once]
+            text = [data[at[i] : at[i + 1]].tobytes().decode("utf-8", "replace") for i in hit.tolist()]
+            yield pa.RecordBatch.from_arrays([pa.array(h[hit, 0]), pa.array(h[hit, 1]), pa.array(text, pa.string())], ["key", "h2", "line_text"])
+
+    lines = docs.select("text").transform(arrow_map, run, "key bigint, h2 bigint, line_text string")
+    return lines.join(wanted, F.col("key") == F.col("id"), "left_semi").groupBy(F.col("key").alias("id")).agg(F.min(F.struct("h2", "line_text")).alias("line")).select("id", "line.h2", "line.line_text")
 
 
 def _verified(links: DataFrame, texts: DataFrame, min_similarity: float) -> DataFrame:
-    """links with `ok`: whether the edit distance of the two lines is at most 1 - min_similarity of the longer one's length."""
+    """links with `ok`: whether the two lines are alike."""
     left = texts.select(F.col("id").alias("a"), F.col("line_text").alias("s"))
     right = texts.select(F.col("id").alias("b"), F.col("line_text").alias("t"))
-    both = links.join(left, "a").join(right, "b")
-    budget = F.floor((1 - min_similarity) * F.greatest(F.length("s"), F.length("t")) + 1e-9).cast("int")
-    # the bound of the search grows, as most pairs are far closer than their budget
-    within = [F.call_function("levenshtein", F.col("s"), F.col("t"), F.least(budget, F.lit(k))) >= 0 for k in (32, 512, 1 << 30)]
-    alike = (F.abs(F.length("s") - F.length("t")) <= budget) & F.when(within[0], True).when(budget <= 32, False).when(within[1], True).when(budget <= 512, False).otherwise(within[2])
-    return both.select("a", "b", alike.alias("ok"))
 
-
-def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """id and normalized text of some distinct lines (columns id, row_key, line), from a second look at the documents that have them."""
-    by_row = materialize(wanted.groupBy("row_key").agg(F.collect_list(F.struct("line", "id")).alias("lines")), "wanted")
-    rows = docs.join(checked_broadcast(by_row, 250_000).withColumnRenamed("row_key", "k"), F.col("row_key") == F.col("k")).select("text", "lines")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ok = [alike(s, t, min_similarity) for s, t in zip(b.column("s").to_pylist(), b.column("t").to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(ok, pa.bool_())], ["a", "b", "ok"])
+
+    return links.join(left, "a").join(right, "b").select("a", "b", "s", "t").transform(arrow_map, run, "a bigint, b bigint, ok boolean")
+
+
+def _rest(nodes: DataFrame, max_distance: int, min_similarity: float) -> DataFrame:
+    """A forest of the verified links between lines (columns id, sketch, label, line_text) of different labels. The texts go along, so
+    that a task compares and verifies by itself: no pairs are written, and two lines that it has found connected aren't compared."""
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fp = _ids_and_sketches([b])[1]["fp"]
+            key = block_keys(fp).astype(np.int64)
+            for t in range(TABLES):
+                yield pa.RecordBatch.from_arrays([pa.array(key[:, t]), pa.array(np.zeros(len(fp), bool)), b.column("id"), pa.array(fp[:, 0].copy().view(np.int64)), b.column("label"), b.column("line_text")], ["bucket", "probe", "id", "first", "label", "line_text"])
+
+    def found(columns: list[np.ndarray], x: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
+        ident, first, label, text = columns
+        hit = (np.bitwise_count((first[x] ^ first[y]).view(np.uint64)) <= max_distance) & (label[x] != label[y])
+        x, y = x[hit], y[hit]
+        up: dict[int, int] = {}
+
+        def root(k: int) -> int:
+            while (to := up.get(k, k)) != k:
+                up[k] = up.get(to, to)
+                k = to
+            return k
+
+        a, b = [], []
+        for i, j in zip(x.tolist(), y.tolist()):
+            p, q = root(int(label[i])), root(int(label[j]))
+            if p != q and alike(text[i], text[j], min_similarity):
+                up[max(p, q)] = min(p, q)
+                a.append(ident[i])
+                b.append(ident[j])
+        return [np.array(a, np.int64), np.array(b, np.int64)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in sliced(batches, "text"):
-            owner, number, data, at = split_lines(*buffers(b.column("text")))
-            place = {(o, n): i for i, (o, n) in enumerate(zip(owner.tolist(), number.tolist()))}
-            ids, out = [], []
-            for doc, lines in enumerate(b.column("lines").to_pylist()):
-                for x in lines:
-                    i = place[doc, x["line"]]
-                    ids.append(x["id"])
-                    out.append(data[at[i] : at[i + 1]].tobytes().decode("utf-8", "replace"))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.string())], ["id", "line_text"])
+        for a, b in meet(arrays(batches), found, spanning_edges, weigh=lambda rows: sum(map(len, rows[-1]))):
+            yield _edges(a, b)
 
-    # rows that share doc_id and text give the same lines, of which one is enough
-    return rows.mapInArrow(run, "id bigint, line_text string").dropDuplicates(["id"])
+    columns = ["id", "first", "label", "line_text"]
+    rows = nodes.select("id", "sketch", "label", "line_text").transform(arrow_map, spread, "bucket bigint, probe boolean, id bigint, first bigint, label bigint, line_text string")
+    return dealt(rows, columns, nodes.count() * TABLES).transform(arrow_map, run, "a bigint, b bigint")
 
 
 def groups(reps: DataFrame, docs: DataFrame, max_distance: int = MAX_DISTANCE, min_similarity: float = MIN_SIMILARITY) -> DataFrame:
-    """node, root for the distinct lines that are linked with others: within max_distance bits and min_similarity in edits."""
-
-    def verify(links: DataFrame, named: DataFrame) -> DataFrame:
-        wanted = reps.join(named, "id", "left_semi").select("id", F.col("first.row_key").alias("row_key"), F.col("first.line").alias("line"))
-        return _verified(links, _texts(docs, wanted), min_similarity)
-
-    return settle(reps, lambda nodes, forest: candidates(nodes, max_distance, forest), verify)
+    """node, h2, root for the distinct lines that are linked with others: they share a block, differ in max_distance of 64 bits at
+    most, and are alike by min_similarity.
+
+    First a forest of the candidates is verified, which settles groups whose members are all alike with as many checks as members.
+    Where a check fails, the lines of that group are compared once more, with their texts, so that no link is lost."""
+    found = materialize(candidates(reps, max_distance, min_similarity).distinct(), "candidates")
+    rough = materialize(connected_components(found), "rough")
+    texts = materialize(_texts(docs, rough.select(F.col("node").alias("id"))), "texts")
+    checked = materialize(_verified(found, texts, min_similarity), "checked")
+    good = checked.where("ok").select("a", "b")
+    bad = checked.where("not ok").select(F.explode(F.array("a", "b")).alias("bad")).join(rough, F.col("bad") == F.col("node")).select(F.col("root").alias("open_root")).distinct()
+    bad = materialize(bad, "open")
+    if not bad.isEmpty():
+        now = connected_components(good).select(F.col("node").alias("n"), F.col("root").alias("label"))
+        still = rough.join(bad, F.col("root") == F.col("open_root"), "left_semi").select("node").join(now, F.col("node") == F.col("n"), "left").select(F.col("node").alias("id"), F.coalesce("label", "node").alias("label"))
+        again = materialize(reps.select("id", "sketch").join(still, "id").join(texts.select("id", "line_text"), "id"), "again")
+        good = good.union(_rest(again, max_distance, min_similarity))
+    out = materialize(connected_components(good).join(texts.select(F.col("id").alias("node"), "h2"), "node"), "groups")
+    for done in (found, rough, texts, checked):
+        release(done)
+    return out
 
 
 def removed_lines(docs: DataFrame, max_distance: int = MAX_DISTANCE, min_similarity: float = MIN_SIMILARITY) -> DataFrame:
@@ -169,31 +424,48 @@ def removed_lines(docs: DataFrame, max_distance: int = MAX_DISTANCE, min_similar
     keeps its first occurrence, by doc_id, row_key and line number."""
     lines = materialize(line_table(docs), "lines")
     first = F.min(F.struct("doc_id", "row_key", "line")).alias("first")
-    reps = materialize(lines.groupBy("h1", "h2").agg(first, F.min("fp").alias("fp")).select(F.xxhash64("h1", "h2").alias("id"), "fp", "first"), "reps")
-    found = materialize(groups(reps, docs, max_distance, min_similarity), "groups")
+    reps = materialize(lines.groupBy("h1", "h2").agg(first, F.min("sketch").alias("sketch")).select(F.col("h1").alias("id"), "h2", "sketch", "first"), "reps")
+    found = groups(reps, docs, max_distance, min_similarity).withColumnRenamed("h2", "other")
     # what goes: all but the first occurrence of a line, and the first ones of those that have a like one before them
-    member = reps.join(found, F.col("id") == F.col("node")).select("root", "first")
+    member = materialize(reps.join(found, (F.col("id") == F.col("node")) & (F.col("h2") == F.col("other"))).select("root", "first"), "members")
     best = member.groupBy("root").agg(F.min("first").alias("best")).withColumnRenamed("root", "r")
     later = member.join(best, F.col("root") == F.col("r")).where("first <> best").select("first.row_key", "first.line")
     firsts = reps.select(F.col("first.row_key").alias("k"), F.col("first.line").alias("l"))
     repeats = lines.select("row_key", "line").join(firsts, (F.col("row_key") == F.col("k")) & (F.col("line") == F.col("l")), "left_anti")
-    gone = repeats.union(later).groupBy("row_key").agg(F.array_sort(F.collect_set("line")).alias("removed"))
-    return materialize(gone, "removed")
+    gone = materialize(repeats.union(later).groupBy("row_key").agg(F.array_sort(F.collect_set("line")).alias("removed")), "removed")
+    for done in (lines, reps, member):
+        release(done)
+    return gone
+
+
+@F.pandas_udf(StringType())
+def _without(text: pd.Series, removed: pd.Series) -> pd.Series:
+    """Texts less the lines of these numbers."""
+    out = []
+    for t, gone in zip(text, removed):
+        drop = set(gone.tolist())
+        out.append("\n".join([x for i, x in enumerate(t.split("\n")) if i not in drop]))
+    return pd.Series(out, dtype=object)
 
 
 def dedup_lines(docs: DataFrame, max_distance: int = MAX_DISTANCE, min_similarity: float = MIN_SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with the text less the lines that are like an earlier one, and with the columns n_lines and removed (line numbers,
     from 0) after their own; columns of these names are replaced.
 
-    Lines are alike if they are the same when normalized (lower case, digits equal, runs of signs and spaces one space), or linked
-    through lines whose fingerprints differ in at most max_distance bits and whose edit similarity is at least min_similarity.
-    Lines of signs and spaces alone stay. A text that loses all its lines is empty; null texts stay null, with no lines. Rows that
-    share doc_id and text share the decision, as one document; rows without doc_id come first."""
+    Lines are alike if they are the same when normalized (lower case, runs of signs and spaces one space), or linked through lines
+    whose edit similarity is at least min_similarity and whose fingerprints meet: they share a block, and differ in at most
+    max_distance of their first 64 bits. Lines of signs and spaces alone stay. A text that loses all its lines is empty; null texts
+    stay null, with no lines. Rows that share doc_id and text share the decision, as one document; rows without doc_id come first.
+    Of two lines whose 128-bit hashes agree in one half by chance, only one is compared with others."""
     own = with_row_key(docs, id_col, text_col)
     gone = removed_lines(own, max_distance, min_similarity)
+    row_key, other, out = (unused(docs, x) for x in ("row_key", "other_key", "gone"))
     key = F.xxhash64(F.col(id_col).cast("bigint"), F.col(text_col).cast("string"))
-    joined = docs.withColumn("__row_key", key).join(checked_broadcast(gone, 250_000).withColumnsRenamed({"row_key": "__k", "removed": "__removed"}), F.col("__row_key") == F.col("__k"), "left")
-    lines = F.split(F.col(text_col), "\n", -1)
-    left = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("__removed", i)), "\n")
-    columns = [F.when(F.col("__removed").isNull(), F.col(c)).otherwise(left).alias(c) if c == text_col else F.col(c) for c in docs.columns if c not in ("n_lines", "removed")]
-    return joined.select(*columns, F.coalesce(F.size(lines), F.lit(0)).alias("n_lines"), F.coalesce("__removed", F.array().cast("array<int>")).alias("removed"))
+    size = gone.agg(F.coalesce(F.sum(F.size("removed") * 4 + 64), F.lit(0))).first()[0]
+    named = gone.withColumnsRenamed({"row_key": other, "removed": out})
+    joined = docs.withColumn(row_key, key).join(F.broadcast(named) if size <= 16 << 20 else named, F.col(row_key) == F.col(other), "left")  # 16 MB at most
+    text = F.col(text_col).cast("string")
+    n_lines = F.when(text.isNull(), 0).otherwise(F.length(text) - F.length(F.replace(text, F.lit("\n"))) + 1).cast("int")
+    left = F.when(F.col(out).isNull(), F.col(text_col)).otherwise(_without(F.when(F.col(out).isNull(), "").otherwise(text), F.coalesce(out, F.array().cast("array<int>"))))
+    columns = [left.alias(c) if c == text_col else F.col(c) for c in docs.columns if c not in ("n_lines", "removed")]
+    return joined.select(*columns, n_lines.alias("n_lines"), F.coalesce(out, F.array().cast("array<int>")).alias("removed"))

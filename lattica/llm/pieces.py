@@ -13,7 +13,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.llm.common import buffers, sliced
+from lattica.llm.common import arrow_map, buffers, sliced
 
 #: Bytes of text, and of different segments, that are taken at once.
 TEXT_BYTES, CHUNK_BYTES = 16 << 20, 1 << 20
@@ -355,4 +355,4 @@ def with_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: st
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.diff(off)), lists, pa.array(said, pa.string())], ["doc_id", "n_tokens", "token_ids", "decoded_md5"])
 
     own = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return own.mapInArrow(run, "doc_id bigint, n_tokens bigint, token_ids array<int>, decoded_md5 string")
+    return own.transform(arrow_map, run, "doc_id bigint, n_tokens bigint, token_ids array<int>, decoded_md5 string")

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.common import buffers, sliced, words
+from lattica.llm.common import arrow_map, buffers, sliced, words
 
 SYMBOLS = np.zeros(256, dtype=bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
@@ -185,4 +185,4 @@ def repetition(docs: DataFrame, window: int = 8, min_repeat: int = 4, max_covere
             names = [x.split()[0] for x in SCHEMA.split(", ")]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(m[x]) for x in names[1:])], names)
 
-    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, SCHEMA)
+    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text")).transform(arrow_map, run, SCHEMA)

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lattica.llm.buckets import arrays, dealt, meet
-from lattica.llm.common import LOWER, buffers, checked_broadcast, joined_words, majority, materialize, sliced
+from lattica.llm.common import LOWER, arrow_map, buffers, checked_broadcast, joined_words, majority, materialize, sliced
 from lattica.llm.components import connected_components, local_forest, spanning_edges
 from lattica.llm.settle import settle
 
@@ -46,7 +46,7 @@ def with_fingerprints(docs: DataFrame, shingle: int = 4, seed: int = 42, id_col:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fingerprints(b.column("text"), shingle, seed))], ["doc_id", "fp"])
 
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id bigint, fp bigint")
+    return rows.transform(arrow_map, run, "doc_id bigint, fp bigint")
 
 
 def segments(max_distance: int) -> list[tuple[int, int, int]]:
@@ -79,7 +79,7 @@ def _probes(fps: DataFrame, max_distance: int) -> DataFrame:
             for i in range(0, len(rows[0]), 200_000):
                 yield pa.RecordBatch.from_arrays([pa.array(x[i : i + 200_000]) for x in rows], ["bucket", "fp", "probe"])
 
-    return fps.select("fp").mapInArrow(run, "bucket bigint, fp bigint, probe boolean")
+    return fps.select("fp").transform(arrow_map, run, "bucket bigint, fp bigint, probe boolean")
 
 
 def _near(columns: list[np.ndarray], x: np.ndarray, y: np.ndarray, max_distance: int) -> np.ndarray:
@@ -107,7 +107,7 @@ def links(fps: DataFrame, max_distance: int, how: str = "star") -> DataFrame:
         for a, b in meet(arrays(batches), found, merge):
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
-    return dealt(rows, columns, fps.count() * len(segments(max_distance))).mapInArrow(run, "a bigint, b bigint")
+    return dealt(rows, columns, fps.count() * len(segments(max_distance))).transform(arrow_map, run, "a bigint, b bigint")
 
 
 def shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
@@ -119,7 +119,7 @@ def shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
             sets = [np.unique(hashes[s:e]).view(np.int64) for s, e in zip(first[:-1], first[1:])]
             yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(sets, pa.list_(pa.int64()))], ["key", "shingles"])
 
-    return docs.select("key", "text").mapInArrow(run, "key bigint, shingles array<bigint>")
+    return docs.select("key", "text").transform(arrow_map, run, "key bigint, shingles array<bigint>")
 
 
 def similar_classes(docs: DataFrame, fps: DataFrame, max_distance: int, min_similarity: float, shingle: int) -> DataFrame:

@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.common import LOWER, SLICE_BYTES, buffers, sliced, words
+from lattica.llm.common import LOWER, SLICE_BYTES, arrow_map, buffers, sliced, words
 
 #: What a character may stand for (fixed values): leetspeak.
 LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e", "(": "c"}
@@ -50,7 +50,7 @@ def language_model(docs: DataFrame) -> np.ndarray:
     digits or signs inside are left out. What is gathered has SYMBOLS ** 4 rows at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in sliced(batches, "text", 4 * SLICE_BYTES):
+        for b in sliced(batches, "text", 2 * SLICE_BYTES):
             raw, off = buffers(b.column("text"))
             ids, vocab = words(LOWER[raw] if len(raw) else raw, off).encoded()
             times = np.bincount(ids, minlength=len(vocab))
@@ -73,7 +73,7 @@ def language_model(docs: DataFrame) -> np.ndarray:
             some = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(n[some].astype(np.int64))], ["code", "n"])
 
-    got = docs.select("text").mapInArrow(run, "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n")).toPandas()
+    got = docs.select("text").transform(arrow_map, run, "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n")).toPandas()
     counts = np.zeros(SYMBOLS**ORDER)
     counts[got["code"].to_numpy(np.int64)] = got["n"].to_numpy(np.float64)
     counts = counts.reshape((SYMBOLS,) * ORDER)
@@ -266,7 +266,7 @@ def fit(docs: DataFrame, labels: DataFrame, mod: int = 4, rest: int = 2, max_tra
     rows = docs.join(F.broadcast(sample), F.col("doc_id") == F.col("labelled")).select("text", "toxic")  # max_train rows at most
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in sliced(batches, "text", 4 * SLICE_BYTES):
+        for b in sliced(batches, "text", 2 * SLICE_BYTES):
             (owner, token), names = restored_tokens(b.column("text"), language)
             toxic = b.column("toxic").to_numpy(zero_copy_only=False) > 0
             for f in features(names):
@@ -283,7 +283,7 @@ def fit(docs: DataFrame, labels: DataFrame, mod: int = 4, rest: int = 2, max_tra
         share = positive / size if size else 0.02
         return Model(language, [], np.zeros(0), math.log(max(share, 0.02) / (1 - min(share, 0.98))), 0.0)
     prior = positive / size
-    found = rows.mapInArrow(count, "feature string, n bigint, p bigint").groupBy("feature").agg(F.sum("n").alias("n"), F.sum("p").alias("p"))
+    found = rows.transform(arrow_map, count, "feature string, n bigint, p bigint").groupBy("feature").agg(F.sum("n").alias("n"), F.sum("p").alias("p"))
     n, p = F.col("n"), F.col("p")
     g2 = 2 * (p * F.log(p / (n * prior)) + F.when(n > p, (n - p) * F.log((n - p) / (n * (1 - prior)))).otherwise(0))
     found = found.where((p >= MIN_DOCS) & (2 * p > n) & (p > n * prior)).withColumn("g2", g2).where(F.col("g2") >= MIN_G2)
@@ -292,10 +292,10 @@ def fit(docs: DataFrame, labels: DataFrame, mod: int = 4, rest: int = 2, max_tra
     model = Model(language, [r["feature"] for r in best], weights)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in sliced(batches, "text", 4 * SLICE_BYTES):
+        for b in sliced(batches, "text", 2 * SLICE_BYTES):
             yield pa.RecordBatch.from_arrays([pa.array(model.evidence(b.column("text"))), b.column("toxic")], ["x", "toxic"])
 
-    got = rows.mapInArrow(measure, "x double, toxic int").toPandas()
+    got = rows.transform(arrow_map, measure, "x double, toxic int").toPandas()
     x, y = np.minimum(got["x"].to_numpy(), 20.0), got["toxic"].to_numpy(np.float64)
     order = np.lexsort((y, x))  # rows come in any order; sums are made in one
     x, y = x[order], y[order]
@@ -320,12 +320,12 @@ def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, mod: int =
     model = fit(own, labels, mod, rest)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in sliced(batches, "text", 4 * SLICE_BYTES):
+        for b in sliced(batches, "text", 2 * SLICE_BYTES):
             s = model.scores(b.column("text"))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(s), pa.array((s >= threshold).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
     marked = own.withColumn("held_out", F.coalesce(~learnt(F.col("doc_id"), mod, rest), F.lit(False)))
-    return marked.mapInArrow(run, "doc_id bigint, held_out boolean, score double, predicted int")
+    return marked.transform(arrow_map, run, "doc_id bigint, held_out boolean, score double, predicted int")
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -334,7 +334,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, id_co
     model = fit(own, labels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in sliced(batches, text_col, 4 * SLICE_BYTES):
+        for b in sliced(batches, text_col, 2 * SLICE_BYTES):
             yield b.filter(pa.array(model.scores(b.column(text_col).cast(pa.string())) < threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.transform(arrow_map, run, docs.schema)

@@ -14,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.llm.common import checked_broadcast, materialize, new_path, sliced
+from lattica.llm.common import arrow_map, checked_broadcast, materialize, new_path, sliced
 
 MAGIC = b"\x1f\x8b\x08"
 READ = 1 << 20
@@ -82,7 +82,7 @@ def write_warc(pages: DataFrame, path: str, min_bytes: int = 0, level: int = 4,
         store.move(at, open_store(name)[1])
         yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([records]), pa.array([size])], ["path", "records", "bytes"])
 
-    return materialize(marked.mapInArrow(run, "path string, records bigint, bytes bigint"), "archives")
+    return materialize(marked.transform(arrow_map, run, "path string, records bigint, bytes bigint"), "archives")
 
 
 def members(read_at, size: int, start: int, end: int) -> Iterator[tuple[int, bytes]]:
@@ -167,7 +167,7 @@ def read_warc(spark: SparkSession, path: str, split_bytes: int = 8 << 20) -> Dat
     def batch(rows: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), kinds)], names)
 
-    return ranges.repartition(tasks, "path", "start").mapInArrow(run, RECORDS)
+    return ranges.repartition(tasks, "path", "start").transform(arrow_map, run, RECORDS)
 
 
 def round_trip(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
@@ -188,4 +188,4 @@ def round_trip(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
             ids = [[int(m[1]) if (m := re.fullmatch(r"<urn:page:(-?\d+)>", x or "")) else None for x in b.column(c).to_pylist()] for c in ("record_id", "refers_to")]
             yield pa.RecordBatch.from_arrays([pa.array(ids[0], pa.int64()), pa.array(sizes, pa.int64()), pa.array(digests), pa.array(kinds), pa.array(ids[1], pa.int64())], ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
-    return read.mapInArrow(run, "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint")
+    return read.transform(arrow_map, run, "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint")

@@ -96,18 +96,16 @@ def test_components(spark, most, monkeypatch):
     assert connected_components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
 
 
-def plain(t, digits=False):
-    t = re.sub(r"[\x00-\x2f\x3a-\x60\x7b-\x7f]+", " ", low(t)).strip(" ")
-    return re.sub("[0-9]", "0", t) if digits else t
+def plain(t):
+    return re.sub(r"[\x00-\x2f\x3a-\x60\x7b-\x7f]+", " ", low(t)).strip(" ")
 
 
 def test_normalized():
     from lattica.llm.common import buffers, normalized
 
     texts = ["", None, "  ", "A-b  C.", ".", "é!", "x", " 12 3 ", "?!", "a"]
-    for digits in (False, True):
-        raw, off = normalized(*buffers(pa.array(texts, pa.string())), digits=digits)
-        assert [raw[s:e].tobytes().decode() for s, e in zip(off[:-1], off[1:])] == [plain(t, digits) for t in texts]
+    raw, off = normalized(*buffers(pa.array(texts, pa.string())))
+    assert [raw[s:e].tobytes().decode() for s, e in zip(off[:-1], off[1:])] == [plain(t) for t in texts]
 
 
 def distance(a, b):
@@ -119,12 +117,43 @@ def distance(a, b):
     return row[-1]
 
 
+MASK = (1 << 64) - 1
+
+
+def mixed(x):
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ x >> shift) * factor & MASK
+    return x ^ x >> 31
+
+
 def line_fp(s):
-    b = s.encode()
-    grams = [b[i : i + 5] for i in range(len(b) - 4)] or [b]
-    values = np.array([int.from_bytes(g, "little") | (0 if len(g) == 5 else 1 << 63) for g in grams], np.uint64)
-    h = [int(x) for x in lines.mix(values + np.uint64(0x9E3779B97F4A7C15))]
-    return sum(1 << k for k in range(64) if 2 * sum(x >> k & 1 for x in h) > len(h))
+    """The three words of a line's fingerprint."""
+
+    def runs(b, size):
+        out = [b[i : i + size] for i in range(max(1, len(b) - size + 1))]
+        return [(mixed(int.from_bytes(g, "little") ^ len(g) << 56 ^ 0x9E3779B97F4A7C15), 1) for g in out]
+
+    w = s.encode().split(b" ")
+    if len(w) < 8:
+        parts = runs(s.encode(), 3)
+    else:
+        parts = [y for x in w for y in ([(xxhash.xxh3_64_intdigest(x, 1), 1 + (len(x) > 3))] if len(x) <= 24 else runs(x, 5))]
+    out, parts = [], dict(parts).items()
+    for k in range(3):
+        h = [(mixed(x + (k + 1) * 0xD1B54A32D192ED03 & MASK), n) for x, n in parts]
+        out.append(sum(1 << j for j in range(64) if 2 * sum(n for x, n in h if x >> j & 1) > sum(n for _, n in h)))
+    return tuple(out)
+
+
+def line_blocks(fp):
+    """The 20 blocks of 18 bits; bits are counted as they lie in bytes, from the highest of each."""
+    data = b"".join(x.to_bytes(8, "little") for x in fp)
+    bit = [data[i // 8] >> (7 - i % 8) & 1 for i in range(192)]
+    return [tuple(bit[(1, 37)[t // 10] * (18 * (t % 10) + i) % 192] for i in range(18)) for t in range(20)]
+
+
+def alike(a, b):
+    return abs(len(a) - len(b)) <= int(0.2 * max(len(a), len(b)) + 1e-9) and lines.alike(a, b, 0.8)
 
 
 def brute_lines(docs):
@@ -133,12 +162,18 @@ def brute_lines(docs):
     where = []
     for i, t in order:
         for n, line in enumerate((t or "").split("\n")):
-            if p := plain(line, True):
+            if p := plain(line):
                 first.setdefault(p, (i, n))
                 where.append((i, n, p))
     texts = list(first)
     fps = [line_fp(t) for t in texts]
-    links = [(i, j) for i, j in combinations(range(len(texts)), 2) if (fps[i] ^ fps[j]).bit_count() <= 3 and distance(texts[i], texts[j]) <= int(0.2 * max(len(texts[i]), len(texts[j])) + 1e-9)]
+    met, table = set(), {}
+    for i, f in enumerate(fps):
+        for t, block in enumerate(line_blocks(f)):
+            table.setdefault((t, block), []).append(i)
+    for v in table.values():
+        met |= set(combinations(v, 2))
+    links = [(i, j) for i, j in met if (fps[i][0] ^ fps[j][0]).bit_count() <= 14 and alike(texts[i], texts[j])]
     group = dict(zip(texts, classes(len(texts), links)))
     keep = {}
     for t, g in group.items():
@@ -150,6 +185,48 @@ def brute_lines(docs):
     return gone, len(links)
 
 
+def test_edit_distance():
+    rng = random.Random(6)
+    for _ in range(400):
+        a = "".join(rng.choice("abé") for _ in range(rng.randint(0, 40)))
+        b = "".join(rng.choice(["", x, x, x, "ab"]) for x in a) if rng.random() < 0.7 else "".join(rng.choice("abé") for _ in range(rng.randint(0, 40)))
+        d = distance(a, b)
+        assert lines.edit_distance(a, b, 100) == d
+        for most in (0, 3, d - 1, d):
+            assert (lines.edit_distance(a, b, most) <= most) == (d <= most)
+
+
+def test_line_fingerprints():
+    texts = ["", "a", "ab", "abc", "one two three", "a b c d e f g h", "x" * 30 + " b c d e f g h", "w " * 300 + "end", "é" * 40]
+    raw, off = lines.buffers(pa.array(texts, pa.string()))
+    got = lines.fingerprints(raw, off)
+    assert [tuple(map(int, x)) for x in got[1:]] == [line_fp(t) for t in texts[1:]]
+    keys = lines.block_keys(got[1:])
+    for k, t in zip(keys, texts[1:]):
+        assert [int(x) for x in k] == [n << 18 | int("".join(map(str, b)), 2) for n, b in enumerate(line_blocks(line_fp(t)))]
+
+
+def test_line_recall(spark):
+    """Of the pairs of lines that are alike in edits, whatever their fingerprints are, nine of ten are in one group."""
+    docs = [(d.doc_id, d.text) for d in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
+    texts = sorted({p for _, t in docs for x in (t or "").split("\n") if (p := plain(x))})
+    shared = {}
+    for i, t in enumerate(texts):
+        w = t.split(" ")
+        for g in {tuple(w[k : k + 2]) for k in range(max(1, len(w) - 1))}:
+            shared.setdefault(g, []).append(i)
+    pairs = {p for v in shared.values() if len(v) < 60 for p in combinations(v, 2)}
+    pairs = [(i, j) for i, j in pairs if alike(texts[i], texts[j])]
+    raw, off = lines.buffers(pa.array(texts, pa.string()))
+    fps = lines.fingerprints(raw, off)
+    keys = lines.block_keys(fps)
+    met = [(i, j) for i, j in pairs if (keys[i] == keys[j]).any() and (int(fps[i][0]) ^ int(fps[j][0])).bit_count() <= 14]
+    group = classes(len(texts), met)
+    print(len(pairs), len(met) / len(pairs), sum(group[i] == group[j] for i, j in pairs) / len(pairs))
+    assert len(pairs) > 200 and len(met) >= 0.85 * len(pairs)
+    assert sum(group[i] == group[j] for i, j in pairs) >= 0.9 * len(pairs)
+
+
 def test_lines_of_tables(spark):
     docs = [(d.doc_id, d.text) for d in spark.read.parquet(f"{SMALL}/documents.parquet").collect()]
     want, _ = brute_lines(docs)
@@ -163,6 +240,7 @@ def test_lines_of_tables(spark):
 @pytest.mark.parametrize("rows", [4096, 6])
 def test_fuzzy_lines(spark, rows, monkeypatch):
     monkeypatch.setattr(buckets, "BUCKET_ROWS", rows)
+    monkeypatch.setattr(lines, "FULL", rows)
     rng = random.Random(3)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 9)))
     base = [" ".join(word() for _ in range(rng.randint(3, 60))) for _ in range(12)]
