@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -133,6 +134,7 @@ def suspicious(vocab: pa.Array) -> np.ndarray:
     odd, letter, run = (np.zeros(len(vocab), bool) for _ in range(3))
     if len(data):
         odd[owner(_ODD[data])] = True
+        odd |= pc.match_substring(vocab.cast(pa.string()), "€").to_numpy(zero_copy_only=False)
         letter[owner(_LETTER[data])] = True
         three = np.zeros(len(data), bool)
         three[2:] = (data[2:] == data[1:-1]) & (data[1:-1] == data[:-2]) & _LETTER[data[2:]]
@@ -142,7 +144,18 @@ def suspicious(vocab: pa.Array) -> np.ndarray:
     return letter & (odd | run)
 
 
+#: Words that this worker has restored, under the language model of this name only.
 _restored: dict[str, str] = {}
+_restored_by: list[int] = [0]
+
+
+def restored_words(given: list[str], model: np.ndarray) -> list[str]:
+    """restore() of each word; what the same model has restored before is kept, for at most 200,000 words."""
+    name = xxhash.xxh3_64_intdigest(np.ascontiguousarray(model))
+    if _restored_by[0] != name or len(_restored) > 200_000:
+        _restored.clear()
+        _restored_by[0] = name
+    return [_restored.get(x) or _restored.setdefault(x, restore(x, model)) for x in given]
 
 
 def split_words(plain: pa.Array, ids: np.ndarray, doc: np.ndarray, known: list[str]) -> tuple[np.ndarray, list[str]]:
@@ -177,12 +190,10 @@ def restored_tokens(texts: pa.Array, model: np.ndarray, known: list[str] | None
     doc = np.repeat(np.arange(len(size)), size)
     plain = trimmed(vocab)
     odd = np.flatnonzero(suspicious(plain))
-    if len(_restored) > 200_000:
-        _restored.clear()
     extra_doc, extra = [], []
     if len(odd):
         given = plain.take(pa.array(odd)).to_pylist()
-        fixed = [_restored.get(x) or _restored.setdefault(x, restore(x, model)) for x in given]
+        fixed = restored_words(given, model)
         texts_of = plain.to_pandas()
         texts_of.iloc[odd] = fixed
         plain = pa.array(texts_of, pa.string())
