@@ -92,16 +92,38 @@ def spans(order: np.ndarray, lcp: np.ndarray, least: int) -> tuple[np.ndarray, n
 
 
 def intervals(order: np.ndarray, lcp: np.ndarray, ids: np.ndarray, first: np.ndarray, least: int) -> np.ndarray:
-    """Start (in the order) of each LCP interval of depth >= least that is a maximal repeat: its suffixes are preceded by
-    different ids, so that it can't be extended to the left. Intervals are counted by their leftmost deepest place."""
-    if not len(lcp):
-        return np.zeros(0, np.int64)
+    """For each sequence, how many LCP intervals of depth >= least are maximal repeats: their suffixes are not all preceded by the
+    same id, so that they can't be extended to the left. Open intervals stand in a stack by depth; one that closes hands what
+    precedes its suffixes (one id, or several) to the one around it."""
+    n = len(first) - 1
+    deep = np.flatnonzero(lcp >= least)
+    if not len(deep):
+        return np.zeros(n, np.int64)
     left = np.full(len(ids), -1, np.int64)
     left[1:] = ids[:-1]
-    left[first[:-1][first[:-1] < len(ids)]] = -1 - np.arange(len(first) - 1)[first[:-1] < len(ids)]
-    rise = (lcp >= least) & (lcp > np.r_[0, lcp[:-1]])
-    own = left[order]
-    return np.flatnonzero(rise & (own != np.r_[own[0], own[:-1]]))
+    left[first[:-1][first[:-1] < len(ids)]] = -1  # what begins a sequence is preceded by nothing, which no other suffix of it is
+    several = -2
+    start = np.flatnonzero(np.r_[True, np.diff(deep) > 1])
+    seq = np.searchsorted(first, order[deep[start]], "right") - 1
+    own, depth, out = left[order].tolist(), lcp.tolist(), np.zeros(n, np.int64)
+    for s, e, k in zip(deep[start].tolist(), np.r_[deep[start[1:] - 1], deep[-1]].tolist(), seq.tolist()):
+        stack: list[list[int]] = []
+        found = 0
+        for i in range(s, e + 2):
+            d, state = depth[i] if i <= e else -1, own[i - 1]
+            while stack and stack[-1][0] > d:
+                inner = stack.pop()[1]
+                state = state if state == inner else several
+                found += state == several
+            if i > e:
+                break
+            if stack and stack[-1][0] == d:
+                if stack[-1][1] != state:
+                    stack[-1][1] = several
+            else:
+                stack.append([d, state])
+        out[k] += found
+    return out
 
 
 def union(start: np.ndarray, length: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -164,8 +186,7 @@ def measures(texts: pa.Array, window: int = 8, min_repeat: int = 4, unit: str =
     out["covered_words"] = union(at, length, first)
     out["covered_fraction"] = out["covered_words"] / np.maximum(total, 1)
     out["longest_repeat"] = longest
-    heads = intervals(order, lcp, ids, first, min_repeat)
-    out["n_maximal_repeats"] = np.bincount(np.searchsorted(first, order[heads], "right") - 1, minlength=len(n))
+    out["n_maximal_repeats"] = intervals(order, lcp, ids, first, min_repeat)
     return out
 
 
