@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from lattica.llm.common import arrow_map, buffers, normalized, sliced
 
+#: Characters (bytes) of a q-gram; items that are too short for that many take shorter ones.
 Q, RATE = 8, 0.1
 #: Benchmark bytes that are searched for in one pass over the documents. A larger benchmark takes several passes, so that what a
 #: task holds is bounded.
@@ -19,10 +20,11 @@ BLOCK_BYTES = 4 << 20
 FILTER_BITS, BIN_BITS = 20, 20
 
 
-def codes(raw: np.ndarray) -> np.ndarray:
-    """The Q bytes from each place on, as an integer."""
-    n = len(raw) - Q + 1
-    return np.ndarray((max(n, 0),), "<u8", buffer=np.ascontiguousarray(raw).tobytes() if n > 0 else b"", strides=(1,)).copy() if n > 0 else np.zeros(0, np.uint64)
+def codes(raw: np.ndarray, q: int = Q) -> np.ndarray:
+    """The q (at most 8) bytes from each place on, as an integer."""
+    n = max(len(raw) - q + 1, 0)
+    eight = np.ndarray((n,), "<u8", buffer=np.r_[raw, np.zeros(8, np.uint8)].tobytes(), strides=(1,))
+    return eight & np.uint64((1 << 8 * q) - 1)
 
 
 def slot(code: np.ndarray) -> np.ndarray:
@@ -53,19 +55,38 @@ def align(item: np.ndarray, region: np.ndarray, low: int, high: int, budget: int
 
 
 class Index:
-    """The q-grams of a block of benchmark items, and each item's edit budget and the number of q-grams that a text within it shares."""
+    """A block of benchmark items. An item's edit budget e is `rate` of its length; it takes q-grams of at most size / (e + 1) bytes,
+    of which a text within the budget shares one at least. Items that take the same q are searched for together."""
 
-    def __init__(self, ids: list[int], texts: list[str], rate: float):
-        raw, off = buffers(pa.array(texts, pa.string()))
-        raw, off = normalized(raw, off)
+    def __init__(self, ids: list, texts: list[str], rate: float):
+        self.ids = ids
+        raw, off = normalized(*buffers(pa.array(texts, pa.string())))
         size = np.diff(off)
-        fit = size >= Q  # shorter items can't be told from chance
-        self.ids = np.array(ids, np.int64)[fit]
-        self.items = [raw[s:e] for s, e in zip(off[:-1][fit], off[1:][fit])]
-        self.size = size[fit]
-        self.budget = np.minimum((rate * self.size).astype(np.int64), (self.size - Q) // Q)
-        self.least = self.size - Q + 1 - Q * self.budget
-        grams = [codes(x) for x in self.items]
+        budget = (rate * size + 1e-9).astype(np.int64)
+        q = np.minimum(Q, size // (budget + 1))
+        if (q[size > 0] < 1).any():
+            raise ValueError("the rate is too high for the lemma")
+        self.parts = []
+        for k in np.unique(q[q > 0]).tolist():
+            which = np.flatnonzero(q == k)
+            self.parts.append(Grams(which, [raw[off[i] : off[i + 1]] for i in which], budget[which], k))
+
+    def search(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Text number, item number and distance of each pair of a text and an item that some part of it is within the budget of."""
+        raw, off = normalized(*buffers(texts))
+        found = sorted(x for part in self.parts for x in part.search(raw, off))
+        out = np.array(found, np.int64).reshape(-1, 3)
+        return out[:, 0], out[:, 1], out[:, 2]
+
+
+class Grams:
+    """The q-grams of some items, and how many of them a text shares that is within an item's budget."""
+
+    def __init__(self, which: np.ndarray, items: list[np.ndarray], budget: np.ndarray, q: int):
+        self.which, self.items, self.budget, self.q = which, items, budget, q
+        self.size = np.array([len(x) for x in items], np.int64)
+        self.least = self.size - q + 1 - q * budget
+        grams = [codes(x, q) for x in items]
         every = np.concatenate(grams) if grams else np.zeros(0, np.uint64)
         owner = np.repeat(np.arange(len(grams)), [len(g) for g in grams])
         place = np.concatenate([np.arange(len(g)) for g in grams]) if grams else np.zeros(0, np.int64)
@@ -76,12 +97,10 @@ class Index:
         self.filter = np.zeros(1 << FILTER_BITS, bool)
         self.filter[slot(self.codes)] = True
 
-    def search(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Text number, item id and distance of each pair of a text and an item that some part of it is within the budget of."""
-        raw, off = normalized(*buffers(texts))
-        found: list[tuple[int, int, int]] = []
-        if len(raw) >= Q and len(self.codes):
-            code = codes(raw)
+    def search(self, raw: np.ndarray, off: np.ndarray) -> list[tuple[int, int, int]]:
+        best: dict[tuple[int, int], int] = {}
+        if len(raw) >= self.q and len(self.codes):
+            code = codes(raw, self.q)
             at = np.flatnonzero(self.filter[slot(code)])
             which = np.minimum(np.searchsorted(self.codes, code[at]), len(self.codes) - 1)
             real = self.codes[which] == code[at]
@@ -104,29 +123,31 @@ class Index:
             wide = int(self.size.max())
             key, count = np.unique(np.unique(key[full] * wide + place) // wide, return_counts=True)
             enough = count >= self.least[key // span]
-            seen = set()
             for i, b in zip((key[enough] // span).tolist(), (key[enough] % span + low).tolist()):
                 e, m = int(self.budget[i]), int(self.size[i])
+                whole = self.items[i].tobytes()
                 start, stop = b * (e + 1), (b + 2) * (e + 1) + m
                 first = max(0, int(np.searchsorted(off, start, "right")) - 1)
                 for doc in range(first, min(len(off) - 1, int(np.searchsorted(off, stop, "left")))):
                     s, t = max(start, int(off[doc])), min(stop, int(off[doc + 1]))
-                    if t - s < m - e or (doc, i) in seen:
+                    if t - s < m - e or not best.get((doc, i), 1):
                         continue
                     region = raw[s:t]
-                    d = 0 if self.items[i].tobytes() in region.tobytes() else align(self.items[i], region, start - s, start - s + 2 * (e + 1) - 1, e)
+                    if m < Q:  # so short an item counts only as words of their own
+                        s, t = max(s - 1, int(off[doc])), min(t + 1, int(off[doc + 1]))
+                        padded = (b" " if s == off[doc] else b"") + raw[s:t].tobytes() + (b" " if t == off[doc + 1] else b"")
+                        d = 0 if b" " + whole + b" " in padded else e + 1
+                    else:
+                        d = 0 if whole in region.tobytes() else align(self.items[i], region, start - s, start - s + 2 * (e + 1) - 1, e)
                     if d <= e:
-                        seen.add((doc, i))
-                        found.append((doc, int(self.ids[i]), d))
-        found.sort()
-        out = np.array(found, np.int64).reshape(-1, 3)
-        return out[:, 0], out[:, 1], out[:, 2]
+                        best[doc, i] = min(d, best.get((doc, i), d))
+        return [(doc, int(self.which[i]), d) for (doc, i), d in best.items()]
 
 
 def indexes(benchmark: DataFrame, rate: float, id_col: str, text_col: str) -> Iterator[Index]:
-    """The benchmark in blocks of BLOCK_BYTES, in order of id; rows without id or text have nothing to search for."""
+    """The benchmark in blocks of BLOCK_BYTES, in order of id; rows without text have nothing to search for."""
     ids, texts, held = [], [], 0
-    for r in benchmark.select(F.col(id_col).cast("bigint").alias("i"), F.col(text_col).cast("string").alias("t")).where("i is not null and t is not null").orderBy("i", "t").toLocalIterator():
+    for r in benchmark.select(F.col(id_col).cast("bigint").alias("i"), F.col(text_col).cast("string").alias("t")).where("t is not null").orderBy("i", "t").toLocalIterator():
         ids.append(r["i"])
         texts.append(r["t"])
         held += len(r["t"])
@@ -141,10 +162,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, id_col: str
     """One row per row of docs: doc_id, contaminated, items (sorted item ids whose text, normalized, is within its edit budget of a
     part of the whole document's) and distances.
 
-    The budget is `rate` of the item's characters (UTF-8 bytes, normalized: lower case, runs of signs and spaces one space), and no
-    more than leaves one q-gram that must be shared; items of under Q characters are never found. Null and empty texts hold
-    nothing; of items that share an id any counts; rows without doc_id and repeated rows are returned as they come; other columns
-    are ignored."""
+    The budget is `rate` of the item's characters (UTF-8 bytes, normalized: lower case, runs of signs and spaces one space); items
+    of under Q characters are found only as words of their own. Null and empty texts hold nothing, and an item of signs alone is
+    nowhere; of items that share an id any counts, and an item without id is given as null; rows without doc_id and repeated rows
+    are returned as they come; other columns are ignored."""
     kind = "doc_id bigint, text string, items array<bigint>, distances array<bigint>"
     out = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.array().cast("array<bigint>").alias("items"), F.array().cast("array<bigint>").alias("distances"))
     for index in indexes(benchmark, rate, "item_id" if item_col is None else item_col, "text"):
@@ -152,7 +173,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, id_col: str
         def run(batches: Iterator[pa.RecordBatch], index: Index = index) -> Iterator[pa.RecordBatch]:
             for b in sliced(batches, "text"):
                 items, far = b.column("items").to_pylist(), b.column("distances").to_pylist()
-                for doc, item, d in zip(*(x.tolist() for x in index.search(b.column("text")))):
+                for doc, number, d in zip(*(x.tolist() for x in index.search(b.column("text")))):
+                    item = index.ids[number]
                     if item in items[doc]:  # items may share an id
                         k = items[doc].index(item)
                         far[doc][k] = min(far[doc][k], d)

@@ -276,7 +276,11 @@ def brute_leaks(texts, items, rate=0.1):
         t = np.frombuffer(plain(t).encode(), np.uint8)
         for k, x in items:
             x = np.frombuffer(plain(x).encode(), np.uint8)
-            if len(x) >= 8 and (d := sellers(x, t)) <= min(int(rate * len(x)), (len(x) - 8) // 8):
+            if 0 < len(x) < 8:
+                d = 0 if b" " + x.tobytes() + b" " in b" " + t.tobytes() + b" " else 1
+            else:
+                d = sellers(x, t) if len(x) else 1
+            if d <= int(rate * len(x) + 1e-9):
                 out.append((i, k, d))
     return out
 
@@ -284,7 +288,7 @@ def brute_leaks(texts, items, rate=0.1):
 def test_leaks_search():
     rng = random.Random(4)
     text = lambda n: "".join(rng.choice("abc de ") for _ in range(n))
-    items = [(k, text(rng.choice([5, 9, 30, 80, 200]))) for k in range(12)]
+    items = [(k, text(rng.choice([2, 5, 9, 14, 25, 30, 80, 200]))) for k in range(20)] + [(20, "a"), (21, "b d"), (22, "...")]
     texts = [None, "", "a"]
     for _ in range(60):
         t = text(rng.randint(0, 300))
@@ -300,7 +304,7 @@ def test_leaks_search():
     want = brute_leaks(texts, items)
     assert len(want) > 20
     assert [(a, b) for a, b, _ in want] == list(zip(got[0].tolist(), got[1].tolist()))
-    assert all(g <= int(0.1 * len(items[k][1])) for g, k in zip(got[2].tolist(), got[1].tolist()))
+    assert [d for *_, d in want] == got[2].tolist()
 
 
 def test_leaks_of_tables(spark, monkeypatch):
