@@ -19,7 +19,7 @@ SHARE = 5e-5
 CLASSES, SWEEPS, ALPHA = 48, 8, 0.1
 #: Ids of the bigram table: words that are not clustered, the end of a text (also what precedes its first word), then the others.
 RARE, END, FIRST = 0, 1, 2
-COUNT_BYTES, BLOCK_BYTES, BLOCK_DOCS = 32 << 20, 16 << 20, 1 << 16
+COUNT_BYTES, BLOCK_BYTES, BLOCK_DOCS = 8 << 20, 8 << 20, 1 << 16
 
 
 def held_out(doc_id, mod: int = 7, rest: int = 2):
