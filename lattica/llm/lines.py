@@ -13,15 +13,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from lattica.llm.buckets import PAIRS, arrays, dealt, meet
-from lattica.llm.common import arrow_map, buffers, checked_broadcast, majority, materialize, mix, normalized, release, sliced, unused, words
+from lattica.llm.common import arrow_map, buffers, checked_broadcast, materialize, mix, normalized, release, sliced, unused, words
 from lattica.llm.components import connected_components, spanning_edges
 
 #: Bits of a fingerprint. Of the first 64 bits of two lines that are compared, MAX_DISTANCE differ at most.
-BITS, MAX_DISTANCE, MIN_SIMILARITY = 192, 14, 0.8
+BITS, MAX_DISTANCE, MIN_SIMILARITY = 256, 14, 0.8
 #: A fingerprint is looked up by TABLES blocks of BLOCK bits. The bits are dealt out to the blocks in two orders (every STRIDES-th
-#: bit). The ten blocks of an order don't overlap: lines that differ in nine of its 180 bits or fewer share a block.
+#: bit). The 14 blocks of an order don't overlap: lines that differ in 13 of its 252 bits or fewer share a block.
 TABLES, BLOCK, STRIDES = 20, 18, (1, 37)
-COLUMNS = [[STRIDES[t // 10] * (BLOCK * (t % 10) + i) % BITS for i in range(BLOCK)] for t in range(TABLES)]
+COLUMNS = [[STRIDES[t // 14] * (BLOCK * (t % 14) + i) % BITS for i in range(BLOCK)] for t in range(TABLES)]
 #: What is kept of a line: its fingerprint, and LENGTH_STEPS times the logarithm of its characters (511 at most).
 SKETCH = np.dtype([("fp", "<u8", BITS // 64), ("length", "<u2")])
 LENGTH_STEPS = 40
@@ -29,10 +29,14 @@ LENGTH_STEPS = 40
 FEW, LONG = 8, 24
 #: Weight of a word by its length in bytes: 1 up to 3, then 2.
 WEIGHT = np.array([1 + (n > 3) for n in range(LONG + 1)], np.uint64)
+#: Words that are summed up in bytes before these have no more room.
+RUN = 255 // 2
 #: Entries of a part, which one task holds, and lines whose entries are dealt out to the parts together.
 PART, CHUNK = 500_000, 50_000
 #: Entries of one block of bits beyond which it is dealt out in shares (also if 16 times as many as on the mean).
 FULL = 4096
+#: Different lines with copies up to which these are broadcast (some 32 MB).
+MAX_COPIED = 500_000
 #: Bits of the filter that tells which lines' texts are wanted: 2 MB, whatever the input.
 FILTER_BITS = 24
 
@@ -67,13 +71,12 @@ def _grams(data: np.ndarray, begin: np.ndarray, end: np.ndarray, size: int) -> t
 
 
 def fingerprints(data: np.ndarray, off: np.ndarray) -> np.ndarray:
-    """SimHash of each line, an array of lines x 3 words of 64 bits: over its words, weighted by their length, or its runs of bytes."""
+    """SimHash of each line, an array of lines x 4 words of 64 bits: over its words, weighted by their length, or its runs of bytes."""
     n = len(off) - 1
     if not len(data):
         return np.zeros((n, BITS // 64), np.uint64)
     w = words(data, off)
     ids, vocab = w.encoded()
-    known = np.array([xxhash.xxh3_64_intdigest(x, 1) for x in vocab.cast(pa.binary()).to_pylist()], np.uint64)
     many = np.diff(w.first)
     line, size = np.repeat(np.arange(n), many), np.diff(w.off)
     whole = many >= FEW
@@ -82,14 +85,56 @@ def fingerprints(data: np.ndarray, off: np.ndarray) -> np.ndarray:
     short = np.flatnonzero(~whole & (many > 0))
     g, g_count = _grams(data, w.at[as_grams], w.at[as_grams] + size[as_grams], 5)
     s, s_count = _grams(data, off[short], off[short + 1], 3)
-    h = np.concatenate([known[ids[as_word]] if len(ids) else np.zeros(0, np.uint64), g, s])
-    owner = np.concatenate([line[as_word], np.repeat(line[as_grams], g_count), np.repeat(short, s_count)])
-    weight = np.concatenate([WEIGHT[size[as_word]], np.ones(len(g) + len(s), np.uint64)])
-    order = np.lexsort((h, owner))
-    h, owner, weight = h[order], owner[order], weight[order]
-    new = np.r_[True, (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])]  # what a line says again doesn't count: most lines of a language repeat the same few words
-    h, weight, first = h[new], weight[new], np.searchsorted(owner[new], np.arange(n + 1))
-    return np.stack([majority(mix(h + np.uint64((k + 1) * 0xD1B54A32D192ED03 & (1 << 64) - 1)), first, weight, 2) for k in range(BITS // 64)], 1)
+    grams, gram_ids = np.unique(np.r_[g, s], return_inverse=True)
+    known, letters = _word_hashes(*buffers(vocab))
+    weight = np.r_[WEIGHT[np.minimum(letters, LONG)], np.ones(len(grams), np.uint64)]
+    lanes = _lanes(np.r_[known, grams], weight)
+    wide = len(weight)
+    # what a line says again doesn't count: most lines of a language repeat the same few words
+    key = np.concatenate([line[as_word] * wide + ids[as_word], np.repeat(line[as_grams], g_count) * wide + len(known) + gram_ids[: len(g)], np.repeat(short, s_count) * wide + len(known) + gram_ids[len(g) :]])
+    key = np.sort(key)
+    key = key[np.r_[True, key[1:] != key[:-1]]] if len(key) else key
+    owner, part = key // wide, key % wide
+    first = np.searchsorted(owner, np.arange(n + 1))
+    out = np.zeros((n, BITS // 64), np.uint64)
+    full = np.flatnonzero(np.diff(first))
+    if not len(full):
+        return out
+    runs = -(-np.diff(first)[full] // RUN)
+    head = np.cumsum(runs) - runs
+    starts = np.repeat(first[full], runs) + RUN * (np.arange(runs.sum()) - np.repeat(head, runs))
+    sums = np.empty((len(starts), lanes.shape[1]), np.uint64)
+    for s in range(0, len(starts), 4096):  # so that what is looked up at once stays in the cache
+        e = min(s + 4096, len(starts))
+        at, stop = starts[s], starts[e] if e < len(starts) else len(part)
+        sums[s:e] = np.add.reduceat(lanes[part[at:stop]], starts[s:e] - at, axis=0)
+    total = np.add.reduceat(sums.view(np.uint8).reshape(len(starts), -1).astype(np.int32), head, axis=0)
+    over = 2 * total > np.add.reduceat(weight[part].astype(np.int64), first[full])[:, None]
+    out[full] = np.packbits(over.reshape(len(full), -1, 8, 8).transpose(0, 1, 3, 2).reshape(len(full), -1), axis=1, bitorder="little").view(np.uint64)
+    return out
+
+
+def _word_hashes(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of words by their first LONG bytes and their length, and the lengths."""
+    size, end = np.diff(off), off[1:]
+    eight = np.ndarray((len(data) + 1,), "<u8", buffer=np.r_[data, np.zeros(9, np.uint8)].tobytes(), strides=(1,))
+    h = size.astype(np.uint64)
+    for k in range(0, LONG, 8):
+        left = np.clip(size - k, 0, 8).astype(np.uint64)
+        mask = np.where(left < 8, (np.uint64(1) << (left % np.uint64(8) * np.uint64(8))) - np.uint64(1), ~np.uint64(0))
+        h = mix(h * np.uint64(0x9E3779B97F4A7C15) ^ (eight[np.minimum(off[:-1] + k, end)] & mask))
+    return h, size
+
+
+def _lanes(h: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """The bits of each hash's fingerprint, times its weight, as bytes: words of eight bytes, of which the k-th of each 64 bits has
+    the bits k, 8 + k, 16 + k and so on."""
+    out = np.empty((len(h), BITS // 8), np.uint64)
+    for k in range(BITS // 64):
+        own = mix(h + np.uint64((k + 1) * 0xD1B54A32D192ED03 & (1 << 64) - 1))
+        for i in range(8):
+            out[:, 8 * k + i] = (own >> np.uint64(i) & np.uint64(0x0101010101010101)) * weight
+    return out
 
 
 def sketches(data: np.ndarray, off: np.ndarray) -> np.ndarray:
@@ -119,7 +164,7 @@ def line_table(docs: DataFrame) -> DataFrame:
 
 
 def block_keys(fp: np.ndarray) -> np.ndarray:
-    """The key of each fingerprint (lines x 3 words) in each table: lines x TABLES, the number of the table before BLOCK bits."""
+    """The key of each fingerprint (lines x 4 words) in each table: lines x TABLES, the number of the table before BLOCK bits."""
     bits = np.unpackbits(np.ascontiguousarray(fp).view(np.uint8).reshape(len(fp), -1), axis=1).T.astype(np.uint32)
     out = np.empty((len(fp), TABLES), np.uint32)
     for t, columns in enumerate(COLUMNS):
@@ -158,9 +203,9 @@ def full_keys(reps: DataFrame, n: int) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, line in _unpacked(batches):
-            key, count = np.unique(block_keys(line["fp"]), return_counts=True)
-            some = count >= often
-            yield pa.RecordBatch.from_arrays([pa.array(key[some].astype(np.int64)), pa.array(count[some])], ["key", "n"])
+            count = np.bincount(block_keys(line["fp"]).ravel(), minlength=1)
+            some = np.flatnonzero(count >= often)
+            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(count[some])], ["key", "n"])
 
     got = reps.select("id", "sketch").transform(arrow_map, run, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") > full)
     return np.sort(got.select("key").toPandas()["key"].to_numpy(np.uint32))
@@ -272,22 +317,10 @@ def edit_distance(s: str, t: str, most: int) -> int:
         return most + 1
     if len(s) > len(t):
         s, t = t, s
-    begin, end = 0, 0
-    if s != t[: len(s)]:
-        low, high = 0, len(s)  # the longest common beginning, by halving
-        while low < high:
-            mid = (low + high + 1) // 2
-            low, high = (mid, high) if s[:mid] == t[:mid] else (low, mid - 1)
-        begin = low
-    else:
-        begin = len(s)
-    s, t = s[begin:], t[begin:]
-    low, high = 0, len(s)
-    while low < high:
-        mid = (low + high + 1) // 2
-        low, high = (mid, high) if s[len(s) - mid :] == t[len(t) - mid :] else (low, mid - 1)
-    end = low
-    s, t = s[: len(s) - end], t[: len(t) - end]
+    n = _common(s, t)
+    s, t = s[n:], t[n:]
+    n = _common(s[::-1], t[::-1])
+    s, t = s[: len(s) - n], t[: len(t) - n]
     if not s:
         return len(t)
     where: dict[str, int] = {}
@@ -311,10 +344,41 @@ def edit_distance(s: str, t: str, most: int) -> int:
     return score
 
 
+def _common(s: str, t: str) -> int:
+    """How many characters s and t begin with alike, by halving."""
+    low, high = 0, min(len(s), len(t))
+    if s[:high] == t[:high]:
+        return high
+    while low < high:
+        mid = (low + high + 1) // 2
+        low, high = (mid, high) if s[low:mid] == t[low:mid] else (low, mid - 1)
+    return low
+
+
+def _at_most(s: str, t: str, most: int) -> int:
+    """A bound of the edit distance from above: what s and t begin and end with alike is free, and a run of 12 characters from the
+    middle of one that is found in the other near by cuts both in two."""
+    n = _common(s, t)
+    s, t = s[n:], t[n:]
+    n = _common(s[::-1], t[::-1])
+    s, t = s[: len(s) - n], t[: len(t) - n]
+    longer = max(len(s), len(t))
+    if min(len(s), len(t)) > 16:
+        for at in (len(s) // 2 - 6, len(s) // 4, 3 * len(s) // 4 - 12):
+            at = max(at, 0)
+            found = t.find(s[at : at + 12], max(0, at - most), at + most + 12)
+            if found >= 0:
+                left = _at_most(s[:at], t[:found], most)
+                return left if left > most else left + _at_most(s[at:], t[found:], most - left)
+    return longer
+
+
 def alike(s: str, t: str, min_similarity: float) -> bool:
     """Whether the edit distance of two lines is at most 1 - min_similarity of the longer one's length."""
     most = int((1 - min_similarity) * max(len(s), len(t)) + 1e-9)
-    return edit_distance(s, t, most) <= most
+    if abs(len(s) - len(t)) > most:
+        return False
+    return _at_most(s, t, most) <= most or edit_distance(s, t, most) <= most
 
 
 def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -338,7 +402,7 @@ def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(h[hit, 0]), pa.array(h[hit, 1]), pa.array(text, pa.string())], ["key", "h2", "line_text"])
 
     lines = docs.select("text").transform(arrow_map, run, "key bigint, h2 bigint, line_text string")
-    return lines.join(wanted, F.col("key") == F.col("id"), "left_semi").groupBy(F.col("key").alias("id")).agg(F.min(F.struct("h2", "line_text")).alias("line")).select("id", "line.h2", "line.line_text")
+    return lines.join(checked_broadcast(wanted), F.col("key") == F.col("id"), "left_semi").groupBy(F.col("key").alias("id")).agg(F.min(F.struct("h2", "line_text")).alias("line")).select("id", "line.h2", "line.line_text")
 
 
 def _verified(links: DataFrame, texts: DataFrame, min_similarity: float) -> DataFrame:
@@ -347,7 +411,7 @@ def _verified(links: DataFrame, texts: DataFrame, min_similarity: float) -> Data
     right = texts.select(F.col("id").alias("b"), F.col("line_text").alias("t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches, "s"):
             ok = [alike(s, t, min_similarity) for s, t in zip(b.column("s").to_pylist(), b.column("t").to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(ok, pa.bool_())], ["a", "b", "ok"])
 
@@ -400,18 +464,19 @@ def groups(reps: DataFrame, docs: DataFrame, max_distance: int = MAX_DISTANCE, m
     most, and are alike by min_similarity.
 
     First a forest of the candidates is verified, which settles groups whose members are all alike with as many checks as members.
-    Where a check fails, the lines of that group are compared once more, with their texts, so that no link is lost."""
+    Where a check fails, what the verified links connect with either line is compared once more, with the texts. That loses no link:
+    candidates that the forest leaves out are joined in it by a path, which leaves the group of either one by a failed check."""
     found = materialize(candidates(reps, max_distance, min_similarity).distinct(), "candidates")
     rough = materialize(connected_components(found), "rough")
     texts = materialize(_texts(docs, rough.select(F.col("node").alias("id"))), "texts")
     checked = materialize(_verified(found, texts, min_similarity), "checked")
     good = checked.where("ok").select("a", "b")
-    bad = checked.where("not ok").select(F.explode(F.array("a", "b")).alias("bad")).join(rough, F.col("bad") == F.col("node")).select(F.col("root").alias("open_root")).distinct()
-    bad = materialize(bad, "open")
+    bad = materialize(checked.where("not ok").select(F.explode(F.array("a", "b")).alias("id")).distinct(), "failed")
     if not bad.isEmpty():
-        now = connected_components(good).select(F.col("node").alias("n"), F.col("root").alias("label"))
-        still = rough.join(bad, F.col("root") == F.col("open_root"), "left_semi").select("node").join(now, F.col("node") == F.col("n"), "left").select(F.col("node").alias("id"), F.coalesce("label", "node").alias("label"))
-        again = materialize(reps.select("id", "sketch").join(still, "id").join(texts.select("id", "line_text"), "id"), "again")
+        now = materialize(connected_components(good).select(F.col("node").alias("n"), F.col("root").alias("label")), "labels")
+        labelled = rough.select(F.col("node").alias("id")).join(now, F.col("id") == F.col("n"), "left").select("id", F.coalesce("label", "id").alias("label"))
+        still = materialize(labelled.join(labelled.join(bad, "id", "left_semi").select("label").distinct(), "label", "left_semi"), "open")
+        again = materialize(reps.select("id", "sketch").join(checked_broadcast(still), "id").join(texts.select("id", "line_text"), "id"), "again")
         good = good.union(_rest(again, max_distance, min_similarity))
     out = materialize(connected_components(good).join(texts.select(F.col("id").alias("node"), "h2"), "node"), "groups")
     for done in (found, rough, texts, checked):
@@ -424,14 +489,19 @@ def removed_lines(docs: DataFrame, max_distance: int = MAX_DISTANCE, min_similar
     keeps its first occurrence, by doc_id, row_key and line number."""
     lines = materialize(line_table(docs), "lines")
     first = F.min(F.struct("doc_id", "row_key", "line")).alias("first")
-    reps = materialize(lines.groupBy("h1", "h2").agg(first, F.min("sketch").alias("sketch")).select(F.col("h1").alias("id"), "h2", "sketch", "first"), "reps")
+    reps = materialize(lines.groupBy("h1", "h2").agg(first, F.min("sketch").alias("sketch"), F.count("*").alias("copies")).select(F.col("h1").alias("id"), "h2", "sketch", "first", "copies"), "reps")
     found = groups(reps, docs, max_distance, min_similarity).withColumnRenamed("h2", "other")
     # what goes: all but the first occurrence of a line, and the first ones of those that have a like one before them
-    member = materialize(reps.join(found, (F.col("id") == F.col("node")) & (F.col("h2") == F.col("other"))).select("root", "first"), "members")
+    member = materialize(reps.join(checked_broadcast(found), (F.col("id") == F.col("node")) & (F.col("h2") == F.col("other"))).select("root", "first"), "members")
     best = member.groupBy("root").agg(F.min("first").alias("best")).withColumnRenamed("root", "r")
     later = member.join(best, F.col("root") == F.col("r")).where("first <> best").select("first.row_key", "first.line")
-    firsts = reps.select(F.col("first.row_key").alias("k"), F.col("first.line").alias("l"))
-    repeats = lines.select("row_key", "line").join(firsts, (F.col("row_key") == F.col("k")) & (F.col("line") == F.col("l")), "left_anti")
+    copied = reps.where("copies > 1").select(F.col("id").alias("i"), F.col("h2").alias("j"), F.col("first.row_key").alias("k"), F.col("first.line").alias("l"))
+    is_first = (F.col("row_key") == F.col("k")) & (F.col("line") == F.col("l"))
+    if copied.limit(MAX_COPIED + 1).count() <= MAX_COPIED:
+        repeats = lines.join(F.broadcast(copied), (F.col("h1") == F.col("i")) & (F.col("h2") == F.col("j"))).where(~is_first).select("row_key", "line")
+    else:  # by row and line, so that a line of many copies is spread over the tasks
+        firsts = reps.select(F.col("first.row_key").alias("k"), F.col("first.line").alias("l"))
+        repeats = lines.select("row_key", "line").join(firsts, is_first, "left_anti")
     gone = materialize(repeats.union(later).groupBy("row_key").agg(F.array_sort(F.collect_set("line")).alias("removed")), "removed")
     for done in (lines, reps, member):
         release(done)
