@@ -1,4 +1,5 @@
-"""Near copies by the Jaccard similarity of their sets of shingles: prefix filtering, by which no pair is missed."""
+"""Near copies by the Jaccard similarity of their sets of shingles: SimHash fingerprints and multi-index hashing find most of them, and
+prefix filtering finds those whose fingerprints are too far apart."""
 
 from __future__ import annotations
 
@@ -11,10 +12,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lattica.llm.buckets import arrays, dealt, meet
-from lattica.llm.common import arrow_map, checked_broadcast, materialize, sliced
+from lattica.llm.common import arrow_map, checked_broadcast, majority, materialize, release, sliced, unused
 from lattica.llm.components import spanning_edges
 from lattica.llm.settle import settle
-from lattica.llm.simhash import shingles
+from lattica.llm.simhash import links, shingles, with_classes
 
 #: Shingles are put in order by how many of some SAMPLE texts have them, where MIN_COUNT or more do, for MAX_COMMON of them at most.
 #: Any order gives the same pairs; this one keeps passages that many texts have out of the prefixes of these.
@@ -25,15 +26,19 @@ EPSILON = 1e-9
 def _sets(texts: pa.Array, shingle: int, common: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The sets of shingle hashes of some texts, joined, each in order of (times, hash), where each begins, and a hash of each set.
     common (sorted) and times: the shingles that are put last."""
-    hashes, first = shingles(texts, shingle, 42)
+    return _sets_of(*shingles(texts, shingle, 42), common, times)
+
+
+def _sets_of(hashes: np.ndarray, first: np.ndarray, common: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    n = len(first) - 1
     hashes = hashes.view(np.int64)
-    owner = np.repeat(np.arange(len(texts)), np.diff(first))
+    owner = np.repeat(np.arange(n), np.diff(first))
     order = np.lexsort((hashes, owner))
     hashes, owner = hashes[order], owner[order]
     new = np.ones(len(hashes), bool)
     new[1:] = (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1])
     hashes, owner = hashes[new], owner[new]
-    begin = np.searchsorted(owner, np.arange(len(texts) + 1))
+    begin = np.searchsorted(owner, np.arange(n + 1))
     whole = hashes.tobytes()
     names = np.array([xxhash.xxh64_intdigest(whole[8 * s : 8 * e], 7) for s, e in zip(begin[:-1].tolist(), begin[1:].tolist())], np.uint64).view(np.int64)
     if len(common) and len(hashes):
@@ -45,15 +50,16 @@ def _sets(texts: pa.Array, shingle: int, common: np.ndarray, times: np.ndarray)
 
 
 def with_sets(docs: DataFrame, shingle: int) -> DataFrame:
-    """doc_id, node (a hash of the set of shingles) and n (how many) of each row of docs."""
+    """doc_id, node (a hash of the set of shingles), n (how many) and fp (their SimHash, with repeats) of each row of docs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         none = np.zeros(0, np.int64)
         for b in sliced(batches, "text"):
-            _, begin, names = _sets(b.column("text"), shingle, none, none)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(names), pa.array(np.diff(begin).astype(np.int32))], ["doc_id", "node", "n"])
+            hashes, first = shingles(b.column("text"), shingle, 42)
+            _, begin, names = _sets_of(hashes, first, none, none)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(names), pa.array(np.diff(begin).astype(np.int32)), pa.array(majority(hashes, first).view(np.int64))], ["doc_id", "node", "n", "fp"])
 
-    return docs.transform(arrow_map, run, "doc_id bigint, node bigint, n int")
+    return docs.transform(arrow_map, run, "doc_id bigint, node bigint, n int, fp bigint")
 
 
 def _elements(docs: DataFrame, reps: DataFrame, shingle: int, common: np.ndarray, times: np.ndarray, min_similarity: float | None) -> DataFrame:
@@ -104,10 +110,10 @@ def _common(docs: DataFrame, reps: DataFrame, shingle: int) -> tuple[np.ndarray,
 
 
 def _links(shared: DataFrame, nodes: DataFrame, min_similarity: float, forest: bool) -> DataFrame:
-    """Links (a, b) between sets that share a shingle of their prefixes and that sizes and places let be alike: a forest of them,
-    or all between sets of different labels."""
-    columns = ["id", "n", "place"] + ([] if forest else ["label"])
-    rows = shared if forest else shared.join(nodes.select(F.col("id").alias("own"), "label"), F.col("id") == F.col("own")).drop("own")
+    """Links (a, b) between sets of different labels (nodes: id, label) that share a shingle of their prefixes and that sizes and
+    places let be alike: a forest of them, or all."""
+    columns = ["id", "n", "place", "label"]
+    rows = shared.join(checked_broadcast(nodes.select(F.col("id").alias("own"), "label")), F.col("id") == F.col("own")).drop("own")
     rows = rows.select(F.col("token").alias("bucket"), F.lit(False).alias("probe"), *columns)
 
     def found(columns: list[np.ndarray], x: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
@@ -115,9 +121,7 @@ def _links(shared: DataFrame, nodes: DataFrame, min_similarity: float, forest: b
         n, left = n.astype(np.int64), n.astype(np.int64) - place
         hit = np.minimum(left[x], left[y]) >= min_similarity / (1 + min_similarity) * (n[x] + n[y]) - EPSILON
         hit &= np.minimum(n[x], n[y]) >= min_similarity * np.maximum(n[x], n[y]) - EPSILON
-        hit &= ident[x] != ident[y]
-        if not forest:
-            hit &= columns[3][x] != columns[3][y]
+        hit &= columns[3][x] != columns[3][y]
         a, b = ident[x[hit]], ident[y[hit]]
         if forest:
             return list(spanning_edges(a, b))
@@ -145,14 +149,25 @@ def _members(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
     return rows.transform(arrow_map, run, "id bigint, shingles array<bigint>").dropDuplicates(["id"])
 
 
-def drop_similar(docs: DataFrame, shingle: int = 5, min_similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _near_fingerprints(reps: DataFrame, max_distance: int) -> DataFrame:
+    """A forest (a, b) of the links between sets whose fingerprints differ in at most max_distance bits, by multi-index hashing: each
+    set is linked with the first one of its fingerprint, and these with each other."""
+    heads = materialize(reps.groupBy("fp").agg(F.min("id").alias("head")), "heads")
+    near = links(heads, max_distance, "tree")
+    near = near.join(heads.select(F.col("fp").alias("a"), F.col("head").alias("x")), "a").join(heads.select(F.col("fp").alias("b"), F.col("head").alias("y")), "b")
+    own = reps.select("id", F.col("fp").alias("of")).join(heads, F.col("of") == F.col("fp"))
+    return near.select(F.col("x").alias("a"), F.col("y").alias("b")).union(own.select(F.col("id").alias("a"), F.col("head").alias("b")))
+
+
+def drop_similar(docs: DataFrame, max_distance: int = 7, shingle: int = 5, min_similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the rows that are near copies of one with a lesser doc_id; all columns stay. Near copies are linked: their sets
-    of shingles have a Jaccard similarity of at least min_similarity, whatever their fingerprints are. Each different set is one node,
-    so that copies make no pairs. Rows without doc_id stay and link nothing, rows that repeat a doc_id count as one document."""
+    of shingles have a Jaccard similarity of at least min_similarity. Sets whose fingerprints differ in at most max_distance bits are
+    found by multi-index hashing; prefix filtering then finds all links that are left between what these connect. Each different set
+    is one node, so that copies make no pairs. Rows without doc_id stay and link nothing, rows that repeat a doc_id count as one document."""
     own = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     sets = materialize(with_sets(own, shingle), "sets")
-    reps = materialize(sets.groupBy(F.col("node").alias("id")).agg(F.min("doc_id").alias("least"), F.first("n").alias("n")), "reps")
-    known = reps.where("least is not null and n > 0")
+    reps = materialize(sets.groupBy(F.col("node").alias("id")).agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.min("fp").alias("fp"), F.count("*").alias("copies")), "reps")
+    known = reps.where("least is not null and n > 0").select("id", "least", "n", "fp")
     common, times = _common(own, known, shingle)
     prefixes = _elements(own, known, shingle, common, times, min_similarity)
     shared = materialize(prefixes.repartition("token").sortWithinPartitions("token").transform(arrow_map, _shared, prefixes.schema), "shared")
@@ -160,17 +175,20 @@ def drop_similar(docs: DataFrame, shingle: int = 5, min_similarity: float = 0.8,
     def search(nodes: DataFrame, forest: bool) -> DataFrame:
         return _links(shared, nodes, min_similarity, forest)
 
-    def verify(links: DataFrame, named: DataFrame) -> DataFrame:
+    def verify(found: DataFrame, named: DataFrame) -> DataFrame:
         wanted = materialize(known.join(named, "id", "left_semi").select("id", "least"), "wanted")
         members = _members(own, wanted, shingle)
-        both = links.join(members.select(F.col("id").alias("a"), F.col("shingles").alias("s")), "a").join(members.select(F.col("id").alias("b"), F.col("shingles").alias("t")), "b")
+        both = found.join(members.select(F.col("id").alias("a"), F.col("shingles").alias("s")), "a").join(members.select(F.col("id").alias("b"), F.col("shingles").alias("t")), "b")
         both_have = F.size(F.array_intersect("s", "t"))
         return both.select("a", "b", (both_have >= min_similarity * (F.size("s") + F.size("t") - both_have) - EPSILON).alias("ok"))
 
-    parts = materialize(settle(known.select("id"), search, verify), "components")
+    parts = materialize(settle(known.select("id"), search, verify, _near_fingerprints(known, max_distance)), "components")
     least = parts.join(reps, F.col("node") == F.col("id")).groupBy("root").agg(F.min("least").alias("component_id")).withColumnRenamed("root", "top")
     linked = parts.join(least, F.col("root") == F.col("top")).select(F.col("node").alias("key"), "component_id")
-    classes = reps.join(linked, F.col("id") == F.col("key"), "left").select("id", F.coalesce("component_id", "least").alias("component_id"))
-    found = sets.join(classes, F.col("node") == F.col("id")).where("component_id < doc_id")
-    gone = materialize(found.select(F.col("doc_id").alias("__gone")).distinct(), "gone")
-    return docs.join(checked_broadcast(gone), F.col(id_col).cast("bigint") == F.col("__gone"), "left_anti")
+    classes = reps.join(linked, F.col("id") == F.col("key"), "left").select(F.col("id").alias("key"), "copies", F.coalesce("component_id", "least").alias("component_id"))
+    found = with_classes(sets.select("doc_id", "node"), materialize(classes, "classes"), "node").where("component_id < doc_id")
+    name = unused(docs, "gone")
+    gone = materialize(found.select(F.col("doc_id").alias(name)).distinct(), "gone")
+    for done in (sets, reps, shared, parts):
+        release(done)
+    return docs.join(checked_broadcast(gone), F.col(id_col).cast("bigint") == F.col(name), "left_anti")

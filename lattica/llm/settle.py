@@ -7,22 +7,28 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.common import materialize
+from lattica.llm.common import checked_broadcast, materialize
 from lattica.llm.components import connected_components
 
 
-def settle(nodes: DataFrame, search: Callable[[DataFrame, bool], DataFrame], verify: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
+def settle(nodes: DataFrame, search: Callable[[DataFrame, bool], DataFrame], verify: Callable[[DataFrame, DataFrame], DataFrame], likely: DataFrame) -> DataFrame:
     """node, root for the nodes (column id, and what search needs) that verified links connect with others.
 
-    search(nodes, True) gives a forest (a, b) of the candidate links, search(nodes, False) all candidate links between nodes of a
-    different `label`. verify(links, ids) gives the links with `ok`; ids (column id) are the nodes that they name.
-
-    First the forest is verified, which settles groups whose members are all alike with as many checks as members. Where a check
-    fails, the candidates between what is not yet connected are all verified, so that no link is lost."""
-    found = materialize(search(nodes, True).distinct(), "candidates")
-    rough = materialize(connected_components(found), "rough")
-    checked = materialize(verify(found, rough.select(F.col("node").alias("id"))), "checked")
-    good = checked.where("ok").select("a", "b")
+    likely: links (a, b) that are verified first. search(nodes, forest) gives candidate links between nodes of a different `label`:
+    with forest True a forest of them, else all. verify(links, ids) gives the links with `ok`; ids (column id) are the nodes that
+    they name.
+
+    What the likely links connect is labelled alike, and a forest of the candidates between labels is verified, which settles groups
+    whose members are all alike with as many checks as members. Where a check fails, the candidates between what is not yet
+    connected are all verified, so that no link is lost."""
+    likely = materialize(likely.where("a <> b").distinct(), "likely")
+    known = materialize(verify(likely, likely.select(F.explode(F.array("a", "b")).alias("id")).distinct()).where("ok").select("a", "b"), "known")
+    labels = materialize(connected_components(known).select(F.col("node").alias("n"), F.col("root").alias("label")), "labels")
+    labelled = nodes.join(checked_broadcast(labels), F.col("id") == F.col("n"), "left").drop("n").withColumn("label", F.coalesce("label", "id"))
+    found = materialize(search(labelled, True).distinct(), "candidates")
+    rough = materialize(connected_components(found.union(known)), "rough")
+    checked = materialize(verify(found, found.select(F.explode(F.array("a", "b")).alias("id")).distinct()), "checked")
+    good = checked.where("ok").select("a", "b").union(known)
     failed = checked.where("not ok").select(F.explode(F.array("a", "b")).alias("bad")).join(rough, F.col("bad") == F.col("node")).select(F.col("root").alias("open_root")).distinct()
     failed = materialize(failed, "open")
     if failed.isEmpty():

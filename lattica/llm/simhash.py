@@ -13,7 +13,10 @@ from pyspark.sql import functions as F
 from lattica.llm.buckets import arrays, dealt, meet
 from lattica.llm.common import LOWER, arrow_map, buffers, checked_broadcast, joined_words, majority, materialize, sliced
 from lattica.llm.components import connected_components, local_forest, spanning_edges
-from lattica.llm.settle import settle
+
+
+#: Copies from which a class is joined apart.
+HOT = 256
 
 
 def shingles(texts: pa.Array, shingle: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
@@ -110,50 +113,33 @@ def links(fps: DataFrame, max_distance: int, how: str = "star") -> DataFrame:
     return dealt(rows, columns, fps.count() * len(segments(max_distance))).transform(arrow_map, run, "a bigint, b bigint")
 
 
-def shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
-    """key and the set of shingle hashes (array of bigint) of each row of docs (columns key, text)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in sliced(batches, "text"):
-            hashes, first = shingles(b.column("text"), shingle, 42)
-            sets = [np.unique(hashes[s:e]).view(np.int64) for s, e in zip(first[:-1], first[1:])]
-            yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(sets, pa.list_(pa.int64()))], ["key", "shingles"])
-
-    return docs.select("key", "text").transform(arrow_map, run, "key bigint, shingles array<bigint>")
-
-
-def similar_classes(docs: DataFrame, fps: DataFrame, max_distance: int, min_similarity: float, shingle: int) -> DataFrame:
-    """fingerprint_classes() over links that are verified: the texts' sets of shingles have a Jaccard similarity of at least
-    min_similarity. A fingerprint stands for the text of its least doc_id; one without any doc_id is linked with none."""
-    reps = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("least")).select(F.col("fp").alias("id"), "fp", "least"), "reps")
-
-    def search(nodes: DataFrame, forest: bool) -> DataFrame:
-        return links(nodes, max_distance, "tree" if forest else "all")
-
-    def verify(found: DataFrame, named: DataFrame) -> DataFrame:
-        wanted = materialize(reps.join(named, "id", "left_semi").select("fp", F.col("least").alias("wanted")).where("wanted is not null"), "wanted")
-        texts = docs.join(checked_broadcast(wanted), F.col("doc_id") == F.col("wanted")).select(F.col("fp").alias("key"), "text")
-        sets = shingle_sets(texts, shingle).dropDuplicates(["key"])
-        both = found.join(sets.select(F.col("key").alias("a"), F.col("shingles").alias("s")), "a").join(sets.select(F.col("key").alias("b"), F.col("shingles").alias("t")), "b")
-        shared = F.size(F.array_intersect("s", "t"))
-        return both.select("a", "b", (shared >= min_similarity * (F.size("s") + F.size("t") - shared) - 1e-9).alias("ok"))
-
-    return _classes(reps, settle(reps, search, verify))
-
-
 def _classes(reps: DataFrame, parts: DataFrame) -> DataFrame:
-    """fp, component_id, from the representatives (fp, least) and the components (node, root) of those that have links."""
+    """The columns of the representatives (fp, least and others) with component_id instead of least, from the components (node, root)
+    of those that have links."""
     parts = materialize(parts, "components")
     least = parts.join(reps, F.col("node") == F.col("fp")).groupBy("root").agg(F.min("least").alias("component_id"))
     linked = parts.join(least.withColumnRenamed("root", "top"), F.col("root") == F.col("top")).select("node", "component_id")
-    return reps.join(linked, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
+    return reps.join(linked, F.col("fp") == F.col("node"), "left").select(*(c for c in reps.columns if c != "least"), F.coalesce("component_id", "least").alias("component_id"))
+
+
+def _copied_classes(fps: DataFrame, max_distance: int) -> DataFrame:
+    reps = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies")), "reps")
+    return _classes(reps, connected_components(links(reps, max_distance)))
 
 
 def fingerprint_classes(fps: DataFrame, max_distance: int = 4) -> DataFrame:
     """Columns fp, component_id: for each fingerprint of fps (columns doc_id, fp) the least doc_id that it reaches over links of
     at most max_distance differing bits. Equal fingerprints are one node, so that copies make no pairs."""
-    reps = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "reps")
-    return _classes(reps, connected_components(links(reps, max_distance)))
+    return _copied_classes(fps, max_distance).select("fp", "component_id")
+
+
+def with_classes(rows: DataFrame, classes: DataFrame, column: str) -> DataFrame:
+    """rows joined with classes (key, copies and others) by column = key. The classes of many copies, 100,000 of them at most, are
+    broadcast, so that no task of the join that shuffles gets more than a small share of the rows for one key."""
+    many = max(HOT, classes.agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0] // 100_000)
+    hot = F.broadcast(classes.where(F.col("copies") > many))
+    rest = rows.join(hot.select("key"), F.col(column) == F.col("key"), "left_anti").join(classes.where(F.col("copies") <= many), F.col(column) == F.col("key"))
+    return rows.join(hot, F.col(column) == F.col("key")).union(rest)
 
 
 def near_duplicates(docs: DataFrame, max_distance: int = 4, shingle: int = 4, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -164,18 +150,5 @@ def near_duplicates(docs: DataFrame, max_distance: int = 4, shingle: int = 4, se
     component of its fingerprint, null if no row of the component has an id. Repeated rows are returned as often as they come.
     Other columns are ignored; an empty table gives an empty result."""
     fps = materialize(with_fingerprints(docs, shingle, seed, id_col, text_col), "fingerprints")
-    classes = fingerprint_classes(fps, max_distance).withColumnRenamed("fp", "key")
-    joined = fps.join(classes, F.col("fp") == F.col("key"))
-    return joined.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def drop_near_duplicates(docs: DataFrame, max_distance: int = 7, shingle: int = 5, min_similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the rows that are near copies of one with a lesser doc_id; all columns stay. Near copies are linked: their
-    fingerprints differ in at most max_distance bits and their sets of shingles have a Jaccard similarity of at least
-    min_similarity. Rows without doc_id stay, rows that repeat a doc_id count as one document."""
-    own = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    fps = materialize(with_fingerprints(own, shingle), "fingerprints")
-    classes = similar_classes(own, fps, max_distance, min_similarity, shingle).withColumnRenamed("fp", "key")
-    found = fps.join(classes, F.col("fp") == F.col("key")).where("component_id < doc_id")
-    gone = materialize(found.select(F.col("doc_id").alias("__gone")).distinct(), "gone")
-    return docs.join(checked_broadcast(gone), F.col(id_col).cast("bigint") == F.col("__gone"), "left_anti")
+    classes = materialize(_copied_classes(fps, max_distance).withColumnRenamed("fp", "key"), "classes")
+    return with_classes(fps, classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
