@@ -1,19 +1,26 @@
 """Navigation and closure over slots that hold ids of frames.
 
-Closures run breadth first in a loop of the driver: each round joins the frontier with the edges and leaves out what was seen, so
-that cycles end. Rounds are written to the shared folder, and only counts reach the driver."""
+Closures run breadth first. A graph of at most MAX_EDGES edges is broadcast, and each task walks it from its own roots; beyond, a
+loop of the driver joins the frontier with the edges and leaves out what was seen, so that cycles end: its rounds are written to the
+shared folder, and only counts reach the driver."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lattica.plans.storage import dropped, written
 
 
+#: Edges of a graph that is broadcast (16 MB), and cells (roots x nodes) that a task marks at once.
+MAX_EDGES, CELLS = 1_000_000, 1 << 24
+
+
 def edges_of(facts: DataFrame, *slots: str) -> DataFrame:
     """src, dst of the slots' values that are frames."""
     return facts.where(F.col("slot").isin(list(slots)) & (F.col("vtype") == "oid")).select(F.col("oid").alias("src"), F.col("vo").alias("dst")).distinct()
@@ -32,11 +39,56 @@ def getpath(facts: DataFrame, frames: DataFrame, path: Sequence[str]) -> DataFra
     return now
 
 
+def _walks(links: DataFrame, start: DataFrame, max_rounds: int) -> DataFrame:
+    """closure() over a graph that every task holds: roots are walked from many at a time, level by level."""
+    arcs = links.toPandas()  # MAX_EDGES rows at most
+    nodes, ends = np.unique(arcs.to_numpy(np.int64).ravel(), return_inverse=True)
+    src, dst = ends.reshape(-1, 2).T if len(arcs) else (np.zeros(0, np.int64),) * 2
+    order = np.argsort(src, kind="stable")
+    graph = links.sparkSession.sparkContext.broadcast((nodes, np.searchsorted(src[order], np.arange(len(nodes) + 1)), dst[order]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        nodes, first, to = graph.value
+        n = max(1, len(nodes))
+        for b in batches:
+            every = b.column("root").to_numpy()
+            for s in range(0, len(every), max(1, CELLS // n)):
+                roots = every[s : s + max(1, CELLS // n)]
+                yield _rows(roots, roots, 0)
+                at = np.minimum(np.searchsorted(nodes, roots), n - 1)
+                known = np.flatnonzero(nodes[at] == roots) if len(nodes) else np.zeros(0, np.int64)
+                seen = np.zeros(len(roots) * n, bool)
+                now = known * n + at[known]
+                seen[now] = True
+                for depth in range(1, max_rounds + 2):
+                    node = now % n
+                    many = first[node + 1] - first[node]
+                    reached = to[np.repeat(first[node] - (np.cumsum(many) - many), many) + np.arange(many.sum())]
+                    now = np.unique(np.repeat(now - node, many) + reached)
+                    now = now[~seen[now]]
+                    if not len(now):
+                        break
+                    if depth > max_rounds:
+                        raise RuntimeError(f"the closure is deeper than {max_rounds} steps")
+                    seen[now] = True
+                    yield _rows(roots[now // n], nodes[now % n], depth)
+
+    return start.mapInArrow(run, "root bigint, node bigint, depth int")
+
+
+def _rows(root: np.ndarray, node: np.ndarray, depth: int) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(root), pa.array(node), pa.array(np.full(len(root), depth, np.int32))], ["root", "node", "depth"])
+
+
 def closure(edges: DataFrame, roots: DataFrame, reflexive: bool = True, max_rounds: int = 1000) -> DataFrame:
     """Pairs (root, node, depth): every node that each root reaches over edges (src, dst), with the fewest steps. Without
     `reflexive`, roots are left out even where they lie on a cycle of their own."""
-    links = edges.select("src", "dst").where("src is not null and dst is not null").distinct()
+    links = written(edges.select("src", "dst").where("src is not null and dst is not null").distinct(), "edges")
     start = roots.select(F.col("oid").alias("root")).where("root is not null").distinct()
+    if links.count() <= MAX_EDGES:
+        out = _walks(links, start, max_rounds)
+        dropped(links)
+        return out if reflexive else out.where("depth > 0")
     frontier = written(start.select("root", F.col("root").alias("node"), F.lit(0).alias("depth")), "frontier")
     seen = [frontier]
     for depth in range(1, max_rounds + 1):

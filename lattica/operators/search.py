@@ -185,12 +185,23 @@ def bloom_bits(c: Column, words: int, hashes: int) -> list[Column]:
     return [F.pmod(F.xxhash64(c.cast("string"), F.lit(i)), F.lit(words * 64).cast("bigint")) for i in range(hashes)]
 
 
-def bloom_check(rows: DataFrame, column: str, bloom: DataFrame, expected: int, error: float = 0.01) -> DataFrame:
-    """The rows that may be in the filter: none that is in it is lost. The filter (bounded by its shape) is broadcast as one map."""
+def _in_bloom(rows: DataFrame, column: str, bloom: DataFrame, expected: int, error: float) -> DataFrame:
+    """rows with `__in`. The filter, whose size its shape bounds, is broadcast as one array of words, each at its place."""
     words, hashes = bloom_shape(expected, error)
-    whole = bloom.agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("__bloom"))
-    test = F.lit(True)
+    every = rows.sparkSession.range(words).join(bloom, F.col("id") == F.col("word"), "left")
+    whole = every.agg(F.array_sort(F.collect_list(F.struct("id", F.coalesce("bits", F.lit(0).cast("bigint")).alias("bits")))).alias("w")).select(F.col("w.bits").alias("__bloom"))
+    test = F.col(column).isNotNull()
     for bit in bloom_bits(F.col(column), words, hashes):
-        word = F.coalesce(F.try_element_at("__bloom", F.shiftrightunsigned(bit, 6)), F.lit(0).cast("bigint"))
+        word = F.get("__bloom", F.shiftrightunsigned(bit, 6).cast("int"))
         test = test & (F.call_function("shiftright", word, bit.bitwiseAND(63).cast("int")).bitwiseAND(F.lit(1).cast("bigint")) == 1)
-    return rows.join(F.broadcast(whole)).where(test).drop("__bloom")
+    return rows.join(F.broadcast(whole)).withColumn("__in", test).drop("__bloom")
+
+
+def bloom_check(rows: DataFrame, column: str, bloom: DataFrame, expected: int, error: float = 0.01) -> DataFrame:
+    """The rows that may be in the filter: none that is in it is lost. Nulls are in no filter."""
+    return _in_bloom(rows, column, bloom, expected, error).where("__in").drop("__in")
+
+
+def bloom_hits(rows: DataFrame, column: str, bloom: DataFrame, by: Sequence[str], expected: int, error: float = 0.01) -> DataFrame:
+    """How many rows there are for each key, and how many of them may be in the filter: columns of the key, n, hits."""
+    return _in_bloom(rows, column, bloom, expected, error).groupBy(*by).agg(F.count("*").alias("n"), F.count_if("__in").alias("hits"))

@@ -1,6 +1,7 @@
 """The data model: frames are 64-bit ids whose slots hold sets of typed values, kept as plain tables.
 
 facts: one row per (oid, slot, value), duplicate free. vtype says which of vs (strings), vn (numbers), vo (ids of frames) is set.
+Integers are in vn, to be compared with other numbers, and whole in vo, as a double has no room for those over 2 ** 53.
 wide: one row per frame and a column per slot; a null is an empty set.
 """
 
@@ -43,7 +44,7 @@ def value_struct(column: Column, kind: T.DataType, oid: bool = False) -> Column:
     if oid:
         fields = ("oid", None, None, column.cast("bigint"))
     elif isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
-        fields = ("int", None, column.cast("double"), None)
+        fields = ("int", None, column.cast("double"), column.cast("bigint"))
     elif isinstance(kind, T.NumericType):
         fields = ("num", None, column.cast("double"), None)
     elif isinstance(kind, T.BooleanType):
@@ -106,24 +107,32 @@ def to_wide(facts: DataFrame, slots: Sequence[str]) -> DataFrame:
 def matches(value: object) -> Column:
     """Whether a fact's value is this one: an Oid, a number, or text."""
     if isinstance(value, Oid):
-        return F.col("vo") == value.id
+        return (F.col("vtype") == "oid") & (F.col("vo") == value.id)
     if isinstance(value, bool):
         return (F.col("vtype") == "bool") & (F.col("vs") == str(value).lower())
-    if isinstance(value, (int, float)):
-        return F.col("vn") == float(value)
+    if isinstance(value, int):
+        return _is_integer([value])
+    if isinstance(value, float):
+        return F.col("vn") == value
     return F.col("vs") == str(value)
 
 
+def _is_integer(values: Sequence[int]) -> Column:
+    """Whether a fact's value is one of these: integers are compared whole, other numbers as doubles."""
+    return F.col("vn").isin([float(v) for v in values]) & ((F.col("vtype") != "int") | F.col("vo").isNull() | F.col("vo").isin([v for v in values if -(2**63) <= v < 2**63]))
+
+
 def matches_any(values: Sequence[object]) -> Column:
     """Whether a fact's value is one of these, as IN lists that reach the scan."""
     oids = [v.id for v in values if isinstance(v, Oid)]
     flags = [v for v in values if isinstance(v, bool)]
-    numbers = [float(v) for v in values if isinstance(v, (int, float)) and not isinstance(v, bool)]
+    whole = [v for v in values if isinstance(v, int) and not isinstance(v, bool)]
+    numbers = [v for v in values if isinstance(v, float)]
     texts = [v for v in values if isinstance(v, str)]
     out = F.lit(False)
-    for some, test in ((oids, F.col("vo").isin(oids)), (numbers, F.col("vn").isin(numbers)), (texts, F.col("vs").isin(texts))):
+    for some, test in ((oids, lambda: (F.col("vtype") == "oid") & F.col("vo").isin(oids)), (whole, lambda: _is_integer(whole)), (numbers, lambda: F.col("vn").isin(numbers)), (texts, lambda: F.col("vs").isin(texts))):
         if some:
-            out = out | test
+            out = out | test()
     for v in flags:
         out = out | matches(v)
     return out

@@ -157,13 +157,28 @@ def test_patterns(spark):
         pattern.regex_of(("nonsense",))
 
 
-def test_graph_with_cycle(spark):
+@pytest.mark.parametrize("most", [1_000_000, 0])
+def test_graph_with_cycle(spark, most, monkeypatch):
+    monkeypatch.setattr(graph, "MAX_EDGES", most)
     edges = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (3, 4), (7, 7)], "src bigint, dst bigint")
     walk = graph.closure(edges, spark.createDataFrame([(1,), (7,), (9,)], "oid bigint")).collect()
     assert sorted((r.root, r.node, r.depth) for r in walk) == [(1, 1, 0), (1, 2, 1), (1, 3, 2), (1, 4, 3), (7, 7, 0), (9, 9, 0)]
     assert sorted((r.oid, r.depth) for r in graph.map_graph(edges, spark.createDataFrame([(1,), (4,)], "oid bigint")).collect()) == [(1, 0), (2, 1), (3, 2), (4, 0)]
     long = spark.range(40).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
     assert graph.closure(long, spark.createDataFrame([(0,)], "oid bigint")).count() == 41
+    with pytest.raises(Exception, match="deeper than 5"):
+        graph.closure(long, spark.createDataFrame([(0,)], "oid bigint"), max_rounds=5).count()
+    none = spark.createDataFrame([], "src bigint, dst bigint")
+    assert [tuple(r) for r in graph.closure(none, spark.createDataFrame([(3,)], "oid bigint")).collect()] == [(3, 3, 0)]
+
+
+def test_large_integers(spark):
+    big = 2**53
+    facts = model.to_facts(spark.createDataFrame([(1, big), (2, big + 1), (3, 7)], "k bigint, n bigint"), "k")
+    assert [r.oid for r in search.find_frames(facts, ("n", big + 1)).collect()] == [2]
+    assert sorted(r.oid for r in search.find_frames(facts, ("n", [big, 7, "x"])).collect()) == [1, 3]
+    assert sorted(r.v for r in facts.select(model.value_text().alias("v")).collect()) == ["7", str(big), str(big + 1)]
+    assert search.find_frames(facts, ("n", model.Oid(7))).count() == 0
 
 
 def test_model(spark):
