@@ -16,8 +16,8 @@ from lattica.llm.buckets import PAIRS, arrays, dealt, meet
 from lattica.llm.common import arrow_map, buffers, checked_broadcast, materialize, mix, normalized, release, sliced, unused, words
 from lattica.llm.components import connected_components, spanning_edges
 
-#: Bits of a fingerprint. Of the first 64 bits of two lines that are compared, MAX_DISTANCE differ at most.
-BITS, MAX_DISTANCE, MIN_SIMILARITY = 256, 14, 0.8
+#: Bits of a fingerprint. Of the first COMPARED bits of two lines that are compared, MAX_DISTANCE differ at most.
+BITS, COMPARED, MAX_DISTANCE, MIN_SIMILARITY = 256, 96, 20, 0.8
 #: A fingerprint is looked up by TABLES blocks of BLOCK bits. The bits are dealt out to the blocks in two orders (every STRIDES-th
 #: bit). The 14 blocks of an order don't overlap: lines that differ in 13 of its 252 bits or fewer share a block.
 TABLES, BLOCK, STRIDES = 20, 18, (1, 37)
@@ -175,8 +175,8 @@ def block_keys(fp: np.ndarray) -> np.ndarray:
     return out
 
 
-def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """id and sketch of CHUNK lines at a time."""
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray | None]]:
+    """id, sketch and label (None without such a column) of CHUNK lines at a time."""
     held: list[pa.RecordBatch] = []
     for b in batches:
         held.append(b)
@@ -187,12 +187,12 @@ def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, n
         yield _ids_and_sketches(held)
 
 
-def _ids_and_sketches(held: list[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
+def _ids_and_sketches(held: list[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
     t = pa.Table.from_batches(held).combine_chunks()
     column = t.column("sketch").combine_chunks()
     column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
     data, _ = buffers(column.cast(pa.large_binary()).view(pa.large_string()))
-    return t.column("id").to_numpy(), np.frombuffer(data.tobytes(), SKETCH)
+    return t.column("id").to_numpy(), np.frombuffer(data.tobytes(), SKETCH), t.column("label").to_numpy() if "label" in t.column_names else None
 
 
 def full_keys(reps: DataFrame, n: int) -> np.ndarray:
@@ -202,7 +202,7 @@ def full_keys(reps: DataFrame, n: int) -> np.ndarray:
     often = max(2, full // (n // CHUNK + reps.rdd.getNumPartitions() + 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, line in _unpacked(batches):
+        for _, line, _ in _unpacked(batches):
             count = np.bincount(block_keys(line["fp"]).ravel(), minlength=1)
             some = np.flatnonzero(count >= often)
             yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(count[some])], ["key", "n"])
@@ -229,18 +229,31 @@ def _far(min_similarity: float) -> int:
     return int(LENGTH_STEPS * -np.log(max(min_similarity, 1e-3)) + 1e-6) + 1
 
 
-def candidates(reps: DataFrame, max_distance: int = MAX_DISTANCE, min_similarity: float = MIN_SIMILARITY) -> DataFrame:
+def candidates(reps: DataFrame, max_distance: int = MAX_DISTANCE, min_similarity: float = MIN_SIMILARITY, labelled: bool = False) -> DataFrame:
     """A forest (a, b) of the links between distinct lines (columns id, sketch) that share a block, differ in max_distance of their
-    first 64 bits at most, and have lengths that let them be alike.
+    first COMPARED bits at most, and have lengths that let them be alike. If `labelled`, the lines that are so linked with one of
+    another `label`, as both a and b.
 
-    The entries (key, id, 64 bits) go to parts by key, packed: a row holds what a chunk of lines has for a part. Entries of keys
-    that are full are rows of their own, and dealt out in shares."""
+    The entries (key, id, bits, label) go to parts by key, packed: a row holds what a chunk of lines has for a part. Entries of
+    keys that are full are rows of their own, and dealt out in shares."""
     n = reps.count()
+    reps = reps.select("id", "sketch", *(["label"] if labelled else []))
     full, parts, far = full_keys(reps, n), max(1, n * TABLES // PART), _far(min_similarity)
-    entry = np.dtype([("key", "<u4"), ("id", "<i8"), ("fp", "<u8")])
+    entry = np.dtype([("key", "<u4"), ("id", "<i8"), ("fp", "<u8"), ("more", "<u4"), *([("label", "<i8")] if labelled else [])])
+
+    def hits(ident: np.ndarray, fp: np.ndarray, more: np.ndarray, length: np.ndarray, label: np.ndarray | None, x: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
+        far_bits = np.bitwise_count(fp[x] ^ fp[y])
+        some = np.flatnonzero(far_bits <= max_distance)
+        x, y = x[some], y[some]
+        hit = (far_bits[some] + np.bitwise_count(more[x] ^ more[y]) <= max_distance) & (np.abs(length[x] - length[y]) <= far)
+        if label is None:
+            return list(spanning_edges(ident[x[hit]], ident[y[hit]]))
+        hit &= label[x] != label[y]
+        linked = np.unique(np.r_[ident[x[hit]], ident[y[hit]]])
+        return [linked, linked]
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ident, sketch in _unpacked(batches):
+        for ident, sketch, label in _unpacked(batches):
             key = block_keys(sketch["fp"]).ravel()
             line = np.repeat(np.arange(len(sketch)), TABLES)
             if len(full):
@@ -251,6 +264,9 @@ def candidates(reps: DataFrame, max_distance: int = MAX_DISTANCE, min_similarity
             rows = np.empty(len(order), entry)
             line = line[order]
             rows["key"], rows["id"], rows["fp"] = key[order] << np.uint32(9) | sketch["length"][line], ident[line], sketch["fp"][line, 0]
+            rows["more"] = sketch["fp"][line, 1].astype(np.uint32)
+            if labelled:
+                rows["label"] = label[line]
             names, first = np.unique(part[order], return_index=True)
             cut = np.r_[first, len(order)]
             for s in range(0, len(names), 1000):
@@ -261,13 +277,8 @@ def candidates(reps: DataFrame, max_distance: int = MAX_DISTANCE, min_similarity
 
     def compare(rows: np.ndarray) -> list[np.ndarray]:
         rows = rows[np.argsort(rows["key"], kind="stable")]
-        out = []
-        ident, fp, length = rows["id"].copy(), rows["fp"].copy(), (rows["key"] & np.uint32(511)).astype(np.int16)
-        for x, y in _pairs(rows["key"] >> np.uint32(9)):
-            hit = np.bitwise_count(fp[x] ^ fp[y]) <= max_distance
-            x, y = x[hit], y[hit]
-            hit = np.abs(length[x] - length[y]) <= far
-            out.append(spanning_edges(ident[x[hit]], ident[y[hit]]))
+        columns = [rows["id"].copy(), rows["fp"].copy(), rows["more"].copy(), (rows["key"] & np.uint32(511)).astype(np.int16), rows["label"].copy() if labelled else None]
+        out = [hits(*columns, x, y) for x, y in _pairs(rows["key"] >> np.uint32(9))]
         return [np.concatenate(c) for c in zip(*out)] if out else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -282,29 +293,30 @@ def candidates(reps: DataFrame, max_distance: int = MAX_DISTANCE, min_similarity
         if held:
             yield _edges(*compare(np.concatenate(held)))
 
-    packed = reps.select("id", "sketch").transform(arrow_map, pack, "part bigint, entries binary")
+    packed = reps.transform(arrow_map, pack, "part bigint, entries binary")
     found = packed.repartition("part").sortWithinPartitions("part").transform(arrow_map, run, "a bigint, b bigint")
     if not len(full):
         return found
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ident, sketch in _unpacked(batches):
+        for ident, sketch, label in _unpacked(batches):
             key, fp = block_keys(sketch["fp"]), sketch["fp"]
+            label = ident if label is None else label
             line, t = np.nonzero(full[np.minimum(np.searchsorted(full, key), len(full) - 1)] == key)
             for s in range(0, len(line), 100_000):
                 own, k = line[s : s + 100_000], key[line[s : s + 100_000], t[s : s + 100_000]].astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(np.zeros(len(k), bool)), pa.array(ident[own]), pa.array(fp[own, 0].copy().view(np.int64)), pa.array(sketch["length"][own].astype(np.int16))], ["bucket", "probe", "id", "first", "length"])
+                yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(np.zeros(len(k), bool)), pa.array(ident[own]), pa.array(fp[own, 0].copy().view(np.int64)), pa.array(fp[own, 1].astype(np.uint32).view(np.int32)), pa.array(sketch["length"][own].astype(np.int16)), pa.array(label[own])], ["bucket", "probe", *columns])
 
     def near(columns: list[np.ndarray], x: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
-        hit = (np.bitwise_count((columns[1][x] ^ columns[1][y]).view(np.uint64)) <= max_distance) & (np.abs(columns[2][x] - columns[2][y]) <= far)
-        return list(spanning_edges(columns[0][x[hit]], columns[0][y[hit]]))
+        return hits(columns[0], columns[1].view(np.uint64), columns[2].view(np.uint32), columns[3], columns[4] if labelled else None, x, y)
 
     def crowd(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for a, b in meet(arrays(batches), near, spanning_edges):
+        for a, b in meet(arrays(batches), near, None if labelled else spanning_edges):
             yield _edges(a, b)
 
-    rows = materialize(reps.select("id", "sketch").transform(arrow_map, spread, "bucket bigint, probe boolean, id bigint, first bigint, length smallint"), "crowded")
-    return found.union(dealt(rows, ["id", "first", "length"], rows.count()).transform(arrow_map, crowd, "a bigint, b bigint"))
+    columns = ["id", "first", "more", "length", "label"]
+    rows = materialize(reps.transform(arrow_map, spread, "bucket bigint, probe boolean, id bigint, first bigint, more int, length smallint, label bigint"), "crowded")
+    return found.union(dealt(rows, columns, rows.count()).transform(arrow_map, crowd, "a bigint, b bigint"))
 
 
 def _edges(a=(), b=()) -> pa.RecordBatch:
@@ -418,20 +430,26 @@ def _verified(links: DataFrame, texts: DataFrame, min_similarity: float) -> Data
     return links.join(left, "a").join(right, "b").select("a", "b", "s", "t").transform(arrow_map, run, "a bigint, b bigint, ok boolean")
 
 
-def _rest(nodes: DataFrame, max_distance: int, min_similarity: float) -> DataFrame:
-    """A forest of the verified links between lines (columns id, sketch, label, line_text) of different labels. The texts go along, so
-    that a task compares and verifies by itself: no pairs are written, and two lines that it has found connected aren't compared."""
+def _rest(nodes: DataFrame, texts: DataFrame, max_distance: int, min_similarity: float) -> DataFrame:
+    """A forest of the verified links between lines (columns id, sketch, label) of different labels. First the lines that have such
+    candidates are found; then their texts go along, so that a task compares and verifies by itself: no pairs are written, and two
+    lines that it has found connected aren't compared."""
+    linked = materialize(candidates(nodes, max_distance, min_similarity, labelled=True).select(F.col("a").alias("id")).distinct(), "linked")
+    nodes = materialize(nodes.join(checked_broadcast(linked), "id", "left_semi").join(texts.select("id", "line_text"), "id"), "again")
+    far = _far(min_similarity)
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = _ids_and_sketches([b])[1]["fp"]
-            key = block_keys(fp).astype(np.int64)
+            sketch = _ids_and_sketches([b])[1]
+            fp, length = sketch["fp"], pa.array(sketch["length"].astype(np.int16))
+            key, more = block_keys(fp).astype(np.int64), pa.array(fp[:, 1].astype(np.uint32).view(np.int32))
             for t in range(TABLES):
-                yield pa.RecordBatch.from_arrays([pa.array(key[:, t]), pa.array(np.zeros(len(fp), bool)), b.column("id"), pa.array(fp[:, 0].copy().view(np.int64)), b.column("label"), b.column("line_text")], ["bucket", "probe", "id", "first", "label", "line_text"])
+                yield pa.RecordBatch.from_arrays([pa.array(key[:, t]), pa.array(np.zeros(len(fp), bool)), b.column("id"), pa.array(fp[:, 0].copy().view(np.int64)), more, length, b.column("label"), b.column("line_text")], ["bucket", "probe", *columns])
 
     def found(columns: list[np.ndarray], x: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
-        ident, first, label, text = columns
-        hit = (np.bitwise_count((first[x] ^ first[y]).view(np.uint64)) <= max_distance) & (label[x] != label[y])
+        ident, first, more, length, label, text = columns
+        hit = np.bitwise_count((first[x] ^ first[y]).view(np.uint64)) + np.bitwise_count((more[x] ^ more[y]).view(np.uint32)) <= max_distance
+        hit &= (label[x] != label[y]) & (np.abs(length[x] - length[y]) <= far)
         x, y = x[hit], y[hit]
         up: dict[int, int] = {}
 
@@ -454,30 +472,34 @@ def _rest(nodes: DataFrame, max_distance: int, min_similarity: float) -> DataFra
         for a, b in meet(arrays(batches), found, spanning_edges, weigh=lambda rows: sum(map(len, rows[-1]))):
             yield _edges(a, b)
 
-    columns = ["id", "first", "label", "line_text"]
-    rows = nodes.select("id", "sketch", "label", "line_text").transform(arrow_map, spread, "bucket bigint, probe boolean, id bigint, first bigint, label bigint, line_text string")
+    columns = ["id", "first", "more", "length", "label", "line_text"]
+    rows = nodes.select("id", "sketch", "label", "line_text").transform(arrow_map, spread, "bucket bigint, probe boolean, id bigint, first bigint, more int, length smallint, label bigint, line_text string")
     return dealt(rows, columns, nodes.count() * TABLES).transform(arrow_map, run, "a bigint, b bigint")
 
 
 def groups(reps: DataFrame, docs: DataFrame, max_distance: int = MAX_DISTANCE, min_similarity: float = MIN_SIMILARITY) -> DataFrame:
-    """node, h2, root for the distinct lines that are linked with others: they share a block, differ in max_distance of 64 bits at
+    """node, h2, root for the distinct lines that are linked with others: they share a block, differ in max_distance of COMPARED bits at
     most, and are alike by min_similarity.
 
     First a forest of the candidates is verified, which settles groups whose members are all alike with as many checks as members.
     Where a check fails, what the verified links connect with either line is compared once more, with the texts. That loses no link:
-    candidates that the forest leaves out are joined in it by a path, which leaves the group of either one by a failed check."""
+    candidates of different groups that the forest leaves out are joined in it by a path, which leaves the group of either one by a
+    failed check between two groups."""
     found = materialize(candidates(reps, max_distance, min_similarity).distinct(), "candidates")
     rough = materialize(connected_components(found), "rough")
     texts = materialize(_texts(docs, rough.select(F.col("node").alias("id"))), "texts")
     checked = materialize(_verified(found, texts, min_similarity), "checked")
     good = checked.where("ok").select("a", "b")
-    bad = materialize(checked.where("not ok").select(F.explode(F.array("a", "b")).alias("id")).distinct(), "failed")
+    now = materialize(connected_components(good).select(F.col("node").alias("n"), F.col("root").alias("label")), "labels")
+    label = lambda end: checked_broadcast(now.withColumnsRenamed({"n": end, "label": f"label_{end}"}))
+    failed = checked.where("not ok").join(label("a"), "a", "left").join(label("b"), "b", "left")
+    failed = failed.select(F.coalesce("label_a", "a").alias("x"), F.coalesce("label_b", "b").alias("y")).where("x <> y")
+    bad = materialize(failed.select(F.explode(F.array("x", "y")).alias("label")).distinct(), "failed")
     if not bad.isEmpty():
-        now = materialize(connected_components(good).select(F.col("node").alias("n"), F.col("root").alias("label")), "labels")
         labelled = rough.select(F.col("node").alias("id")).join(now, F.col("id") == F.col("n"), "left").select("id", F.coalesce("label", "id").alias("label"))
-        still = materialize(labelled.join(labelled.join(bad, "id", "left_semi").select("label").distinct(), "label", "left_semi"), "open")
-        again = materialize(reps.select("id", "sketch").join(checked_broadcast(still), "id").join(texts.select("id", "line_text"), "id"), "again")
-        good = good.union(_rest(again, max_distance, min_similarity))
+        still = materialize(labelled.join(checked_broadcast(bad), "label", "left_semi"), "open")
+        again = materialize(reps.select("id", "sketch").join(checked_broadcast(still), "id"), "open-lines")
+        good = good.union(_rest(again, texts, max_distance, min_similarity))
     out = materialize(connected_components(good).join(texts.select(F.col("id").alias("node"), "h2"), "node"), "groups")
     for done in (found, rough, texts, checked):
         release(done)
@@ -524,7 +546,7 @@ def dedup_lines(docs: DataFrame, max_distance: int = MAX_DISTANCE, min_similarit
 
     Lines are alike if they are the same when normalized (lower case, runs of signs and spaces one space), or linked through lines
     whose edit similarity is at least min_similarity and whose fingerprints meet: they share a block, and differ in at most
-    max_distance of their first 64 bits. Lines of signs and spaces alone stay. A text that loses all its lines is empty; null texts
+    max_distance of their first COMPARED bits. Lines of signs and spaces alone stay. A text that loses all its lines is empty; null texts
     stay null, with no lines. Rows that share doc_id and text share the decision, as one document; rows without doc_id come first.
     Of two lines whose 128-bit hashes agree in one half by chance, only one is compared with others."""
     own = with_row_key(docs, id_col, text_col)

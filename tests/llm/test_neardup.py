@@ -163,6 +163,11 @@ def alike(a, b):
     return abs(len(a) - len(b)) <= int(0.2 * max(len(a), len(b)) + 1e-9) and lines.alike(a, b, 0.8)
 
 
+def apart(f, g):
+    """How many of the first 96 bits differ."""
+    return (f[0] ^ g[0]).bit_count() + ((f[1] ^ g[1]) & 0xFFFFFFFF).bit_count()
+
+
 def brute_lines(docs):
     """Line numbers that each (doc_id, text) loses."""
     first, order = {}, sorted(docs, key=lambda d: d[0])
@@ -180,7 +185,7 @@ def brute_lines(docs):
             table.setdefault((t, block), []).append(i)
     for v in table.values():
         met |= set(combinations(v, 2))
-    links = [(i, j) for i, j in met if (fps[i][0] ^ fps[j][0]).bit_count() <= 14 and alike(texts[i], texts[j])]
+    links = [(i, j) for i, j in met if apart(fps[i], fps[j]) <= 20 and alike(texts[i], texts[j])]
     group = dict(zip(texts, classes(len(texts), links)))
     keep = {}
     for t, g in group.items():
@@ -227,7 +232,7 @@ def test_line_recall(spark):
     raw, off = lines.buffers(pa.array(texts, pa.string()))
     fps = lines.fingerprints(raw, off)
     keys = lines.block_keys(fps)
-    met = [(i, j) for i, j in pairs if (keys[i] == keys[j]).any() and (int(fps[i][0]) ^ int(fps[j][0])).bit_count() <= 14]
+    met = [(i, j) for i, j in pairs if (keys[i] == keys[j]).any() and apart(fps[i].tolist(), fps[j].tolist()) <= 20]
     group = classes(len(texts), met)
     print(len(pairs), len(met) / len(pairs), sum(group[i] == group[j] for i, j in pairs) / len(pairs))
     assert len(pairs) > 200 and len(met) >= 0.85 * len(pairs)
