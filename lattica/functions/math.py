@@ -142,3 +142,86 @@ def log_of(x: Column) -> Column:
 
 
 PI, EULER = math.pi, math.e
+
+
+def numerator(x: Column) -> Column:
+    """Of a fraction (struct num, den)."""
+    return x["num"]
+
+
+def denominator(x: Column) -> Column:
+    return x["den"]
+
+
+def real_part(z: Column) -> Column:
+    return z["re"]
+
+
+def imag_part(z: Column) -> Column:
+    return z["im"]
+
+
+def to_exact(x: Column, direction: int = 0) -> Column:
+    """The integer of a number: toward zero, up (1) or down (-1)."""
+    return (F.ceil(x) if direction > 0 else F.floor(x) if direction < 0 else truncate(x)).cast("bigint")
+
+
+def random_below(n: int, seed: int | None = None) -> Column:
+    """A random integer from 0 up to n."""
+    return F.floor((F.rand(seed) if seed is not None else F.rand()) * n).cast("bigint")
+
+
+def _let(x: Column, fn) -> Column:
+    """fn of a value that is computed once, however often fn names it."""
+    return F.get(F.transform(F.array(x), fn), 0)
+
+
+def _plus(a: Column, b: Column) -> Column:
+    """a + b modulo 2 ** 64, without an overflow: the lower 32 bits first, then the upper ones with the carry."""
+    low = _mask(a, 32) + _mask(b, 32)
+    high = F.shiftrightunsigned(a, 32) + F.shiftrightunsigned(b, 32) + F.shiftright(low, 32)
+    return F.shiftleft(high, 32).bitwiseOR(_mask(low, 32))
+
+
+def _times(x: Column, factor: int) -> Column:
+    """x times a factor below 2 ** 30, modulo 2 ** 64."""
+    f = F.lit(factor).cast("bigint")
+    return _plus(_mask(x, 32) * f, F.shiftleft(_mask(F.shiftrightunsigned(x, 32) * f, 32), 32))
+
+
+def _mixed(y: Column, n: int) -> Column:
+    return y.bitwiseXOR(F.shiftrightunsigned(y, n))
+
+
+def _steps(x: Column, *steps) -> Column:
+    for step in steps:
+        x = _let(x, step)
+    return x
+
+
+def wang_hash32(x: Column) -> Column:
+    """Wang's hash of a 32-bit number; the steps are not cut to 32 bits."""
+    return _steps(x.cast("bigint"), lambda y: _mixed(y, 16).bitwiseXOR(F.lit(61).cast("bigint")), lambda y: _times(y, 9), lambda y: _mixed(y, 4), lambda y: _times(y, 0x27D4EB2D), lambda y: _mixed(y, 15))
+
+
+def wang_hash64(x: Column) -> Column:
+    """Wang's hash of a 64-bit number, as a signed one."""
+    first = lambda y: _plus(F.bitwise_not(y), F.shiftleft(y, 21))
+    last = lambda y: _plus(y, F.shiftleft(y, 31))
+    return _steps(x.cast("bigint"), first, lambda y: _mixed(y, 24), lambda y: _times(y, 265), lambda y: _mixed(y, 14), lambda y: _times(y, 21), lambda y: _mixed(y, 28), last)
+
+
+def flip64(x: Column) -> Column:
+    """The bytes of a 64-bit number the other way round."""
+    y = x.cast("bigint")
+    return F.shiftleft(flip32(y), 32).bitwiseOR(flip32(F.shiftrightunsigned(y, 32)))
+
+
+def number_text(x: Column, precision: int) -> Column:
+    """A number with so many digits after the point."""
+    return F.format_string(f"%.{precision}f", x.cast("double"))
+
+
+def locale_text(x: Column, precision: int = 0) -> Column:
+    """A number with commas between thousands."""
+    return F.format_number(x, precision)

@@ -113,3 +113,90 @@ def typed(a: Column, kind: str) -> Column:
 def assoc(pairs: Column, key: Column) -> Column:
     """The first entry of a key in an array of structs (key, value)."""
     return F.get(F.filter(pairs, lambda p: p["key"] == key), 0)
+
+
+#: Length tests by their sign.
+_LENGTH = {"=": Column.__eq__, "<": Column.__lt__, "<=": Column.__le__, ">": Column.__gt__, ">=": Column.__ge__}
+
+
+def length_is(a: Column, sign: str, n: int) -> Column:
+    """A length compared with a number: sign is one of = < <= > >=."""
+    return _LENGTH[sign](F.size(a), F.lit(n))
+
+
+def every(a: Column, test) -> Column:
+    """Whether all elements pass; true of an empty sequence."""
+    return F.forall(a, lambda x: F.coalesce(test(x), F.lit(False)))
+
+
+def some(a: Column, test) -> Column:
+    return F.exists(a, lambda x: F.coalesce(test(x), F.lit(False)))
+
+
+def find(a: Column, x: Column) -> Column:
+    """The first equal element, null if there is none."""
+    return F.when(F.array_contains(a, x), x)
+
+
+def _fails(test):
+    return lambda x: ~F.coalesce(test(x), F.lit(False))
+
+
+def find_if_not(a: Column, test) -> Column:
+    return find_if(a, _fails(test))
+
+
+def position_if_not(a: Column, test) -> Column:
+    return position_if(a, _fails(test))
+
+
+def remove_if_not(a: Column, test) -> Column:
+    return F.filter(a, lambda x: F.coalesce(test(x), F.lit(False)))
+
+
+def append(*arrays: Column) -> Column:
+    return F.concat(*arrays)
+
+
+def reverse(a: Column) -> Column:
+    return F.reverse(a)
+
+
+def cons(x: Column, a: Column) -> Column:
+    return F.array_prepend(a, x)
+
+
+def make_vector(n: int, x: Column) -> Column:
+    return F.array_repeat(x, n)
+
+
+def map_to_set(fn, a: Column) -> Column:
+    """The set of what fn gives for the elements, without nulls."""
+    return F.array_sort(F.array_distinct(F.array_compact(F.transform(a, fn))))
+
+
+def elements(a: Column, start: int = 0, end: int | None = None) -> Column:
+    """The set of the elements from start up to end."""
+    part = a if start == 0 and end is None else slice_(a, start, end)
+    return F.array_sort(F.array_distinct(F.array_compact(part)))
+
+
+def text_to_vector(s: Column) -> Column:
+    """The characters of a text."""
+    return F.when(F.length(s) > 0, F.split(s, "")).otherwise(F.array().cast("array<string>"))
+
+
+def vector_to_text(a: Column) -> Column:
+    return F.array_join(a, "")
+
+
+def text_to_packet(s: Column) -> Column:
+    """The bytes of a text, as numbers."""
+    h = F.hex(F.encode(s, "UTF-8"))
+    at = F.when(F.length(h) > 0, F.sequence(F.lit(1), F.length(h), F.lit(2))).otherwise(F.array().cast("array<int>"))
+    return F.transform(at, lambda i: F.conv(F.substr(h, i, F.lit(2)), 16, 10).cast("int"))
+
+
+def sorted_lexically(a: Column) -> Column:
+    """Texts in lower-case order, those alike in their own order."""
+    return sorted_by(a, lambda x: F.struct(F.lower(x).alias("l"), x.alias("x")))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import unicodedata
 from collections.abc import Sequence
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column
@@ -241,3 +242,51 @@ def compare_chain(op: str, *parts: Column, ignore_case: bool = False) -> Column:
     for a, b in zip(parts, parts[1:]):
         out = out & ops[op](a, b)
     return out
+
+
+def downcase(s: Column) -> Column:
+    return F.lower(s)
+
+
+def upcase(s: Column) -> Column:
+    return F.upper(s)
+
+
+def trim_spaces(s: Column) -> Column:
+    """Without the white space at its ends."""
+    return F.regexp_replace(s, r"^\s+|\s+$", "")
+
+
+def make_string(n: int, c: str = " ") -> Column:
+    return F.repeat(F.lit(c), n)
+
+
+def subst_all(s: Column, *pairs: str) -> Column:
+    """Several literal replacements, one after the other: old, new, old, new."""
+    for old, new in zip(pairs[::2], pairs[1::2]):
+        s = F.replace(s, F.lit(old), F.lit(new))
+    return s
+
+
+def matches_some(s: Column, *patterns: object) -> Column:
+    """Whether a text equals one of some texts, or one of some patterns (see regexes.Regex) is found in it."""
+    tests = [(s == F.lit(p)) if isinstance(p, str) else p(s) for p in patterns]
+    return F.coalesce(reduce(Column.__or__, tests), F.lit(False))
+
+
+def text_if(test: Column, *parts: Column) -> Column:
+    """The parts joined if the test holds, else an empty text."""
+    return F.when(test, F.concat(*parts)).otherwise("")
+
+
+def to_packet(s: Column, encoding: str = "UTF-8") -> Column:
+    return F.encode(s, encoding)
+
+
+def from_packet(b: Column, encoding: str = "UTF-8") -> Column:
+    return F.decode(b, encoding)
+
+
+def is_utf8(b: Column) -> Column:
+    """Whether bytes are valid UTF-8."""
+    return F.is_valid_utf8(b.cast("string"))

@@ -117,3 +117,40 @@ def uuid_time(uuid: Column) -> Column:
 
 def uuid_node(uuid: Column) -> Column:
     return F.conv(F.substring(uuid, 25, 12), 16, 10).cast("bigint")
+
+#: Parts of a timestamp by name.
+_PARTS = {
+    "year": F.year, "month": F.month, "day": F.dayofmonth, "hour": F.hour, "minute": F.minute, "second": F.second, "dayofweek": lambda t: F.dayofweek(t) - 1, "dayofyear": F.dayofyear, "week": F.weekofyear, "quarter": F.quarter,
+}
+
+
+def part(ts: Column, name: str) -> Column:
+    """A part of a timestamp: year, month, day, hour, minute, second, dayofweek (Sunday is 0), dayofyear, week, quarter; tick (whole
+    seconds since 1970) and its finer forms milli and micro; and names: monthname, weekday."""
+    if name in _PARTS:
+        return _PARTS[name](ts)
+    whole = ts.cast("timestamp")
+    ticks = {"tick": F.unix_seconds, "milli": F.unix_millis, "micro": F.unix_micros}
+    if name in ticks:
+        return ticks[name](whole)
+    names = {"monthname": "MMM", "weekday": "EEE"}
+    return F.lower(F.date_format(ts, names[name]))
+
+
+def precise(ts: Column, precision: str) -> Column:
+    """The ISO form of a timestamp as far as its precision: year, month, day, hour, minute, second, millisecond."""
+    forms = {"year": "yyyy", "month": "yyyy-MM", "day": "yyyy-MM-dd", "hour": "yyyy-MM-dd'T'HH", "minute": "yyyy-MM-dd'T'HH:mm", "second": "yyyy-MM-dd'T'HH:mm:ss", "millisecond": "yyyy-MM-dd'T'HH:mm:ss.SSS"}
+    return F.date_format(ts, forms[precision])
+
+
+def is_later(a: Column, b: Column) -> Column:
+    return difference(a, b) > 0
+
+
+def is_earlier(a: Column, b: Column) -> Column:
+    return difference(a, b) < 0
+
+
+def from_tick(seconds: Column) -> Column:
+    """The timestamp of a number of seconds since 1970."""
+    return F.timestamp_seconds(seconds)

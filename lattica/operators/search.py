@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lattica.plans.model import matches_any
+from lattica.plans.model import Pool, in_pool, matches_any
 
 Clause = tuple[object, object]
 
@@ -63,6 +63,43 @@ def reject(rows: DataFrame, *tests: Column) -> DataFrame:
     return rows.where(~F.coalesce(reduce(Column.__and__, tests), F.lit(False)))
 
 
+def passes(value: Column, test: object) -> Column:
+    """Whether a value passes a test: a Regex that is found in a text, a Pool that holds an id, a function of the column, a tuple of
+    a function and more arguments, a list or set that has the value, or a value that it equals. Nulls pass none."""
+    if isinstance(test, Pool):
+        out = in_pool(value, test)
+    elif isinstance(test, tuple) and test and callable(test[0]):
+        out = test[0](value, *test[1:])
+    elif callable(test):
+        out = test(value)
+    elif isinstance(test, (list, set, frozenset)):
+        out = reduce(Column.__or__, [passes(value, t) for t in test], F.lit(False))
+    else:
+        out = value == F.lit(test)
+    return F.coalesce(out, F.lit(False))
+
+
+def pick_where(rows: DataFrame, **tests: object) -> DataFrame:
+    """Rows whose columns pass their tests (see passes()): all columns, any one of a list of tests."""
+    return rows.where(reduce(Column.__and__, [passes(F.col(c), t) for c, t in tests.items()]))
+
+
+def reject_where(rows: DataFrame, **tests: object) -> DataFrame:
+    """The rows that pick_where() leaves out."""
+    return rows.where(~reduce(Column.__and__, [passes(F.col(c), t) for c, t in tests.items()]))
+
+
+def testp(facts: DataFrame, frames: DataFrame, slots: object, test: object) -> DataFrame:
+    """The frames that have a value in one of the slots that passes a test: a function of the column `v` of typed values (struct
+    vtype, vs, vn, vo), or a table (DataFrame with a column vs, vn or vo) that has the value."""
+    values = facts.where(F.col("slot").isin(_list(slots)))
+    if isinstance(test, DataFrame):
+        values = values.join(test.select(*(F.col(c).alias(f"__{c}") for c in test.columns)), reduce(Column.__and__, [F.col(c) == F.col(f"__{c}") for c in test.columns]), "left_semi")
+    else:
+        values = values.where(F.coalesce(test(F.struct("vtype", "vs", "vn", "vo")), F.lit(False)))
+    return frames.select("oid").join(values.select("oid"), "oid", "left_semi")
+
+
 def prefer(rows: DataFrame, *tests: Column) -> DataFrame:
     """pick(), or all rows if it is empty. One aggregate row that says whether any passes is joined, which needs no second pass over
     what is kept and no action while the plan is made."""

@@ -213,3 +213,74 @@ def overlap_join(a: DataFrame, b: DataFrame, member: str, a_key: str, b_key: str
 
 def running(rows: DataFrame, keys: list[str], order: list[Column], value: Column, into: str) -> DataFrame:
     return rows.withColumn(into, F.sum(value).over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
+
+
+# conditionals: a null is the empty set, which is neither true nor false
+
+
+def tryif(test: Column, *values: Column) -> Column:
+    """The first of the values that is not empty, if the test holds; an empty test counts as false."""
+    return F.when(F.coalesce(test, F.lit(False)), F.coalesce(*values))
+
+
+def cond(*clauses: tuple[Column, Column], otherwise: Column | None = None) -> Column:
+    """The value of the first clause whose test isn't false; an empty test is not false."""
+    out = None
+    for test, value in clauses:
+        holds = F.coalesce(test, F.lit(True))
+        out = F.when(holds, value) if out is None else out.when(holds, value)
+    return out if otherwise is None else out.otherwise(otherwise)
+
+
+def case(key: Column, *clauses: tuple[object, Column], otherwise: Column | None = None) -> Column:
+    """The value of the first clause that has the key among its keys."""
+    out = None
+    for keys, value in clauses:
+        test = key.isin(list(keys) if isinstance(keys, (list, tuple, set, frozenset)) else [keys])
+        out = F.when(test, value) if out is None else out.when(test, value)
+    return out if otherwise is None else out.otherwise(otherwise)
+
+
+def when(test: Column, value: Column) -> Column:
+    """The value if the test is neither false nor empty."""
+    return F.when(test, value)
+
+
+def unless(test: Column, value: Column) -> Column:
+    """The value if the test is false; none if it is empty."""
+    return F.when(~test, value)
+
+
+def and_(*tests: Column) -> Column:
+    """The first test that is false or empty, else the last one."""
+    out = tests[-1]
+    for t in reversed(tests[:-1]):
+        out = F.when(t.isNull(), F.lit(None)).when(~t, F.lit(False)).otherwise(out)
+    return out
+
+
+def or_(*tests: Column) -> Column:
+    """The first test that is neither false nor empty, else the last one."""
+    out = tests[-1]
+    for t in reversed(tests[:-1]):
+        out = F.when(t, F.lit(True)).otherwise(out)
+    return out
+
+
+def not_(test: Column) -> Column:
+    """Empty stays empty."""
+    return ~test
+
+
+def some_or_skip(s: Column, test) -> Column:
+    """some(), where a member that the test fails on (null) is skipped."""
+    return F.exists(s, lambda x: F.coalesce(test(x), F.lit(False)))
+
+
+def every_or_skip(s: Column, test) -> Column:
+    return F.forall(s, lambda x: F.coalesce(test(x), F.lit(True)))
+
+
+def choice_size(rows: DataFrame, keys: list[str], member: str, into: str = "members") -> DataFrame:
+    """How many different members each key has."""
+    return rows.groupBy(*keys).agg(F.countDistinct(member).alias(into))

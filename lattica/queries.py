@@ -782,3 +782,6 @@ def stream_task(spark, sf_dir):
     engine.run(source, engine.branch_writer(f"{path}/branches"), "task-" + path[-8:], checkpoint=f"{path}/checkpoint")
     merged = engine.merge_branches(spark, f"{path}/branches")
     return merged.groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total"))
+
+
+from lattica import queries_more  # noqa: E402, F401  (registers its queries here)

@@ -6,7 +6,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from lattica.functions import fuzzy, maps, pattern, sequences, strings, text, time
+from lattica.functions import fuzzy, maps, pattern, regexes, sequences, strings, text, time
 from lattica.functions import math as numbers
 from lattica.operators import aggregate, geo, graph, search, sets, store
 from lattica.plans import model
@@ -264,3 +264,44 @@ def test_fuzzy_keys(spark):
     keys = {r.t: r["keys"] for r in fuzzy.fuzz_terms(terms, "t", fragments=2).collect()}
     assert {"t:café-society", "b:cafe-society", "t:café society", "t:cafésociety", "f:society"} <= set(keys["Café-Society"])
     assert keys[""] == [] and keys[None] == []
+
+
+def wang64(n):
+    mask = (1 << 64) - 1
+    n = (~n + (n << 21)) & mask
+    n ^= n >> 24
+    n = n * 265 & mask
+    n ^= n >> 14
+    n = n * 21 & mask
+    n ^= n >> 28
+    n = (n + (n << 31)) & mask
+    return n - (1 << 64) if n >> 63 else n
+
+
+def test_integer_hashes(spark):
+    values = [0, 1, 7, 2**31, 2**53 + 1, 2**62]
+    rows = spark.createDataFrame([(v,) for v in values], "v bigint")
+    got = rows.select("v", numbers.wang_hash64(F.col("v")).alias("h"), numbers.flip64(F.col("v")).alias("f")).collect()
+    assert {r.v: r.h for r in got} == {v: wang64(v) for v in values}
+    assert {r.v: r.f for r in got} == {v: int.from_bytes(v.to_bytes(8, "little"), "big", signed=True) for v in values}
+
+
+def test_regexes(spark):
+    angles, signs = regexes.Regex("<[^>]+>"), regexes.Regex("@[^@]+@")
+    text = "<P>This is a <em>simple</em> sentence</P>"
+    rows = spark.createDataFrame([(text, text[:3], text[1:])], "s string, p string, r string")
+    s, p, r = F.col("s"), F.col("p"), F.col("r")
+    got = rows.select(
+        regexes.match(angles, s), regexes.match(angles, p), regexes.match_length(angles, s), regexes.match_length(signs, s), regexes.match_string(angles, s), regexes.match_string(signs, s), regexes.search(angles, r), regexes.search(signs, r),
+        regexes.match_span(angles, s), regexes.gather(angles, s),
+    ).first()
+    assert tuple(got) == (False, True, 3, None, "<P>", None, 12, None, (0, 3), ["</P>", "</em>", "<P>", "<em>"])
+
+
+def test_pick_forms(spark):
+    rows = spark.createDataFrame([("<p>", 1), (".p", 5), (None, 70)], "s string, n int")
+    angles = regexes.Regex("<[^>]+>")
+    assert [r.s for r in search.pick_where(rows, s=angles).collect()] == ["<p>"]
+    assert sorted(r.n for r in search.reject_where(rows, s=angles).collect()) == [5, 70]
+    assert sorted(r.n for r in search.pick_where(rows, n=[model.Pool("p", 0, 6), 70]).collect()) == [1, 5, 70]
+    assert [r.n for r in search.pick_where(rows, n=lambda n: n > 4, s=".p").collect()] == [5]
