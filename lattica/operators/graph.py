@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lattica.plans.model import Frames, facts_of
 from lattica.plans.storage import dropped, written
 
 
@@ -21,17 +22,17 @@ from lattica.plans.storage import dropped, written
 MAX_EDGES, CELLS = 1_000_000, 1 << 24
 
 
-def edges_of(facts: DataFrame, *slots: str) -> DataFrame:
+def edges_of(facts: DataFrame | Frames, *slots: str) -> DataFrame:
     """src, dst of the slots' values that are frames."""
-    return facts.where(F.col("slot").isin(list(slots)) & (F.col("vtype") == "oid")).select(F.col("oid").alias("src"), F.col("vo").alias("dst")).distinct()
+    return facts_of(facts, *slots).where(F.col("vtype") == "oid").select(F.col("oid").alias("src"), F.col("vo").alias("dst")).distinct()
 
 
-def getpath(facts: DataFrame, frames: DataFrame, path: Sequence[str]) -> DataFrame:
+def getpath(facts: DataFrame | Frames, frames: DataFrame, path: Sequence[str]) -> DataFrame:
     """The values at the end of a path of slots from a set of frames (oid): columns start, vtype, vs, vn, vo. One equi-join per step;
     all steps but the last go on from values that are frames."""
     now = frames.select(F.col("oid").alias("start"), F.col("oid").alias("at")).distinct()
     for k, slot in enumerate(path):
-        step = facts.where(F.col("slot") == slot).select(F.col("oid").alias("at"), "vtype", "vs", "vn", "vo")
+        step = facts_of(facts, slot).select(F.col("oid").alias("at"), "vtype", "vs", "vn", "vo")
         joined = now.join(step, "at")
         if k + 1 == len(path):
             return joined.select("start", "vtype", "vs", "vn", "vo").distinct()

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lattica.plans.model import Pool, in_pool, matches_any
+from lattica.plans.model import Frames, Pool, facts_of, in_pool, matches_any
 
 Clause = tuple[object, object]
 
@@ -22,16 +22,22 @@ def clause(slots: object, values: object) -> Column:
     return F.col("slot").isin(_list(slots)) & matches_any(_list(values))
 
 
-def find_frames(facts: DataFrame, *clauses: Clause) -> DataFrame:
+def find_frames(facts: DataFrame | Frames, *clauses: Clause) -> DataFrame:
     """The frames (column oid) that bear out every clause.
 
-    One scan, filtered by the clauses, and one aggregation by frame that gathers which clauses it bears out; there is no join per
+    Over one wide table (Frames of one source) the clauses become tests of its columns, which the scan takes. Else one scan, filtered by the clauses, and one aggregation by frame that gathers which clauses it bears out; there is no join per
     clause, and partial aggregation leaves a row per frame and task to shuffle. A clause without values has no frames, and the
     result is empty then."""
     if not clauses:
         raise ValueError("a search needs a clause")
     if any(not _list(v) or not _list(s) for s, v in clauses):
-        return facts.select("oid").limit(0)
+        return _no_frames(facts)
+    if isinstance(facts, Frames):
+        if len(facts.sources) == 1:
+            only = facts.sources[0]
+            tests = [only.test(_list(s), _list(v)) for s, v in clauses]
+            return only.wide.where(reduce(Column.__and__, tests)).select((F.col(only.key).cast("bigint") + only.base).alias("oid")).distinct()
+        facts = facts.facts(*{str(x) for s, _ in clauses for x in _list(s)})
     tests = [clause(s, v) for s, v in clauses]
     found = facts.where(reduce(Column.__or__, tests))
     if len(tests) == 1:
@@ -42,10 +48,14 @@ def find_frames(facts: DataFrame, *clauses: Clause) -> DataFrame:
     return found.groupBy("oid").agg(F.bit_or(borne).alias("borne")).where(F.col("borne") == (1 << len(tests)) - 1).select("oid")
 
 
-def xfind_frames(facts: DataFrame, *clauses: Clause) -> DataFrame:
+def xfind_frames(facts: DataFrame | Frames, *clauses: Clause) -> DataFrame:
     """find_frames() without the clauses that have no values."""
     kept = [c for c in clauses if _list(c[1])]
-    return find_frames(facts, *kept) if kept else facts.select("oid").limit(0)
+    return find_frames(facts, *kept) if kept else _no_frames(facts)
+
+
+def _no_frames(facts: DataFrame | Frames) -> DataFrame:
+    return (facts.facts() if isinstance(facts, Frames) else facts).select("oid").limit(0)
 
 
 def federated_find(sources: Sequence[DataFrame], *clauses: Clause) -> DataFrame:
@@ -92,7 +102,7 @@ def reject_where(rows: DataFrame, **tests: object) -> DataFrame:
 def testp(facts: DataFrame, frames: DataFrame, slots: object, test: object) -> DataFrame:
     """The frames that have a value in one of the slots that passes a test: a function of the column `v` of typed values (struct
     vtype, vs, vn, vo), or a table (DataFrame with a column vs, vn or vo) that has the value."""
-    values = facts.where(F.col("slot").isin(_list(slots)))
+    values = facts_of(facts, *_list(slots))
     if isinstance(test, DataFrame):
         values = values.join(test.select(*(F.col(c).alias(f"__{c}") for c in test.columns)), reduce(Column.__and__, [F.col(c) == F.col(f"__{c}") for c in test.columns]), "left_semi")
     else:
@@ -137,30 +147,30 @@ def skip_types(facts: DataFrame, *types: str) -> DataFrame:
     return facts.where(~F.col("vtype").isin(list(types)))
 
 
-def get(facts: DataFrame, frames: DataFrame, *slots: str) -> DataFrame:
+def get(facts: DataFrame | Frames, frames: DataFrame, *slots: str) -> DataFrame:
     """The values of some slots over a set of frames, as a set (columns vtype, vs, vn, vo)."""
-    return facts.where(F.col("slot").isin(list(slots))).join(frames.select("oid"), "oid", "left_semi").select("vtype", "vs", "vn", "vo").distinct()
+    return facts_of(facts, *slots).join(frames.select("oid"), "oid", "left_semi").select("vtype", "vs", "vn", "vo").distinct()
 
 
-def test(facts: DataFrame, frames: DataFrame, slots: object, values: object = None) -> DataFrame:
+def test(facts: DataFrame | Frames, frames: DataFrame, slots: object, values: object = None) -> DataFrame:
     """The frames that have a value in one of the slots, or one of the given values."""
     has = F.col("slot").isin(_list(slots)) if values is None else clause(slots, values)
-    return frames.select("oid").join(facts.where(has).select("oid"), "oid", "left_semi")
+    return frames.select("oid").join(facts_of(facts, *_list(slots)).where(has).select("oid"), "oid", "left_semi")
 
 
-def sumframe(facts: DataFrame, frames: DataFrame, *slots: str) -> DataFrame:
+def sumframe(facts: DataFrame | Frames, frames: DataFrame, *slots: str) -> DataFrame:
     """A record per frame: the sets of the given slots."""
     from lattica.plans.model import to_wide
 
-    return to_wide(facts.join(frames.select("oid"), "oid", "left_semi"), slots)
+    return to_wide(facts_of(facts, *slots).join(frames.select("oid"), "oid", "left_semi"), slots)
 
 
 # indexes
 
 
-def index_frames(facts: DataFrame, *slots: str) -> DataFrame:
+def index_frames(facts: DataFrame | Frames, *slots: str) -> DataFrame:
     """The postings of some slots: a row per (slot, value, frame)."""
-    return facts.where(F.col("slot").isin(list(slots))).select("slot", "vtype", "vs", "vn", "vo", "oid").distinct()
+    return facts_of(facts, *slots).select("slot", "vtype", "vs", "vn", "vo", "oid").distinct()
 
 
 def write_index(postings: DataFrame, path: str, mode: str = "overwrite") -> None:

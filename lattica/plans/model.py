@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -75,7 +76,7 @@ def to_facts(wide: DataFrame, key: str, slots: Sequence[str] | None = None, oid_
     """A wide table as facts: one scan, one row per column that isn't null. Array columns are sets of values. oid_slots name columns
     that hold ids of frames, with the base to add to them if it is a mapping; base is added to the key."""
     offsets = dict(oid_slots) if isinstance(oid_slots, Mapping) else dict.fromkeys(oid_slots, 0)
-    plain, sets = [], []
+    plain, sets, singles = [], [], []
     for field in wide.schema:
         if field.name == key or (slots is not None and field.name not in slots):
             continue
@@ -86,13 +87,84 @@ def to_facts(wide: DataFrame, key: str, slots: Sequence[str] | None = None, oid_
             off = offsets.get(field.name)
             value = value_struct(c + off if off else c, field.dataType, off is not None)
             plain.append(F.when(c.isNotNull(), F.struct(F.lit(field.name).alias("slot"), value.alias("v"))))
+            singles.append((field.name, c, value))
+    if len(plain) == 1 and not sets:  # one slot: a plain filter and projection, which reach the scan
+        name, column, value = singles[0]
+        return wide.where(column.isNotNull()).select((F.col(key).cast("bigint") + base).alias("oid"), F.lit(name).alias("slot"), *(value[f].alias(f) for f in ("vtype", "vs", "vn", "vo")))
     entries = F.array_compact(F.array(*plain)) if plain else None
     every = F.concat(*([entries] if plain else []), *sets) if sets else entries
+    if every is None:
+        return wide.sparkSession.createDataFrame([], FACTS)
     rows = wide.select((F.col(key).cast("bigint") + base).alias("oid"), F.explode(every).alias("e"))
     out = rows.select("oid", "e.slot", "e.v.vtype", "e.v.vs", "e.v.vn", "e.v.vo")
     return out.distinct() if sets else out
 
 
+@dataclass(frozen=True)
+class Source:
+    """A wide table of frames: its key, the columns that hold ids of frames (with the base to add to them), and the base of the key."""
+
+    wide: DataFrame
+    key: str
+    oid_slots: Mapping[str, int] | Sequence[str] = ()
+    base: int = 0
+
+    def slots(self) -> list[str]:
+        return [f.name for f in self.wide.schema if f.name != self.key]
+
+    def test(self, slots: Sequence[object], values: Sequence[object]) -> Column:
+        """Whether a row has one of the values in one of the slots, as a test of its columns, which the scan can take."""
+        offsets = dict(self.oid_slots) if isinstance(self.oid_slots, Mapping) else dict.fromkeys(self.oid_slots, 0)
+        out = F.lit(False)
+        for name in self.slots():
+            if name in slots:
+                out = out | _column_has(F.col(name), self.wide.schema[name].dataType, values, offsets.get(name))
+        return F.coalesce(out, F.lit(False)) if len(slots) > 1 else out
+
+
+@dataclass(frozen=True)
+class Frames:
+    """Frames that are kept in wide tables. facts() makes facts of the slots asked for, and reads no other columns."""
+
+    sources: tuple[Source, ...]
+
+    def facts(self, *slots: str) -> DataFrame:
+        parts = []
+        for s in self.sources:
+            own = [x for x in s.slots() if not slots or x in slots]
+            if own:
+                parts.append(to_facts(s.wide, s.key, own, s.oid_slots, s.base))
+        if not parts:
+            return self.sources[0].wide.sparkSession.createDataFrame([], FACTS)
+        return reduce(DataFrame.unionByName, parts)
+
+
+def facts_of(source: DataFrame | Frames, *slots: str) -> DataFrame:
+    """The facts of some slots (all if none is named), from a table of facts or from wide tables."""
+    if isinstance(source, Frames):
+        return source.facts(*slots)
+    return source.where(F.col("slot").isin(list(slots))) if slots else source
+
+
+def _column_has(c: Column, kind: T.DataType, values: Sequence[object], offset: int | None) -> Column:
+    """Whether a column has one of some values; the same values that matches_any() finds in its facts."""
+    if isinstance(kind, T.ArrayType):
+        return F.exists(c, lambda x: F.coalesce(_column_has(x, kind.elementType, values, offset), F.lit(False)))
+    flags = [v for v in values if isinstance(v, bool)]
+    numbers = [v for v in values if isinstance(v, (int, float)) and not isinstance(v, bool)]
+    texts = [v for v in values if isinstance(v, str)]
+    if offset is not None:
+        return c.isin([v.id - offset for v in values if isinstance(v, Oid)])
+    if isinstance(kind, T.IntegralType):
+        whole = [int(v) for v in numbers if v == int(v)]
+        return c.isin([v for v in whole if -(2**63) <= v < 2**63])
+    if isinstance(kind, T.NumericType):
+        return c.isin([float(v) for v in numbers])
+    if isinstance(kind, T.BooleanType):
+        return c.isin(flags)
+    return c.isin(texts) if isinstance(kind, T.StringType) else c.cast("string").isin(texts)
+
+
 def value_text(vtype: str = "vtype") -> Column:
     """A value as text that tells values of one type apart."""
     return F.coalesce("vs", F.col("vo").cast("string"), F.when(F.col(vtype) == "int", F.col("vn").cast("bigint").cast("string")).otherwise(F.col("vn").cast("string")))

@@ -12,7 +12,7 @@ from lattica.functions import fuzzy, maps, pattern, sequences, strings, text, ti
 from lattica.functions import math as numbers
 from lattica.operators import aggregate, geo, graph, infer, search, sets, store
 from lattica.plans import model
-from lattica.plans.model import Oid, Pool, to_facts
+from lattica.plans.model import Frames, Oid, Pool, Source, to_facts
 from lattica.sources import io
 from lattica.streaming import engine
 
@@ -38,6 +38,15 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return model.table(spark, sf_dir, name)
 
 
+def customers(spark: SparkSession, sf_dir: str) -> Frames:
+    return Frames((Source(read(spark, sf_dir, "customer"), "c_custkey", {"c_nationkey": NATION}),))
+
+
+def world(spark: SparkSession, sf_dir: str) -> Frames:
+    nations = Source(read(spark, sf_dir, "nation"), "n_nationkey", {"n_regionkey": REGION}, NATION)
+    return Frames((*customers(spark, sf_dir).sources, nations, Source(read(spark, sf_dir, "region"), "r_regionkey", base=REGION)))
+
+
 def customer_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return to_facts(read(spark, sf_dir, "customer"), "c_custkey", oid_slots={"c_nationkey": NATION})
 
@@ -67,7 +76,7 @@ def oids(spark: SparkSession, *ids: int) -> DataFrame:
 
 @query("select c_custkey as oid from customer where c_mktsegment = 'BUILDING'")
 def find_frames_single(spark, sf_dir):
-    return search.find_frames(customer_facts(spark, sf_dir), ("c_mktsegment", "BUILDING"))
+    return search.find_frames(customers(spark, sf_dir), ("c_mktsegment", "BUILDING"))
 
 
 @query("select c_custkey as oid from customer where c_mktsegment in ('BUILDING', 'FURNITURE')")
@@ -77,12 +86,12 @@ def find_frames_or(spark, sf_dir):
 
 @query("select c_custkey as oid from customer where c_mktsegment in ('BUILDING', 'FURNITURE') and c_nationkey in (1, 2, 3, 7)")
 def find_frames_and(spark, sf_dir):
-    return search.find_frames(customer_facts(spark, sf_dir), ("c_mktsegment", ["BUILDING", "FURNITURE"]), ("c_nationkey", [Oid(NATION + k) for k in (1, 2, 3, 7)]))
+    return search.find_frames(customers(spark, sf_dir), ("c_mktsegment", ["BUILDING", "FURNITURE"]), ("c_nationkey", [Oid(NATION + k) for k in (1, 2, 3, 7)]))
 
 
 @query("select 1000000000 + n_nationkey as oid from nation where n_name in ('ASIA', 'CHINA', 'FRANCE') union select 2000000000 + r_regionkey from region where r_name in ('ASIA', 'CHINA', 'FRANCE')")
 def find_frames_any_slot(spark, sf_dir):
-    return search.find_frames(world_facts(spark, sf_dir), (["n_name", "r_name"], ["ASIA", "CHINA", "FRANCE"]))
+    return search.find_frames(world(spark, sf_dir), (["n_name", "r_name"], ["ASIA", "CHINA", "FRANCE"]))
 
 
 @query("select c_custkey as oid from customer where c_mktsegment = 'MACHINERY'")
@@ -174,16 +183,16 @@ def sumframe(spark, sf_dir):
 
 @query("select c_custkey as start, r_name as v from customer join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey")
 def getpath_3hop(spark, sf_dir):
-    facts = world_facts(spark, sf_dir)
-    return graph.getpath(facts, facts.where("slot = 'c_mktsegment'").select("oid"), ["c_nationkey", "n_regionkey", "r_name"]).select("start", F.col("vs").alias("v"))
+    facts = world(spark, sf_dir)
+    return graph.getpath(facts, facts.facts("c_mktsegment").select("oid"), ["c_nationkey", "n_regionkey", "r_name"]).select("start", F.col("vs").alias("v"))
 
 
 @query("""select c_custkey, c_name, round(sum(o_totalprice), 2) as total from customer join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey join orders on o_custkey = c_custkey
 where c_mktsegment in ('FURNITURE', 'BUILDING') and r_name = 'ASIA' group by all order by total desc, c_custkey limit 10""")
 def flagship(spark, sf_dir):
     """Search, path, counter and top-k in one plan."""
-    facts = world_facts(spark, sf_dir)
-    found = search.find_frames(facts, ("c_mktsegment", ["FURNITURE", "BUILDING"]))
+    facts = world(spark, sf_dir)
+    found = search.find_frames(customers(spark, sf_dir), ("c_mktsegment", ["FURNITURE", "BUILDING"]))
     asian = graph.getpath(facts, found, ["c_nationkey", "n_regionkey", "r_name"]).where("vs = 'ASIA'").select(F.col("start").alias("c_custkey"))
     orders = read(spark, sf_dir, "orders").select("o_custkey", "o_totalprice").join(asian, F.col("o_custkey") == F.col("c_custkey"))
     totals = aggregate.increment(orders, ["c_custkey"], F.col("o_totalprice")).withColumn("total", F.round("total", 2))
@@ -196,7 +205,7 @@ def flagship(spark, sf_dir):
 
 @query("select 'c_mktsegment' as slot, c_mktsegment as v, count(*) as frames from customer group by 2 union all select 'c_nationkey', (1000000000 + c_nationkey)::varchar, count(*) from customer group by 2")
 def index_sizes(spark, sf_dir):
-    postings = search.index_frames(customer_facts(spark, sf_dir), "c_mktsegment", "c_nationkey")
+    postings = search.index_frames(customers(spark, sf_dir), "c_mktsegment", "c_nationkey")
     return search.index_sizes(postings).select("slot", model.value_text().alias("v"), "frames")
 
 

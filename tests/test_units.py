@@ -305,3 +305,20 @@ def test_pick_forms(spark):
     assert sorted(r.n for r in search.reject_where(rows, s=angles).collect()) == [5, 70]
     assert sorted(r.n for r in search.pick_where(rows, n=[model.Pool("p", 0, 6), 70]).collect()) == [1, 5, 70]
     assert [r.n for r in search.pick_where(rows, n=lambda n: n > 4, s=".p").collect()] == [5]
+
+
+def test_clauses_reach_the_scan(spark):
+    customers = spark.read.parquet("/root/testdata/sf0.001/customer.parquet")
+    frames = model.Frames((model.Source(customers, "c_custkey", {"c_nationkey": 1000}),))
+    found = search.find_frames(frames, ("c_mktsegment", ["BUILDING", "MACHINERY"]), ("c_nationkey", model.Oid(1003)))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "In(c_mktsegment, [BUILDING,MACHINERY])" in plan and "EqualTo(c_nationkey,3)" in plan and "c_name" not in plan
+    facts = model.to_facts(customers, "c_custkey", oid_slots={"c_nationkey": 1000})
+    same = search.find_frames(facts, ("c_mktsegment", ["BUILDING", "MACHINERY"]), ("c_nationkey", model.Oid(1003)))
+    assert sorted(r.oid for r in found.collect()) == sorted(r.oid for r in same.collect()) != []
+    walk = graph.getpath(frames, found, ["c_name"])
+    assert "c_acctbal" not in walk._jdf.queryExecution().executedPlan().toString()
+    for values in (["x", 3, 2.5, True, model.Oid(3)], [7.0], [False]):
+        rows = spark.createDataFrame([(1, "x", 3, 2.5, True, [3, 4]), (2, "y", 7, 7.0, False, None), (3, None, None, None, None, [])], "k int, s string, n bigint, d double, b boolean, a array<int>")
+        wide, slots = model.Frames((model.Source(rows, "k"),)), ["s", "n", "d", "b", "a"]
+        assert sorted(r.oid for r in search.find_frames(wide, (slots, values)).collect()) == sorted(r.oid for r in search.find_frames(model.to_facts(rows, "k"), (slots, values)).collect())
