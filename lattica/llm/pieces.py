@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from lattica.llm.common import arrow_map, buffers, sliced
 
 #: Bytes of text, and of different segments, that are taken at once.
-TEXT_BYTES, CHUNK_BYTES = 4 << 20, 1 << 19
+TEXT_BYTES, CHUNK_BYTES = 4 << 20, 1 << 18
 NEVER = np.int64(1) << 40
 
 
