@@ -50,8 +50,8 @@ def to_events(messages: DataFrame, delta: int = 256) -> DataFrame:
         return F.struct(F.lit(kind).alias("kind"), at.cast("int").alias("at"), text.alias("text"))
 
     none, size = F.lit(0), F.length("text")
-    cuts = F.sequence(F.lit(0), F.greatest(size - 1, F.lit(0)), F.lit(delta))
-    deltas = F.transform(cuts, lambda i: event("delta", none, F.substring("text", i + 1, F.lit(delta))))
+    pieces = F.regexp_extract_all("text", F.lit(f"(?s).{{1,{delta}}}"), F.lit(0))  # in one pass, however long the text is
+    deltas = F.transform(pieces, lambda x: event("delta", none, x))
     half = F.floor(size / 2).cast("int")
     draft = F.array(event("delta", none, F.concat(F.substring("text", F.lit(1), half), F.lit("[draft]"))), event("edit", half, F.substring("text", half + 1, size)))
     again = F.concat(F.array(event("delta", none, F.lit("a first answer")), event("regenerate", none, F.lit(""))), deltas)
@@ -66,15 +66,21 @@ def fold_events(events: DataFrame) -> DataFrame:
     passed over, a message without an open event has the role '', and null texts are empty."""
     event = F.struct("seq", "kind", "at", F.coalesce("text", F.lit("")).alias("text"))
     sorted_log = events.groupBy("conv_id", "turn", "n").agg(F.array_sort(F.collect_list(event)).alias("log"))
-    start = F.struct(F.lit("").alias("role"), F.lit("").alias("text"))
+    # only what follows the last regeneration counts; deltas are joined at once, and an edit cuts what stands before it
+    at = lambda log, kind: F.filter(F.transform(log, lambda e, i: F.when(e["kind"] == kind, i)), lambda i: i.isNotNull())
+    role = F.coalesce(F.try_element_at(F.transform(F.filter("log", lambda e: e["kind"] == "open"), lambda e: e["text"]), F.lit(-1)), F.lit(""))
+    last = F.coalesce(F.array_max(at(F.col("log"), "regenerate")), F.lit(-1))
+    live = sorted_log.select("conv_id", "turn", "n", role.alias("role"), F.slice("log", last + 2, F.size("log")).alias("log"))
+    live = live.withColumn("edits", at(F.col("log"), "edit"))
+    said = lambda log: F.array_join(F.transform(F.filter(log, lambda e: e["kind"] == "delta"), lambda e: e["text"]), "")
+    first = said(F.when(F.size("edits") > 0, F.slice("log", 1, F.get("edits", 0))).otherwise(F.col("log")))
+    spans = F.zip_with("edits", F.slice(F.concat("edits", F.array(F.size("log"))), 2, F.size("edits")), lambda i, j: F.struct(i.alias("i"), j.alias("j")))
 
-    def step(now: Column, e: Column) -> Column:
-        text = F.when(e["kind"] == "delta", F.concat(now["text"], e["text"])).when(e["kind"] == "edit", F.concat(F.substring(now["text"], F.lit(1), e["at"]), e["text"]))
-        text = text.when(e["kind"] == "regenerate", F.lit("")).otherwise(now["text"])
-        return F.struct(F.when(e["kind"] == "open", e["text"]).otherwise(now["role"]).alias("role"), text.alias("text"))
+    def step(now: Column, s: Column) -> Column:
+        edit = F.get("log", s["i"])
+        return F.concat(F.substring(now, F.lit(1), edit["at"]), edit["text"], said(F.slice("log", s["i"] + 2, s["j"] - s["i"] - 1)))
 
-    folded = sorted_log.select("conv_id", "turn", "n", F.aggregate("log", start, step).alias("m"))
-    return folded.select("conv_id", "turn", "n", "m.role", "m.text")
+    return live.select("conv_id", "turn", "n", "role", F.when(F.size("edits") == 0, first).otherwise(F.aggregate(spans, first, step)).alias("text"))
 
 
 def render(messages: DataFrame) -> DataFrame:
@@ -84,17 +90,19 @@ def render(messages: DataFrame) -> DataFrame:
     shown = messages.select("conv_id", F.floor(F.coalesce("turn", F.lit(-(2**62))) / CHUNK).alias("chunk"), "turn", "n", F.concat(F.lit(START), role, F.lit("\n")).alias("head"), escape(F.col("text")).alias("body"), (F.col("role") == "assistant").alias("loss"))
     turn = F.struct("turn", "n", "head", "body", "loss")
     chunks = shown.groupBy("conv_id", "chunk").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
-    joined = chunks.select("conv_id", "chunk", F.array_join(F.transform("turns", lambda t: F.concat(t["head"], t["body"], F.lit(END))), "").alias("text"), F.transform("turns", lambda t: F.struct(F.length(t["head"]).alias("skip"), F.length(t["body"]).alias("size"), t["loss"].alias("loss"))).alias("parts"))
-    whole = joined.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("chunk", "text", "parts"))).alias("c"))
-    parts = F.flatten(F.transform("c", lambda c: c["parts"]))
     begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,length:int>>").alias("spans"))
 
-    def step(now: Column, p: Column) -> Column:
-        here = now["at"] + p["skip"]
-        span = F.array(F.struct(here.alias("start"), p["size"].alias("length")))
-        return F.struct((here + p["size"] + len(END)).alias("at"), F.when(p["loss"], F.concat(now["spans"], span)).otherwise(now["spans"]).alias("spans"))
-
-    return whole.select("conv_id", F.array_join(F.transform("c", lambda c: c["text"]), "").alias("formatted"), F.aggregate(parts, begin, step)["spans"].alias("loss"))
+    def step(now: Column, t: Column) -> Column:
+        here, size = now["at"] + F.length(t["head"]), F.length(t["body"])
+        span = F.array(F.struct(here.alias("start"), size.alias("length")))
+        return F.struct((here + size + len(END)).alias("at"), F.when(t["loss"], F.concat(now["spans"], span)).otherwise(now["spans"]).alias("spans"))
+
+    joined = chunks.select("conv_id", "chunk", F.array_join(F.transform("turns", lambda t: F.concat(t["head"], t["body"], F.lit(END))), "").alias("text"), F.aggregate("turns", begin, step).alias("m"))
+    before = Window.partitionBy("conv_id").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    placed = joined.withColumn("begin", F.coalesce(F.sum("m.at").over(before), F.lit(0)).cast("int"))
+    spans = F.transform("m.spans", lambda s: F.struct((s["start"] + F.col("begin")).alias("start"), s["length"].alias("length")))
+    whole = placed.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("chunk", "text", spans.alias("spans")))).alias("c"))
+    return whole.select("conv_id", F.array_join(F.transform("c", lambda c: c["text"]), "").alias("formatted"), F.flatten(F.transform("c", lambda c: c["spans"])).alias("loss"))
 
 
 def format_conversations(messages: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -336,3 +337,34 @@ def test_fold(spark):
     log = [(1, 0, 1, 0, "open", 0, "user"), (1, 0, 1, 3, "delta", 0, "lo"), (1, 0, 1, 2, "delta", 0, "hel"), (1, 0, 1, 4, "edit", 1, "i"), (1, 0, 1, 5, "what", 0, "?"), (1, 1, 1, 1, "delta", 0, "x"), (1, 1, 1, 2, "regenerate", 0, None), (1, 1, 1, 3, "delta", 0, "y")]
     got = chat.fold_events(spark.createDataFrame(log, "conv_id bigint, turn bigint, n int, seq int, kind string, at int, text string")).collect()
     assert sorted((r.turn, r.role, r.text) for r in got) == [(0, "user", "hi"), (1, "", "y")]
+
+
+def test_chat_log(spark):
+    """Edits, deltas after edits and regenerations in any order, against a fold event by event."""
+    rng = random.Random(9)
+    events, want = [], {}
+    for c in range(40):
+        text, role = "", ""
+        for seq in range(rng.randint(0, 30)):
+            kind = rng.choice(["open", "delta", "delta", "delta", "edit", "regenerate", "what"])
+            at, said = rng.randint(0, 12), rng.choice([None, "ab", "c", "déf"])
+            events.append((c, 0, 1, seq, kind, at, said))
+            said = said or ""
+            text = text + said if kind == "delta" else text[:at] + said if kind == "edit" else "" if kind == "regenerate" else text
+            role = said if kind == "open" else role
+            want[c] = (role, text)
+    rng.shuffle(events)
+    log = spark.createDataFrame(events, "conv_id bigint, turn bigint, n int, seq int, kind string, at int, text string")
+    assert {r.conv_id: (r.role, r.text) for r in chat.fold_events(log).collect()} == want
+
+
+def test_long_chats(spark):
+    """A message of many deltas and a conversation of many turns take time in proportion."""
+    began = time.time()
+    text = "word </s> \\ é " * 200_000
+    rows = spark.createDataFrame([(1, 0, "assistant", text)] + [(2, i, "assistant" if i % 2 else "user", f"turn {i}") for i in range(30_000)], "conv_id bigint, turn bigint, role string, text string")
+    out = {r.conv_id: r for r in chat.format_conversations(rows).collect()}
+    assert chat.parse(out[1].formatted) == [("assistant", text)]
+    assert chat.parse(out[2].formatted) == [("assistant" if i % 2 else "user", f"turn {i}") for i in range(30_000)]
+    assert [chat.unescape(out[2].formatted[s["start"] : s["start"] + s["length"]]) for s in out[2].loss] == [f"turn {i}" for i in range(1, 30_000, 2)]
+    assert time.time() - began < 30
