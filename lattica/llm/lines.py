@@ -516,7 +516,7 @@ def removed_lines(docs: DataFrame, max_distance: int = MAX_DISTANCE, min_similar
     # what goes: all but the first occurrence of a line, and the first ones of those that have a like one before them
     member = materialize(reps.join(checked_broadcast(found), (F.col("id") == F.col("node")) & (F.col("h2") == F.col("other"))).select("root", "first"), "members")
     best = member.groupBy("root").agg(F.min("first").alias("best")).withColumnRenamed("root", "r")
-    later = member.join(best, F.col("root") == F.col("r")).where("first <> best").select("first.row_key", "first.line")
+    later = member.join(checked_broadcast(best, 250_000), F.col("root") == F.col("r")).where("first <> best").select("first.row_key", "first.line")
     copied = reps.where("copies > 1").select(F.col("id").alias("i"), F.col("h2").alias("j"), F.col("first.row_key").alias("k"), F.col("first.line").alias("l"))
     is_first = (F.col("row_key") == F.col("k")) & (F.col("line") == F.col("l"))
     if copied.limit(MAX_COPIED + 1).count() <= MAX_COPIED:
