@@ -18,15 +18,16 @@ def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The text less the lines that are like an earlier one. n_chars is the length of what is left; a document that loses all its
+    """The text less the lines that are like an earlier one (edit similarity of 0.8). n_chars is the length of what is left; a document that loses all its
     lines stays, empty."""
     out = lines.dedup_lines(docs).select(*docs.columns)
     return out.withColumn("n_chars", F.length("text").cast("bigint")).select(*docs.columns) if "n_chars" in docs.columns else out
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the least doc_id of each group of near copies: sets of five-word shingles with a Jaccard similarity of 0.8."""
-    return jaccard.drop_similar(docs, shingle=5, min_similarity=0.8)
+    """The document of the least doc_id of each group of near copies: sets of five-word shingles with a Jaccard similarity of 0.8.
+    Multi-index hashing of SimHash fingerprints (seven bits) finds most links, prefix filtering those that are farther apart."""
+    return jaccard.drop_similar(docs, max_distance=7, shingle=5, min_similarity=0.8)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
