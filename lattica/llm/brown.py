@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.common import LOWER, arrow_map, buffers, materialize, release, sliced, words
+from lattica.llm.common import LOWER, arrow_map, buffers, drop_shuffles, materialize, release, sliced, words
 
 #: The most frequent words, at most so many, are clustered by exchange in one task: their bigrams are at most (MOST + 2) squared rows
 #: of 24 bytes, 96 MB, however large the corpus. Every other word of the corpus is then put in the class that its own neighbours fit.
@@ -240,6 +240,8 @@ def score(docs: DataFrame, mod: int = 7, rest: int = 2, most: int = MOST, classe
     near = placed(neighbours(train, clustered, cls), rough, classes)
     others = materialize(near.join(counts, "word").select("word", "n", "class"), "placed")
     release(counts)
+    del near
+    drop_shuffles(docs.sparkSession)
     members = np.bincount(cls[FIRST:], weights=freq, minlength=total) if len(freq) else np.zeros(total)
     for r in others.groupBy("class").agg(F.sum("n").alias("n")).collect():  # a row per class
         members[r["class"]] += r["n"]
