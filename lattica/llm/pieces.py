@@ -4,6 +4,7 @@ bisection, the edges found are sorted by position and then relaxed."""
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -18,6 +19,8 @@ from lattica.llm.common import arrow_map, buffers, sliced
 #: Bytes of text, and of different segments, that are taken at once.
 TEXT_BYTES, CHUNK_BYTES = 4 << 20, 1 << 18
 NEVER = np.int64(1) << 40
+#: Edges of a step of the relaxation up to which they are taken one by one.
+FEW_EDGES = 48
 
 
 class Model(NamedTuple):
@@ -159,35 +162,43 @@ def compatible(model: Model, u: np.ndarray, t: np.ndarray) -> np.ndarray:
 
 
 def occurrences(model: Model, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Start and symbol of each place where a usable piece stands in the text: its suffixes are sorted by their first 16 bytes, and
-    each piece's range is found by bisection (a longer piece's is compared further)."""
-    padded = np.r_[raw, np.zeros(24, np.uint8)].tobytes()
-    view = lambda skip: np.ndarray((len(raw),), ">u8", buffer=padded, offset=skip, strides=(1,)).astype(np.uint64)
+    """Start and symbol of each place where a usable piece stands in the text: its suffixes are sorted, as far as the longest piece
+    goes, and each piece's range is found by bisection."""
+    ids = np.flatnonzero(model.usable)
+    pieces = [model.pieces[i] for i in ids]
+    longest = max((len(p) for p in pieces), default=0)
+    padded = np.r_[raw, np.zeros(longest + 24, np.uint8)].tobytes()
+    view = lambda skip: np.ndarray((len(raw),), ">u8", buffer=padded, offset=skip, strides=(1,))
     starts = np.flatnonzero((raw & 0xC0) != 0x80)
-    k1, k2 = view(0)[starts], view(8)[starts]
+    k1, k2 = view(0)[starts].astype(np.uint64), view(8)[starts].astype(np.uint64)
     order = np.lexsort((k2, k1))
     order, k1, k2 = starts[order], k1[order], k2[order]
-    ids = np.flatnonzero(model.usable)
-    pieces = [model.pieces[i] for i in ids]
+    # suffixes that are still tied are sorted by what follows, eight bytes at a time
+    tied = np.arange(len(order))
+    same = np.r_[False, (k1[1:] == k1[:-1]) & (k2[1:] == k2[:-1])] if len(order) else np.zeros(0, bool)
+    for skip in range(16, longest, 8):
+        tied = tied[same | np.r_[same[1:], False]]
+        if not len(tied):
+            break
+        group = np.cumsum(~same[same | np.r_[same[1:], False]])
+        key = view(skip)[order[tied]].astype(np.uint64)
+        by = np.lexsort((key, group))
+        order[tied], key = order[tied][by], key[by]
+        same = np.r_[False, (group[1:] == group[:-1]) & (key[1:] == key[:-1])]
     bound = lambda skip, fill: np.array([int.from_bytes(p[skip : skip + 8].ljust(8, fill), "big") for p in pieces], np.uint64)
     low, high = np.searchsorted(k1, bound(0, b"\0"), "left"), np.searchsorted(k1, bound(0, b"\xff"), "right")
     more = [i for i in np.flatnonzero(high > low).tolist() if len(pieces[i]) > 8]
-    deeper = {}
     for i in more:
         p, s, e = pieces[i], low[i], high[i]
         part = k2[s:e]
         low[i] = s + np.searchsorted(part, np.uint64(int.from_bytes(p[8:16].ljust(8, b"\0"), "big")), "left")
         high[i] = s + np.searchsorted(part, np.uint64(int.from_bytes(p[8:16].ljust(8, b"\xff"), "big")), "right")
         if len(p) > 16 and high[i] > low[i]:
-            deeper[i] = np.array([x for x in order[low[i] : high[i]].tolist() if padded[x : x + len(p)] == p], np.int64)
-            high[i] = low[i]
+            places, text = range(low[i], high[i]), lambda k, n=len(p): padded[order[k] : order[k] + n]
+            low[i], high[i] = low[i] + bisect_left(places, p, key=text), low[i] + bisect_right(places, p, key=text)
     many = np.maximum(high - low, 0)
     at = order[np.repeat(low - (np.cumsum(many) - many), many) + np.arange(many.sum())]
-    which = np.repeat(ids, many)
-    if deeper:
-        at = np.concatenate([at, *deeper.values()])
-        which = np.concatenate([which, *(np.full(len(x), ids[i]) for i, x in deeper.items())])
-    return at, which
+    return at, np.repeat(ids, many)
 
 
 def relax(model: Model, raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -195,12 +206,18 @@ def relax(model: Model, raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, n
 
     BPE of a text that ends at some place is BPE of what comes before its last symbol, and that symbol; so each place has one last
     symbol, the one that is compatible with the last symbol of the place where it starts. Edges are relaxed in order of the place
-    at which they end, in all segments at once. Characters that are no symbol stand for themselves (symbol len(pieces))."""
-    n, other = len(off) - 1, len(model.pieces)
-    size = np.diff(off)
-    segment = np.repeat(np.arange(n), size)
+    at which they end, in all segments at once; these are first cut where no piece crosses. Characters that are no symbol stand for themselves (symbol len(pieces))."""
+    other, given = len(model.pieces), off
     start, which = occurrences(model, raw)
     length = np.array([len(p) for p in model.pieces] + [0])
+    # where no piece crosses, nothing is merged, and a segment falls into several
+    inside = np.searchsorted(off, start, "right") == np.searchsorted(off, start + length[which] - 1, "right")
+    first, end = (np.bincount(x, minlength=len(raw) + 2) for x in (start[inside] + 1, start[inside] + length[which[inside]]))
+    free = np.cumsum(first - end)[: len(raw)] == 0
+    free &= (raw & 0xC0) != 0x80
+    off = np.union1d(np.flatnonzero(free), off)
+    n, size = len(off) - 1, np.diff(off)
+    segment = np.repeat(np.arange(n), size)
     # a character that is no usable piece is an edge too
     lead = np.flatnonzero((raw & 0xC0) != 0x80)
     alone = np.ones(len(raw) + 1, bool)
@@ -224,7 +241,19 @@ def relax(model: Model, raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, n
     last[first] = other + 1
     cuts = np.r_[0, np.flatnonzero(np.diff(reach)) + 1, len(reach)] if len(reach) else np.zeros(1, np.int64)
     doubtful = np.zeros(n, bool)
-    for s, e in zip(cuts[:-1], cuts[1:]):
+    known: dict[tuple[int, int], bool] = {}
+    for s, e in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+        if e - s <= FEW_EDGES:  # the long segments that are left: one by one, as most pairs have been met before
+            for start_at, t, end_at, k in zip(where[s:e].tolist(), which[s:e].tolist(), to[s:e].tolist(), seg[s:e].tolist()):
+                u = int(last[start_at])
+                if u < 0:
+                    continue
+                if u < other and t < other and (u, t) not in known:
+                    known[u, t] = bool(compatible(model, np.array([u]), np.array([t]))[0])
+                if u >= other or t >= other or known[u, t]:
+                    doubtful[k] |= last[end_at] >= 0
+                    last[end_at], origin[end_at] = t, start_at
+            continue
         u, t = last[where[s:e]], which[s:e]
         alive = np.flatnonzero(u >= 0)
         u, t = u[alive], t[alive]
@@ -260,7 +289,7 @@ def relax(model: Model, raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, n
             extra_o += [i] * len(got)
     symbols, owners = np.r_[symbols, np.array(extra_s, np.int64)], np.r_[owners, np.array(extra_o, np.int64)]
     by = np.argsort(owners, kind="stable")
-    return symbols[by], np.r_[0, np.cumsum(np.bincount(owners, minlength=n))].astype(np.int64)
+    return symbols[by], np.r_[0, np.cumsum(np.bincount(owners, minlength=n))].astype(np.int64)[np.searchsorted(off, given)]
 
 
 def segment_of(nodes: np.ndarray, off: np.ndarray) -> np.ndarray:

@@ -69,6 +69,21 @@ def test_sentencepiece(docs, none):
     assert pieces.with_tokens(none, registry.MODEL_PATH).count() == 0
 
 
+def test_sentencepiece_long():
+    """Long texts without spaces, and pieces of over 16 bytes, as the library encodes them, in time."""
+    sp = pytest.importorskip("sentencepiece").SentencePieceProcessor(model_file=registry.MODEL_PATH)
+    rng, model = random.Random(10), pieces.load(registry.MODEL_PATH)
+    long = [p.decode() for i, p in enumerate(model.pieces[: model.n]) if len(p) > 16 and model.usable[i]]
+    assert long
+    texts = [base64.b64encode(rng.randbytes(150_000)).decode(), "a" * 8000, "=" * 8000, "the" * 3000, "ab" * 3000 + "é" * 3000, "".join(rng.choice("etaoin") for _ in range(20_000)), "".join(long[:200]), " ".join(long), *long[:300], *(x[:-1] for x in long[:300])]
+    began = time.time()
+    got, off = pieces.encode(model, pa.array(texts, pa.string()))
+    assert time.time() - began < 40
+    for k, t in enumerate(texts):
+        assert got[off[k] : off[k + 1]].tolist() == sp.encode(t), t[:40]
+    assert pieces.decode(model, got, off) == texts
+
+
 def test_sentencepiece_against_library():
     import random
 
