@@ -42,6 +42,8 @@ class Model(NamedTuple):
     left: np.ndarray  # the same for those that begin it
     left_from: np.ndarray
     left_until: np.ndarray
+    low: np.ndarray  # for each usable symbol, the least and the greatest eight bytes that begin with it (or that it begins with)
+    high: np.ndarray
 
 
 def merge(symbols: list[bytes], rank: dict[bytes, int]) -> tuple[list[bytes], list[tuple[int, int]]]:
@@ -130,7 +132,8 @@ def load(path: str) -> Model:
     single[128:] = False
     single[list(set(b"".join(pieces)) & set(range(128)))] = False
     spines = [matrix(side, field, -1) for side in (True, False) for field in range(3)]
-    return Model(n, pieces, text, byte_ids, usable, single, np.array(keys)[by], np.array(ranks)[by], np.array(to)[by], *spines)
+    bounds = [np.array([int.from_bytes(pieces[i][:8].ljust(8, fill), "big") for i in np.flatnonzero(usable)], np.uint64) for fill in (b"\0", b"\xff")]
+    return Model(n, pieces, text, byte_ids, usable, single, np.array(keys)[by], np.array(ranks)[by], np.array(to)[by], *spines, *bounds)
 
 
 def compatible(model: Model, u: np.ndarray, t: np.ndarray) -> np.ndarray:
@@ -185,8 +188,7 @@ def occurrences(model: Model, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         by = np.lexsort((key, group))
         order[tied], key = order[tied][by], key[by]
         same = np.r_[False, (group[1:] == group[:-1]) & (key[1:] == key[:-1])]
-    bound = lambda skip, fill: np.array([int.from_bytes(p[skip : skip + 8].ljust(8, fill), "big") for p in pieces], np.uint64)
-    low, high = np.searchsorted(k1, bound(0, b"\0"), "left"), np.searchsorted(k1, bound(0, b"\xff"), "right")
+    low, high = np.searchsorted(k1, model.low, "left"), np.searchsorted(k1, model.high, "right")
     more = [i for i in np.flatnonzero(high > low).tolist() if len(pieces[i]) > 8]
     for i in more:
         p, s, e = pieces[i], low[i], high[i]
@@ -211,8 +213,12 @@ def relax(model: Model, raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, n
     start, which = occurrences(model, raw)
     length = np.array([len(p) for p in model.pieces] + [0])
     # where no piece crosses, nothing is merged, and a segment falls into several
-    inside = np.searchsorted(off, start, "right") == np.searchsorted(off, start + length[which] - 1, "right")
-    first, end = (np.bincount(x, minlength=len(raw) + 2) for x in (start[inside] + 1, start[inside] + length[which[inside]]))
+    segment = np.repeat(np.arange(len(off) - 1), np.diff(off))
+    inside = np.flatnonzero(length[which] > 1)
+    finish = start[inside] + length[which[inside]]
+    within = segment[start[inside]] == segment[np.minimum(finish, len(raw)) - 1]
+    inside, finish = inside[within], finish[within]
+    first, end = (np.bincount(x, minlength=len(raw) + 2) for x in (start[inside] + 1, finish))
     free = np.cumsum(first - end)[: len(raw)] == 0
     free &= (raw & 0xC0) != 0x80
     off = np.union1d(np.flatnonzero(free), off)
