@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lattica.functions import strings, text
+from lattica.plans.storage import written
 
 
 def _keys_of(term: str, phonetic: bool, stem: bool, fragments: int) -> set[str]:
@@ -74,11 +75,16 @@ def text_terms(s: Column, stopwords: Sequence[str] = (), longest: int = 16) -> C
 
 
 def index_text(docs: DataFrame, key: str, column: str, stopwords: Sequence[str] = (), phonetic: bool = False, stem: bool = True) -> DataFrame:
-    """The fuzzy postings of a text column: oid, fuzzy key. Keys are computed once per word of the corpus, and joined to the words'
-    documents."""
-    words = docs.select(F.col(key).alias("oid"), F.explode(text_terms(F.col(column), stopwords)).alias("word"))
-    keyed = fuzz_terms(words.select("word").distinct(), "word", phonetic, stem, 0).select("word", F.explode("keys").alias("key"))
-    return words.join(keyed, "word").select("oid", "key").distinct()
+    """The fuzzy postings of a text column: oid, fuzzy key. The texts are split once, and the words written; keys are computed once
+    per word of the corpus, and joined to the words' documents. The keys of words that very many documents have are broadcast, so
+    that no task of the join gets all their rows."""
+    words = written(docs.select(F.col(key).alias("oid"), F.explode(text_terms(F.col(column), stopwords)).alias("word")), "words")
+    each = words.groupBy("word").agg(F.count("*").alias("docs"))
+    keyed = written(fuzz_terms(each, "word", phonetic, stem, 0).select("word", "docs", F.explode("keys").alias("key")), "word-keys")
+    many = max(1000, words.count() // 20_000)  # 20,000 words at most have so many documents
+    hot = F.broadcast(keyed.where(F.col("docs") >= many).select("word", "key"))
+    rest = words.join(hot.select("word").distinct(), "word", "left_anti").join(keyed.where(F.col("docs") < many).select("word", "key"), "word")
+    return words.join(hot, "word").unionByName(rest).select("oid", "key").distinct()
 
 
 def fuzzy_find(postings: DataFrame, *keys: str) -> DataFrame:
