@@ -35,7 +35,9 @@ RUN = 255 // 2
 PART, CHUNK = 500_000, 50_000
 #: Entries of one block of bits beyond which it is dealt out in shares (also if 16 times as many as on the mean).
 FULL = 4096
-#: Different lines with copies up to which these are broadcast (some 32 MB).
+#: Text that is split into lines at once.
+LINE_BYTES = 1 << 19
+#: Different lines with copies, or rows with lines that are wanted, up to which these are broadcast (some 32 MB).
 MAX_COPIED = 500_000
 #: Bits of the filter that tells which lines' texts are wanted: 2 MB, whatever the input.
 FILTER_BITS = 24
@@ -154,7 +156,7 @@ def line_table(docs: DataFrame) -> DataFrame:
     """row_key, doc_id, line, h1 and h2 (128-bit hash of the normalized line), sketch of each line that isn't blank."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in sliced(batches, "text"):
+        for b in sliced(batches, "text", LINE_BYTES):
             owner, number, data, at = split_lines(*buffers(b.column("text")))
             h, rows, of = hashes(data, at), sketches(data, at), pa.array(owner)
             packed = pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(np.arange(0, rows.nbytes + 1, SKETCH.itemsize, dtype=np.int32)), pa.py_buffer(rows.tobytes())])
@@ -394,8 +396,13 @@ def alike(s: str, t: str, min_similarity: float) -> bool:
 
 
 def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """id, h2 and normalized text (line_text) of the distinct lines in wanted (column id), from a second look at the documents: a
-    filter of fixed size passes the lines, and few others that a join then drops."""
+    """id, h2 and normalized text (line_text) of the distinct lines in wanted (columns id, and row_key of a row that has the line), from
+    a second look at the documents: those that are named, where these are few enough to be broadcast, or else all. A filter of fixed
+    size passes the lines, and few others that a join then drops."""
+    named = wanted.select("row_key").distinct()
+    if named.count() <= MAX_COPIED:
+        docs = docs.join(F.broadcast(named), "row_key", "left_semi")
+    wanted = wanted.select("id")
     size = np.uint64((1 << FILTER_BITS) - 1)
     slot = F.col("id").bitwiseAND(F.lit(int(size)))
     cells = wanted.groupBy(F.shiftright(slot, 5).alias("cell")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(id & 31 as int))")).alias("bits")).toPandas()  # 2 ** 19 rows at most
@@ -403,7 +410,7 @@ def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     marks[cells["cell"].to_numpy(np.int64)] = cells["bits"].to_numpy(np.int64).astype(np.uint32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in sliced(batches, "text"):
+        for b in sliced(batches, "text", LINE_BYTES):
             _, _, data, at = split_lines(*buffers(b.column("text")))
             h = hashes(data, at)
             spot = (h[:, 0].view(np.uint64) & size).astype(np.int64) if len(h) else np.zeros(0, np.int64)
@@ -487,7 +494,8 @@ def groups(reps: DataFrame, docs: DataFrame, max_distance: int = MAX_DISTANCE, m
     failed check between two groups."""
     found = materialize(candidates(reps, max_distance, min_similarity).distinct(), "candidates")
     rough = materialize(connected_components(found), "rough")
-    texts = materialize(_texts(docs, rough.select(F.col("node").alias("id"))), "texts")
+    wanted = reps.join(checked_broadcast(rough.select("node")), F.col("id") == F.col("node")).select("id", F.col("first.row_key").alias("row_key"))
+    texts = materialize(_texts(docs, materialize(wanted, "wanted")), "texts")
     checked = materialize(_verified(found, texts, min_similarity), "checked")
     good = checked.where("ok").select("a", "b")
     now = materialize(connected_components(good).select(F.col("node").alias("n"), F.col("root").alias("label")), "labels")
@@ -557,7 +565,7 @@ def dedup_lines(docs: DataFrame, max_distance: int = MAX_DISTANCE, min_similarit
     named = gone.withColumnsRenamed({"row_key": other, "removed": out})
     joined = docs.withColumn(row_key, key).join(F.broadcast(named) if size <= 16 << 20 else named, F.col(row_key) == F.col(other), "left")  # 16 MB at most
     text = F.col(text_col).cast("string")
-    n_lines = F.when(text.isNull(), 0).otherwise(F.length(text) - F.length(F.replace(text, F.lit("\n"))) + 1).cast("int")
+    n_lines = F.when(text.isNull(), 0).otherwise(F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"))) + 1).cast("int")
     left = F.when(F.col(out).isNull(), F.col(text_col)).otherwise(_without(F.when(F.col(out).isNull(), "").otherwise(text), F.coalesce(out, F.array().cast("array<int>"))))
     columns = [left.alias(c) if c == text_col else F.col(c) for c in docs.columns if c not in ("n_lines", "removed")]
     return joined.select(*columns, n_lines.alias("n_lines"), F.coalesce(out, F.array().cast("array<int>")).alias("removed"))
