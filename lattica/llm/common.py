@@ -245,13 +245,12 @@ def normalized(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray
     edge = off[:-1][off[:-1] < len(raw)]
     before[edge] = True
     keep = ~space | ~before
+    at = np.r_[0, np.cumsum(keep)][off].astype(np.int64)
+    out = out[keep]
     # a space that is left at a text's end goes too
-    size = np.r_[0, np.cumsum(keep)]
-    ends = off[1:][np.diff(off) > 0] - 1
-    place = np.maximum.accumulate(np.where(keep, np.arange(len(raw)), -1)) if len(raw) else np.zeros(0, np.int64)
-    last = place[ends]
-    inside = (last >= off[:-1][np.diff(off) > 0]) & (last >= 0)
-    last = last[inside]
-    keep[last[space[last]]] = False
-    size = np.r_[0, np.cumsum(keep)]
-    return out[keep], size[off].astype(np.int64)
+    last = at[1:][at[1:] > at[:-1]] - 1
+    gone = last[out[last] == 0x20]
+    if len(gone):
+        out = np.delete(out, gone)
+        at -= np.searchsorted(gone, at, "left")
+    return out, at

@@ -167,13 +167,21 @@ def line_table(docs: DataFrame) -> DataFrame:
 
 def block_keys(fp: np.ndarray) -> np.ndarray:
     """The key of each fingerprint (lines x 4 words) in each table: lines x TABLES, the number of the table before BLOCK bits."""
-    bits = np.unpackbits(np.ascontiguousarray(fp).view(np.uint8).reshape(len(fp), -1), axis=1).T.astype(np.uint32)
+    words = np.ascontiguousarray(fp).view(">u8").astype(np.uint64).T.copy()  # the first bit is the highest
     out = np.empty((len(fp), TABLES), np.uint32)
+    mask, top = np.uint64((1 << BLOCK) - 1), 64 - BLOCK
     for t, columns in enumerate(COLUMNS):
-        key = np.full(len(fp), t, np.uint32)
-        for c in columns:
-            key = key << np.uint32(1) | bits[c]
-        out[:, t] = key
+        if columns[-1] - columns[0] == BLOCK - 1:  # a run of bits, in one word or two
+            w, begin = divmod(columns[0], 64)
+            if begin <= top:
+                key = words[w] >> np.uint64(top - begin) & mask
+            else:
+                key = (words[w] << np.uint64(begin - top) | words[w + 1] >> np.uint64(64 + top - begin)) & mask
+        else:
+            key = np.zeros(len(fp), np.uint64)
+            for c in columns:
+                key = key << np.uint64(1) | words[c // 64] >> np.uint64(63 - c % 64) & np.uint64(1)
+        out[:, t] = key | np.uint64(t << BLOCK)
     return out
 
 
