@@ -12,7 +12,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.common import LOWER, SLICE_BYTES, arrow_map, buffers, sliced, words
+from lattica.llm.common import LOWER, SLICE_BYTES, arrow_map, buffers, materialize, mix, sliced, words
+from lattica.llm.components import connected_components
+from lattica.llm.simhash import shingles
 
 #: What a character may stand for (fixed values): leetspeak.
 LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e", "(": "c"}
@@ -27,6 +29,8 @@ EDGE, OTHER, SYMBOLS, ORDER = 0, 27, 28, 4
 MAX_TRAIN = 20_000
 #: Features of the lexicon: in MIN_DOCS toxic texts or more, most texts that have it toxic, with this log-likelihood ratio at least.
 MIN_DOCS, MIN_G2, MAX_LEXICON = 4, 18.0, 50_000
+#: Bands of three hashes by which near copies among the labelled rows are found.
+BANDS = 10
 
 _SYMBOL = np.zeros(256, np.int64)
 _SYMBOL[97:123] = np.arange(1, 27)
@@ -266,35 +270,62 @@ def learnt(doc_id, mod: int = 4, rest: int = 2):
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(mod)) != rest
 
 
+def weighted(rows: DataFrame) -> DataFrame:
+    """rows (labelled, text, toxic) with `weight`: near copies of one label count as one text together, so that the words of a text
+    that was copied often are no evidence. Near copies share three of three hashes in one of BANDS bands: nearly all do whose sets of
+    five-word shingles have a Jaccard similarity of 0.8, and hardly any that only have a passage in common."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in sliced(batches, "text", 2 * SLICE_BYTES):
+            h, first = shingles(b.column("text"), 5, 42)
+            some = np.flatnonzero(np.diff(first))
+            ids = b.column("labelled").take(pa.array(some))
+            for band in range(BANDS if len(some) else 0):
+                key = np.zeros(len(some), np.uint64)
+                for k in range(3 * band, 3 * band + 3):
+                    key = mix(key ^ np.minimum.reduceat(mix(h ^ np.uint64((k + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)), first[some]))
+                yield pa.RecordBatch.from_arrays([ids, pa.array((key ^ np.uint64(band)).view(np.int64))], ["labelled", "key"])
+
+    keys = rows.select("labelled", "text").transform(arrow_map, run, "labelled bigint, key bigint").distinct()
+    least = keys.groupBy("key").agg(F.min("labelled").alias("a")).withColumnRenamed("key", "of")
+    groups = connected_components(keys.join(least, F.col("key") == F.col("of")).select("a", F.col("labelled").alias("b")))
+    named = rows.join(groups, F.col("labelled") == F.col("node"), "left").withColumn("unit", F.coalesce("root", "labelled")).drop("node", "root")
+    sizes = named.groupBy(F.col("unit").alias("u"), F.col("toxic").alias("t")).agg((1 / F.count("*")).alias("weight"))
+    return named.join(F.broadcast(sizes), (F.col("unit") == F.col("u")) & (F.col("toxic") == F.col("t"))).select("labelled", "text", "toxic", "weight")  # a row per labelled text at most
+
+
 def fit(docs: DataFrame, labels: DataFrame, mod: int = 4, rest: int = 2, max_train: int = MAX_TRAIN) -> Model:
-    """Learns the language model from all texts, and the lexicon and score from at most max_train labelled rows.
+    """Learns the language model from all texts, and the lexicon and score from at most max_train labelled rows, in which near copies
+    count as one.
 
     docs: doc_id, text. labels: doc_id, toxic; a row without id or label teaches nothing, of several labels of one id the largest
     counts. Without labelled rows of both kinds the lexicon is empty and the score is the share of toxic labels (0.02 if none)."""
     language = language_model(docs)
     known = labels.where("doc_id is not null and toxic is not null").where(learnt(F.col("doc_id"), mod, rest)).groupBy(F.col("doc_id").alias("labelled")).agg(F.max("toxic").cast("int").alias("toxic"))
     sample = known.orderBy(F.xxhash64("labelled"), "labelled").limit(max_train)
-    rows = docs.join(F.broadcast(sample), F.col("doc_id") == F.col("labelled")).select("text", "toxic")  # max_train rows at most
+    rows = docs.join(F.broadcast(sample), F.col("doc_id") == F.col("labelled")).select("labelled", "text", "toxic")  # max_train rows at most
+    rows = materialize(weighted(materialize(rows, "labelled")), "weighted")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in sliced(batches, "text", 2 * SLICE_BYTES):
             (owner, token), names = restored_tokens(b.column("text"), language)
-            toxic = b.column("toxic").to_numpy(zero_copy_only=False) > 0
+            weight = b.column("weight").to_numpy(zero_copy_only=False)
+            toxic = weight * (b.column("toxic").to_numpy(zero_copy_only=False) > 0)
             for f in features(names):
                 got = f.dictionary_encode()
                 code = pc.fill_null(got.indices, -1).to_numpy(zero_copy_only=False).astype(np.int64)[token]
                 wide = len(got.dictionary)
                 pairs = np.unique((owner * (wide + 1) + code)[code >= 0])
-                n = np.bincount(pairs % (wide + 1), minlength=wide)
-                p = np.bincount((pairs % (wide + 1))[toxic[pairs // (wide + 1)]], minlength=wide)
+                of, text = pairs % (wide + 1), pairs // (wide + 1)
+                n, p = (np.bincount(of, weights=w[text], minlength=wide) for w in (weight, toxic))
                 yield pa.RecordBatch.from_arrays([got.dictionary, pa.array(n[:wide]), pa.array(p[:wide])], ["feature", "n", "p"])
 
-    size, positive = rows.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
+    size, positive = rows.agg(F.round(F.coalesce(F.sum("weight"), F.lit(0)), 6), F.round(F.coalesce(F.sum(F.col("weight") * F.col("toxic")), F.lit(0)), 6)).first()
     if not positive or positive == size:
         share = positive / size if size else 0.02
         return Model(language, [], np.zeros(0), math.log(max(share, 0.02) / (1 - min(share, 0.98))), 0.0)
     prior = positive / size
-    found = rows.transform(arrow_map, count, "feature string, n bigint, p bigint").groupBy("feature").agg(F.sum("n").alias("n"), F.sum("p").alias("p"))
+    found = rows.transform(arrow_map, count, "feature string, n double, p double").groupBy("feature").agg(F.round(F.sum("n"), 6).alias("n"), F.round(F.sum("p"), 6).alias("p"))
     n, p = F.col("n"), F.col("p")
     g2 = 2 * (p * F.log(p / (n * prior)) + F.when(n > p, (n - p) * F.log((n - p) / (n * (1 - prior)))).otherwise(0))
     found = found.where((p >= MIN_DOCS) & (2 * p > n) & (p > n * prior)).withColumn("g2", g2).where(F.col("g2") >= MIN_G2)
@@ -304,17 +335,17 @@ def fit(docs: DataFrame, labels: DataFrame, mod: int = 4, rest: int = 2, max_tra
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in sliced(batches, "text", 2 * SLICE_BYTES):
-            yield pa.RecordBatch.from_arrays([pa.array(model.evidence(b.column("text"))), b.column("toxic")], ["x", "toxic"])
+            yield pa.RecordBatch.from_arrays([pa.array(model.evidence(b.column("text"))), b.column("toxic"), b.column("weight")], ["x", "toxic", "weight"])
 
-    got = rows.transform(arrow_map, measure, "x double, toxic int").toPandas()
-    x, y = np.minimum(got["x"].to_numpy(), 20.0), got["toxic"].to_numpy(np.float64)
-    order = np.lexsort((y, x))  # rows come in any order; sums are made in one
-    x, y = x[order], y[order]
+    got = rows.transform(arrow_map, measure, "x double, toxic int, weight double").toPandas()
+    x, y, w = np.minimum(got["x"].to_numpy(), 20.0), got["toxic"].to_numpy(np.float64), got["weight"].to_numpy()
+    order = np.lexsort((w, y, x))  # rows come in any order; sums are made in one
+    x, y, w = x[order], y[order], w[order]
     coef, design = np.array([math.log(prior / (1 - prior)), 0.5]), np.stack([np.ones_like(x), x], 1)
     for _ in range(50):  # Newton's method, with a weak pull of the slope to 0
         q = 1 / (1 + np.exp(-np.clip(design @ coef, -30, 30)))
-        gradient = design.T @ (y - q) - np.array([0, 0.1]) * coef
-        step = np.linalg.solve(design.T @ (design * (q * (1 - q))[:, None]) + np.diag([1e-6, 0.1]), gradient)
+        gradient = design.T @ (w * (y - q)) - np.array([0, 0.1]) * coef
+        step = np.linalg.solve(design.T @ (design * (w * q * (1 - q))[:, None]) + np.diag([1e-6, 0.1]), gradient)
         coef = coef + np.clip(step, -1, 1)
         if np.abs(step).max() < 1e-8:
             break

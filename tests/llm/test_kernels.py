@@ -82,3 +82,18 @@ def test_two_models_in_one_worker():
 
 def test_signs_that_stand_for_letters_are_suspicious():
     assert toxicity.suspicious(pa.array(["h€llo", "hello", "h3llo", "élan", "hellllo"])).tolist() == [True, False, True, False, True]
+
+
+def test_copies_count_once(spark):
+    """Near copies of one label weigh one together; a text that shares only a passage weighs one by itself."""
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    base, passage = [word() for _ in range(300)], [word() for _ in range(40)]
+    rows = []
+    for i in range(12):
+        w = list(base)
+        w[rng.randrange(300)] = word()
+        rows.append((i, " ".join(w), int(i < 8)))
+    rows += [(100 + i, " ".join([word() for _ in range(200)] + passage), 1) for i in range(5)] + [(200, None, 0), (201, "", 0)]
+    got = {r.labelled: r.weight for r in toxicity.weighted(spark.createDataFrame(rows, "labelled bigint, text string, toxic int")).collect()}
+    assert got == pytest.approx({i: 1 / 8 for i in range(8)} | {i: 1 / 4 for i in range(8, 12)} | {i: 1.0 for i in (100, 101, 102, 103, 104, 200, 201)})
