@@ -317,7 +317,7 @@ def fit(docs: DataFrame, labels: DataFrame, mod: int = 4, rest: int = 2, max_tra
                 wide = len(got.dictionary)
                 pairs = np.unique((owner * (wide + 1) + code)[code >= 0])
                 of, text = pairs % (wide + 1), pairs // (wide + 1)
-                n, p = (np.bincount(of, weights=w[text], minlength=wide) for w in (weight, toxic))
+                n, p = (np.bincount(of, weights=w[text], minlength=wide).astype(np.float64) for w in (weight, toxic))
                 yield pa.RecordBatch.from_arrays([got.dictionary, pa.array(n[:wide]), pa.array(p[:wide])], ["feature", "n", "p"])
 
     size, positive = rows.agg(F.round(F.coalesce(F.sum("weight"), F.lit(0)), 6), F.round(F.coalesce(F.sum(F.col("weight") * F.col("toxic")), F.lit(0)), 6)).first()
