@@ -270,11 +270,13 @@ def score(docs: DataFrame, mod: int = 7, rest: int = 2, most: int = MOST, classe
                 cum = lambda x: np.diff(np.r_[0, np.cumsum(x)][ends])
                 word = ids[mine == RARE]
                 order = np.argsort(word, kind="stable")
-                word, place = word[order], rare[order].astype(np.uint32)
+                word = word[order]
+                wide = 3 + (len(seq) >= 1 << 24)  # bytes of a place; the key says which
+                place = np.ascontiguousarray(rare[order].astype("<u4").view(np.uint8).reshape(-1, 4)[:, :wide])
                 head = np.flatnonzero(np.r_[True, word[1:] != word[:-1]]) if len(word) else np.zeros(0, np.int64)
-                key = part | block
+                key = (part | block) << 1 | wide - 3
                 block += 1
-                yield rows(len(head), key, vocab.take(pa.array(word[head])).cast(pa.string()), packed(np.r_[head, len(word)] * 4, place))
+                yield rows(len(head), key, vocab.take(pa.array(word[head])).cast(pa.string()), packed(np.r_[head, len(word)] * wide, place))
                 alone = pa.array([f" {key} {i}" for i in range(n)], pa.string())  # equal to no word: it has a space
                 yield rows(n, key, alone, packed(ends, kind), b.column("doc_id"), b.column("held_out"), cum(np.ones(len(seq))), cum((seq != RARE) & (known[seq] > 0)), cum(usual), cum(said))
 
@@ -304,8 +306,9 @@ def score(docs: DataFrame, mod: int = 7, rest: int = 2, most: int = MOST, classe
             if found:
                 f = pa.Table.from_batches(found).combine_chunks()
                 refs, at = bytes_of(f)
-                place = np.frombuffer(refs.tobytes(), np.uint32).astype(np.int64)
-                times = np.diff(at) // 4
+                wide = 3 + int(now & 1)
+                place = refs.reshape(-1, wide).astype(np.int64) @ (1 << 8 * np.arange(wide))
+                times = np.diff(at) // wide
                 n, c = f.column("n").to_numpy().astype(np.float64), f.column("class").to_numpy()
                 kind[place] = np.repeat(c, times)
                 doc = np.searchsorted(off, place, "right") - 1
