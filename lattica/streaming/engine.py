@@ -6,6 +6,7 @@ import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -44,8 +45,8 @@ def run(source: DataFrame, work: Callable[[DataFrame, int], dict[str, int] | Non
     done = {"stop": False}
 
     def batch(rows: DataFrame, number: int) -> None:
-        if done["stop"]:
-            return
+        if done["stop"]:  # a batch that returned would count as done
+            raise RuntimeError("the task has stopped")
         if before:
             before(rows, number)
         counted = work(rows, number) or {}
@@ -67,8 +68,13 @@ def run(source: DataFrame, work: Callable[[DataFrame, int], dict[str, int] | Non
 def _await(query: StreamingQuery, timeout: float, done: dict) -> None:
     until = time.time() + timeout
     while query.isActive and time.time() < until:
-        if query.awaitTermination(0.2):
-            return
+        try:
+            if query.awaitTermination(0.2):
+                return
+        except StreamingQueryException:
+            if done["stop"]:
+                return
+            raise
         if done["stop"]:
             query.stop()
             return

@@ -259,6 +259,28 @@ def test_task_resumes(spark, tmp_path):
     assert sorted(r.id for r in engine.merge_branches(spark, f"{tmp_path}/b").collect()) == list(range(40))
 
 
+def test_stopped_task_loses_no_batch(spark, tmp_path, monkeypatch):
+    """The limit is reached, and the next batches come before the driver looks."""
+    for i in range(6):
+        spark.range(i * 10, i * 10 + 10).coalesce(1).write.mode("append").parquet(f"{tmp_path}/q")
+    source = lambda: engine.items(spark, f"{tmp_path}/q", "id bigint", files_per_batch=1)
+    write, done = engine.branch_writer(f"{tmp_path}/b"), []
+    late = lambda query, timeout, stop: (query.exception() if not query.awaitTermination(60) else None)
+    monkeypatch.setattr(engine, "_await", lambda query, timeout, stop: done.append(_quiet(late, query, timeout, stop)))
+    first = engine.run(source(), write, "late", engine.Limits(batches=2), checkpoint=f"{tmp_path}/c")
+    assert first.counters["items"] == 20
+    monkeypatch.undo()
+    engine.run(source(), write, "late", checkpoint=f"{tmp_path}/c")
+    assert sorted(r.id for r in engine.merge_branches(spark, f"{tmp_path}/b").collect()) == list(range(60))
+
+
+def _quiet(f, *args):
+    try:
+        return f(*args)
+    except Exception as e:
+        return e
+
+
 def test_fuzzy_keys(spark):
     terms = spark.createDataFrame([("Café-Society",), ("",), (None,)], "t string")
     keys = {r.t: r["keys"] for r in fuzzy.fuzz_terms(terms, "t", fragments=2).collect()}
