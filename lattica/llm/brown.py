@@ -280,15 +280,17 @@ def score(docs: DataFrame, mod: int = 7, rest: int = 2, most: int = MOST, classe
                 alone = pa.array([f" {key} {i}" for i in range(n)], pa.string())  # equal to no word: it has a space
                 yield rows(n, key, alone, packed(ends, kind), b.column("doc_id"), b.column("held_out"), cum(np.ones(len(seq))), cum((seq != RARE) & (known[seq] > 0)), cum(usual), cum(said))
 
-    kinds = [pa.int64(), pa.string(), pa.binary(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
-    columns = ["block", "word", "data", "i", "doc_id", "held_out", "n_tokens", "n_known", "base", "emission"]
+    # a text's own figures are one column, so that the rows of words, of which there are far more, are short
+    columns = {"i": pa.int64(), "doc_id": pa.int64(), "held_out": pa.bool_(), "n_tokens": pa.int64(), "n_known": pa.int64(), "base": pa.float64(), "emission": pa.float64()}
+    kind_of_text = pa.struct(list(columns.items()))
 
     def packed(off: np.ndarray, values: np.ndarray) -> pa.Array:
         return pa.Array.from_buffers(pa.binary(), len(off) - 1, [None, pa.py_buffer(off.astype(np.int32)), pa.py_buffer(values.tobytes())])
 
     def rows(n: int, key: int, word: pa.Array, data: pa.Array, *meta) -> pa.RecordBatch:
-        arrays = [pa.array(np.full(n, key)), word, data, pa.array(np.arange(n))] + [m.cast(k) if isinstance(m, pa.Array) else pa.array(m).cast(k, safe=False) for m, k in zip(meta, kinds[4:])]
-        return pa.RecordBatch.from_arrays(arrays + [pa.nulls(n, k) for k in kinds[len(arrays) :]], columns)
+        fields = [m.cast(k) if isinstance(m, pa.Array) else pa.array(m).cast(k, safe=False) for m, k in zip([np.arange(n), *meta], columns.values())] if meta else []
+        text = pa.StructArray.from_arrays(fields, fields=list(kind_of_text)) if meta else pa.nulls(n, kind_of_text)
+        return pa.RecordBatch.from_arrays([pa.array(np.full(n, key)), word, data, text], ["block", "word", "data", "text"])
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, texts, found = None, [], []
@@ -299,7 +301,8 @@ def score(docs: DataFrame, mod: int = 7, rest: int = 2, most: int = MOST, classe
             return buffers(column.cast(pa.large_binary()).view(pa.large_string()))
 
         def done() -> pa.RecordBatch:
-            t = pa.Table.from_batches(texts).sort_by("i").combine_chunks()
+            own = pa.Table.from_batches(texts)
+            t = pa.table({"data": own.column("data")} | {c: pc.struct_field(own.column("text"), c) for c in columns}).sort_by("i").combine_chunks()
             get = lambda c: t.column(c).to_numpy()
             data, off = bytes_of(t)
             kind, extra = data.copy(), np.zeros((3, len(t)))
@@ -328,15 +331,15 @@ def score(docs: DataFrame, mod: int = 7, rest: int = 2, most: int = MOST, classe
                         yield done()
                     now, texts, found = blocks[s], [], []
                 part = batch.slice(s, e - s)
-                is_text = pc.is_valid(part.column("n_tokens"))
+                is_text = pc.is_valid(part.column("text"))
                 texts.append(part.filter(is_text))
                 found.append(part.filter(pc.and_(pc.invert(is_text), pc.is_valid(part.column("n")))))
         if texts:
             yield done()
 
-    emitted = own.transform(arrow_map, emit, "block bigint, word string, data binary, i bigint, doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base double, emission double")
+    emitted = own.transform(arrow_map, emit, "block bigint, word string, data binary, text struct<i:bigint,doc_id:bigint,held_out:boolean,n_tokens:bigint,n_known:bigint,base:double,emission:double>")
     named = others.select(F.col("word").alias("w"), "n", "class")
-    joined = emitted.join(named, F.col("word") == F.col("w"), "left").where("n is not null or n_tokens is not null").drop("word", "w")
+    joined = emitted.join(named, F.col("word") == F.col("w"), "left").where("n is not null or text is not null").drop("word", "w")
     sequences = materialize(joined.repartition("block").sortWithinPartitions("block").transform(arrow_map, gather, SEQUENCES), "sequences")
     release(others)
 
