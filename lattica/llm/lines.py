@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from lattica.llm.buckets import PAIRS, arrays, dealt, meet
-from lattica.llm.common import arrow_map, buffers, checked_broadcast, materialize, mix, normalized, release, sliced, unused, words
+from lattica.llm.common import arrow_map, buffers, checked_broadcast, drop_shuffles, materialize, mix, normalized, release, sliced, unused, words
 from lattica.llm.components import connected_components, spanning_edges
 
 #: Bits of a fingerprint. Of the first COMPARED bits of two lines that are compared, MAX_DISTANCE differ at most.
@@ -528,6 +528,7 @@ def removed_lines(docs: DataFrame, max_distance: int = MAX_DISTANCE, min_similar
     lines = materialize(line_table(docs), "lines")
     first = F.min(F.struct("doc_id", "row_key", "line")).alias("first")
     reps = materialize(lines.groupBy("h1", "h2").agg(first, F.min("sketch").alias("sketch"), F.count("*").alias("copies")).select(F.col("h1").alias("id"), "h2", "sketch", "first", "copies"), "reps")
+    drop_shuffles(docs.sparkSession)
     found = groups(reps, docs, max_distance, min_similarity).withColumnRenamed("h2", "other")
     # what goes: all but the first occurrence of a line, and the first ones of those that have a like one before them
     member = materialize(reps.join(checked_broadcast(found), (F.col("id") == F.col("node")) & (F.col("h2") == F.col("other"))).select("root", "first"), "members")
