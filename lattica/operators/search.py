@@ -214,7 +214,7 @@ def merge_indexes(*indexes: DataFrame, min_count: int = 1) -> DataFrame:
 
 def bloom_build(rows: DataFrame, column: str, expected: int, error: float = 0.01) -> DataFrame:
     """A Bloom filter of a column as rows (word, bits) of a bit array, built by bit_or in the aggregation: its size is set by
-    `expected` and `error`, not by the data."""
+    `expected` and `error`, not by the data. With more keys than `expected` it passes more than `error` of the others."""
     words, hashes = bloom_shape(expected, error)
     bits = rows.select(F.explode(F.array(*bloom_bits(F.col(column), words, hashes))).alias("bit"))
     return bits.groupBy(F.shiftrightunsigned("bit", 6).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("bit").bitwiseAND(63).cast("int"))).alias("bits"))
@@ -232,15 +232,27 @@ def bloom_bits(c: Column, words: int, hashes: int) -> list[Column]:
     return [F.pmod(F.xxhash64(c.cast("string"), F.lit(i)), F.lit(words * 64).cast("bigint")) for i in range(hashes)]
 
 
+#: Words of the largest filter that is broadcast (8 MB, some 7 million keys at an error of 0.01).
+BROADCAST_WORDS = 1 << 20
+
+
 def _in_bloom(rows: DataFrame, column: str, bloom: DataFrame, expected: int, error: float) -> DataFrame:
-    """rows with `__in`. The filter, whose size its shape bounds, is broadcast as one array of words, each at its place."""
+    """rows with `__in`. A filter of BROADCAST_WORDS at most is broadcast as one array of words, each at its place; of a larger one,
+    the different values look up their words by joins that shuffle."""
     words, hashes = bloom_shape(expected, error)
+    one = F.lit(1).cast("bigint")
+    if words > BROADCAST_WORDS:
+        keys = rows.select(F.col(column).alias("__key")).where("__key is not null").distinct()
+        bits = keys.select("__key", F.explode(F.array(*bloom_bits(F.col("__key"), words, hashes))).alias("bit"))
+        found = bits.join(bloom, F.shiftrightunsigned("bit", 6) == F.col("word")).where(F.call_function("shiftright", F.col("bits"), F.col("bit").bitwiseAND(63).cast("int")).bitwiseAND(one) == 1)
+        passed = found.groupBy("__key").agg(F.count("*").alias("__set")).where(F.col("__set") == hashes).select("__key", F.lit(True).alias("__hit"))
+        return rows.join(passed, F.col(column) == F.col("__key"), "left").withColumn("__in", F.coalesce("__hit", F.lit(False))).drop("__key", "__hit")
     every = rows.sparkSession.range(words).join(bloom, F.col("id") == F.col("word"), "left")
     whole = every.agg(F.array_sort(F.collect_list(F.struct("id", F.coalesce("bits", F.lit(0).cast("bigint")).alias("bits")))).alias("w")).select(F.col("w.bits").alias("__bloom"))
     test = F.col(column).isNotNull()
     for bit in bloom_bits(F.col(column), words, hashes):
         word = F.get("__bloom", F.shiftrightunsigned(bit, 6).cast("int"))
-        test = test & (F.call_function("shiftright", word, bit.bitwiseAND(63).cast("int")).bitwiseAND(F.lit(1).cast("bigint")) == 1)
+        test = test & (F.call_function("shiftright", word, bit.bitwiseAND(63).cast("int")).bitwiseAND(one) == 1)
     return rows.join(F.broadcast(whole)).withColumn("__in", test).drop("__bloom")
 
 

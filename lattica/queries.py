@@ -235,8 +235,8 @@ def merge_index_min_count(spark, sf_dir):
 def bloom_check(spark, sf_dir):
     """How many orders of members a Bloom filter passes (all of them), and whether it passes at most 3 % of the others."""
     keys = read(spark, sf_dir, "customer").where("c_acctbal > 8000").select("c_custkey")
-    orders = read(spark, sf_dir, "orders")
-    passed = search.bloom_check(orders, "o_custkey", search.bloom_build(keys, "c_custkey", 20_000, 0.01), 20_000, 0.01)
+    orders, expected = read(spark, sf_dir, "orders"), max(20_000, keys.count())
+    passed = search.bloom_check(orders, "o_custkey", search.bloom_build(keys, "c_custkey", expected, 0.01), expected, 0.01)
     of = lambda rows: rows.join(keys.withColumn("m", F.lit(True)), F.col("o_custkey") == F.col("c_custkey"), "left").agg(F.count("m").alias("members"), F.count_if(F.col("m").isNull()).alias("others"))
     got, every = of(passed), of(orders).select(F.col("others").alias("all_others"))
     return got.join(F.broadcast(every)).select("members", (F.col("others") <= 0.03 * F.col("all_others")).alias("few_others"))  # a row each

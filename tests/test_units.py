@@ -6,6 +6,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
+from lattica import queries
 from lattica.functions import fuzzy, maps, pattern, regexes, sequences, strings, text, time
 from lattica.functions import math as numbers
 from lattica.operators import aggregate, geo, graph, search, sets, store
@@ -344,3 +345,21 @@ def test_clauses_reach_the_scan(spark):
         rows = spark.createDataFrame([(1, "x", 3, 2.5, True, [3, 4]), (2, "y", 7, 7.0, False, None), (3, None, None, None, None, [])], "k int, s string, n bigint, d double, b boolean, a array<int>")
         wide, slots = model.Frames((model.Source(rows, "k"),)), ["s", "n", "d", "b", "a"]
         assert sorted(r.oid for r in search.find_frames(wide, (slots, values)).collect()) == sorted(r.oid for r in search.find_frames(model.to_facts(rows, "k"), (slots, values)).collect())
+
+
+def test_bloom_of_many_keys(spark, tmp_path):
+    """More members than the 20,000 that the filter was once made for."""
+    spark.range(300_000).select(F.col("id").alias("c_custkey"), F.when(F.col("id") % 2 == 0, 9000.0).otherwise(0.0).alias("c_acctbal")).write.parquet(f"{tmp_path}/customer.parquet")
+    spark.range(300_000).select(F.col("id").alias("o_custkey")).write.parquet(f"{tmp_path}/orders.parquet")
+    assert queries.QUERIES["bloom_check"](spark, str(tmp_path)).collect() == [(150_000, True)]
+
+
+def test_bloom_too_large_to_broadcast(spark, monkeypatch):
+    keys = spark.range(0, 3000, 3).select(F.col("id").alias("k"))
+    rows = spark.range(3000).select(F.when(F.col("id") != 5, F.col("id")).alias("k"), (F.col("id") % 3).alias("m")).union(spark.range(2).select("id", F.lit(9)))
+    bloom = search.bloom_build(keys, "k", 1000)
+    look = lambda: (sorted(search.bloom_check(rows, "k", bloom, 1000).collect()), sorted(search.bloom_hits(rows, "k", bloom, ["m"], 1000).collect()))
+    whole = look()
+    assert {r.k for r in keys.collect()} <= {r.k for r in whole[0]} and len(whole[0]) < 1050
+    monkeypatch.setattr(search, "BROADCAST_WORDS", 10)
+    assert look() == whole
