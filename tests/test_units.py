@@ -363,3 +363,8 @@ def test_bloom_too_large_to_broadcast(spark, monkeypatch):
     assert {r.k for r in keys.collect()} <= {r.k for r in whole[0]} and len(whole[0]) < 1050
     monkeypatch.setattr(search, "BROADCAST_WORDS", 10)
     assert look() == whole
+
+
+def test_bloom_hits_of_many_keys(spark, tmp_path):
+    spark.range(300_000).select(F.col("id").alias("c_custkey"), F.when(F.col("id") % 2 == 0, 9000.0).otherwise(0.0).alias("c_acctbal")).write.parquet(f"{tmp_path}/customer.parquet")
+    assert sorted(queries.QUERIES["bloom_hits"](spark, str(tmp_path)).collect()) == [("in", 150_000, True), ("out", 150_000, True)]
