@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lattica.llm.buckets import arrays, dealt, meet
-from lattica.llm.common import arrow_map, checked_broadcast, majority, materialize, release, sliced, unused
+from lattica.llm.common import arrow_map, checked_broadcast, drop_shuffles, majority, materialize, release, sliced, unused
 from lattica.llm.components import spanning_edges
 from lattica.llm.settle import settle
 from lattica.llm.simhash import links, shingles, with_classes
@@ -21,6 +21,8 @@ from lattica.llm.simhash import links, shingles, with_classes
 #: Any order gives the same pairs; this one keeps passages that many texts have out of the prefixes of these.
 SAMPLE, MIN_COUNT, MAX_COMMON = 20_000, 4, 100_000
 EPSILON = 1e-9
+#: Words of 64 bits of the longest bitmap of a set, and pairs whose bitmaps are compared together.
+BITMAP_WORDS, COMPARED = 64, 10_000
 
 
 def _sets(texts: pa.Array, shingle: int, common: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -49,17 +51,48 @@ def _sets_of(hashes: np.ndarray, first: np.ndarray, common: np.ndarray, times: n
     return hashes, begin, names
 
 
+def bitmaps(hashes: np.ndarray, begin: np.ndarray) -> pa.BinaryArray:
+    """The bitmap of each set: bit h mod K is 1 if an odd number of its hashes h have it, where K is a power of two from the size of
+    the set on (64 at least, 64 * BITMAP_WORDS at most). Of two sets, as many elements are in one alone as their bitmaps differ in bits, or
+    more; in bitmaps of sets that share little, some half of the bits differ."""
+    size = np.diff(begin)
+    bits = np.int64(1) << np.clip(np.ceil(np.log2(np.maximum(size, 1))).astype(np.int64), 6, BITMAP_WORDS.bit_length() + 5)
+    off = np.r_[0, np.cumsum(bits)]
+    odd = np.bincount(np.repeat(off[:-1], size) + (hashes & np.repeat(bits - 1, size)), minlength=off[-1]) & 1
+    data = np.packbits(odd.astype(np.uint8), bitorder="little")
+    return pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer((off // 8).astype(np.int32)), pa.py_buffer(data)])
+
+
+def differing(bits: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """In how many bits the bitmaps (bytes) of the pairs x, y differ; the longer one is folded to the length of the other."""
+    out = np.empty(len(x), np.int64)
+    for s in range(0, len(x), COMPARED):
+        rows, at = np.unique(np.r_[x[s : s + COMPARED], y[s : s + COMPARED]], return_inverse=True)
+        own = bits[rows]
+        words = np.array([len(b) // 8 for b in own], np.int64)
+        table = np.frombuffer(b"".join(b.ljust(8 * int(words.max()), b"\0") for b in own), np.uint64).reshape(len(own), -1)
+        p, q = at[: len(at) // 2], at[len(at) // 2 :]
+        least, got = np.minimum(words[p], words[q]), np.empty(len(p), np.int64)
+        for w in np.unique(least).tolist():
+            pairs = np.flatnonzero(least == w)
+            folded = np.bitwise_xor.reduce((table[p[pairs]] ^ table[q[pairs]]).reshape(len(pairs), -1, w), axis=1)
+            got[pairs] = np.bitwise_count(folded).sum(axis=1)
+        out[s : s + COMPARED] = got
+    return out
+
+
 def with_sets(docs: DataFrame, shingle: int) -> DataFrame:
-    """doc_id, node (a hash of the set of shingles), n (how many) and fp (their SimHash, with repeats) of each row of docs."""
+    """doc_id, node (a hash of the set of shingles), n (how many), fp (their SimHash, with repeats) and bitmap of each row of docs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         none = np.zeros(0, np.int64)
         for b in sliced(batches, "text"):
             hashes, first = shingles(b.column("text"), shingle, 42)
-            _, begin, names = _sets_of(hashes, first, none, none)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(names), pa.array(np.diff(begin).astype(np.int32)), pa.array(majority(hashes, first).view(np.int64))], ["doc_id", "node", "n", "fp"])
+            own, begin, names = _sets_of(hashes, first, none, none)
+            columns = [b.column("doc_id"), pa.array(names), pa.array(np.diff(begin).astype(np.int32)), pa.array(majority(hashes, first).view(np.int64)), bitmaps(own, begin)]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "node", "n", "fp", "bits"])
 
-    return docs.transform(arrow_map, run, "doc_id bigint, node bigint, n int, fp bigint")
+    return docs.transform(arrow_map, run, "doc_id bigint, node bigint, n int, fp bigint, bits binary")
 
 
 def _elements(docs: DataFrame, reps: DataFrame, shingle: int, common: np.ndarray, times: np.ndarray, min_similarity: float | None) -> DataFrame:
@@ -110,9 +143,9 @@ def _common(docs: DataFrame, reps: DataFrame, shingle: int) -> tuple[np.ndarray,
 
 
 def _links(shared: DataFrame, nodes: DataFrame, min_similarity: float, forest: bool) -> DataFrame:
-    """Links (a, b) between sets of different labels (nodes: id, label) that share a shingle of their prefixes and that sizes and
-    places let be alike: a forest of them, or all."""
-    columns = ["id", "n", "place", "label"]
+    """Links (a, b) between sets of different labels (nodes: id, label) that share a shingle of their prefixes and that sizes,
+    places and bitmaps let be alike: a forest of them, or all."""
+    columns = ["id", "n", "place", "label", "bits"]
     rows = shared.join(checked_broadcast(nodes.select(F.col("id").alias("own"), "label")), F.col("id") == F.col("own")).drop("own")
     rows = rows.select(F.col("token").alias("bucket"), F.lit(False).alias("probe"), *columns)
 
@@ -122,6 +155,9 @@ def _links(shared: DataFrame, nodes: DataFrame, min_similarity: float, forest: b
         hit = np.minimum(left[x], left[y]) >= min_similarity / (1 + min_similarity) * (n[x] + n[y]) - EPSILON
         hit &= np.minimum(n[x], n[y]) >= min_similarity * np.maximum(n[x], n[y]) - EPSILON
         hit &= columns[3][x] != columns[3][y]
+        x, y = x[hit], y[hit]
+        # alike sets have at most this part of their elements alone
+        hit = differing(columns[4], x, y) <= (1 - min_similarity) / (1 + min_similarity) * (n[x] + n[y]) + EPSILON
         a, b = ident[x[hit]], ident[y[hit]]
         if forest:
             return list(spanning_edges(a, b))
@@ -129,7 +165,7 @@ def _links(shared: DataFrame, nodes: DataFrame, min_similarity: float, forest: b
         return [pairs[0], pairs[1]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for a, b in meet(arrays(batches), found, spanning_edges if forest else None):
+        for a, b in meet(arrays(batches), found, spanning_edges if forest else None, weigh=lambda rows: sum(map(len, rows[-1]))):
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
     return dealt(rows, columns, shared.count()).transform(arrow_map, run, "a bigint, b bigint")
@@ -162,15 +198,18 @@ def _near_fingerprints(reps: DataFrame, max_distance: int) -> DataFrame:
 def drop_similar(docs: DataFrame, max_distance: int = 7, shingle: int = 5, min_similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the rows that are near copies of one with a lesser doc_id; all columns stay. Near copies are linked: their sets
     of shingles have a Jaccard similarity of at least min_similarity. Sets whose fingerprints differ in at most max_distance bits are
-    found by multi-index hashing; prefix filtering then finds all links that are left between what these connect. Each different set
-    is one node, so that copies make no pairs. Rows without doc_id stay and link nothing, rows that repeat a doc_id count as one document."""
+    found by multi-index hashing; prefix filtering then finds all links that are left between what these connect, and bitmaps drop most
+    pairs that only share a passage before any sets are joined. Each different set is one node, so that copies make no pairs. Rows without doc_id stay and link nothing, rows that repeat a doc_id count as one document."""
     own = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     sets = materialize(with_sets(own, shingle), "sets")
-    reps = materialize(sets.groupBy(F.col("node").alias("id")).agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.min("fp").alias("fp"), F.count("*").alias("copies")), "reps")
+    reps = materialize(sets.groupBy(F.col("node").alias("id")).agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.min("fp").alias("fp"), F.count("*").alias("copies"), F.first("bits").alias("bits")), "reps")
     known = reps.where("least is not null and n > 0").select("id", "least", "n", "fp")
     common, times = _common(own, known, shingle)
     prefixes = _elements(own, known, shingle, common, times, min_similarity)
-    shared = materialize(prefixes.repartition("token").sortWithinPartitions("token").transform(arrow_map, _shared, prefixes.schema), "shared")
+    drop_shuffles(docs.sparkSession)
+    met = materialize(prefixes.repartition("token").sortWithinPartitions("token").transform(arrow_map, _shared, prefixes.schema), "met")
+    drop_shuffles(docs.sparkSession)
+    shared = materialize(met.join(reps.select("id", "bits"), "id").select(*prefixes.columns, "bits"), "shared")
 
     def search(nodes: DataFrame, forest: bool) -> DataFrame:
         return _links(shared, nodes, min_similarity, forest)
@@ -189,6 +228,6 @@ def drop_similar(docs: DataFrame, max_distance: int = 7, shingle: int = 5, min_s
     found = with_classes(sets.select("doc_id", "node"), materialize(classes, "classes"), "node").where("component_id < doc_id")
     name = unused(docs, "gone")
     gone = materialize(found.select(F.col("doc_id").alias(name)).distinct(), "gone")
-    for done in (sets, reps, shared, parts):
+    for done in (sets, reps, met, shared, parts):
         release(done)
     return docs.join(checked_broadcast(gone), F.col(id_col).cast("bigint") == F.col(name), "left_anti")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.common import checked_broadcast, materialize
+from lattica.llm.common import checked_broadcast, drop_shuffles, materialize
 from lattica.llm.components import connected_components
 
 
@@ -24,10 +24,12 @@ def settle(nodes: DataFrame, search: Callable[[DataFrame, bool], DataFrame], ver
     likely = materialize(likely.where("a <> b").distinct(), "likely")
     known = materialize(verify(likely, likely.select(F.explode(F.array("a", "b")).alias("id")).distinct()).where("ok").select("a", "b"), "known")
     labels = materialize(connected_components(known).select(F.col("node").alias("n"), F.col("root").alias("label")), "labels")
+    drop_shuffles(nodes.sparkSession)
     labelled = nodes.join(checked_broadcast(labels), F.col("id") == F.col("n"), "left").drop("n").withColumn("label", F.coalesce("label", "id"))
     found = materialize(search(labelled, True).distinct(), "candidates")
     rough = materialize(connected_components(found.union(known)), "rough")
     checked = materialize(verify(found, found.select(F.explode(F.array("a", "b")).alias("id")).distinct()), "checked")
+    drop_shuffles(nodes.sparkSession)
     good = checked.where("ok").select("a", "b").union(known)
     failed = checked.where("not ok").select(F.explode(F.array("a", "b")).alias("bad")).join(rough, F.col("bad") == F.col("node")).select(F.col("root").alias("open_root")).distinct()
     failed = materialize(failed, "open")

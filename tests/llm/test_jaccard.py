@@ -5,6 +5,7 @@ import random
 import sys
 from itertools import combinations
 
+import numpy as np
 import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -77,3 +78,36 @@ def test_equal_fingerprints(spark):
     texts = ["spam " * 200 + " ".join(word() for _ in range(60)) for _ in range(12)]
     assert len({fingerprint(t, 5) for t in texts}) == 1 and kept(texts)[1] == []
     assert near_dedup(spark, [*texts, *texts]) == list(range(12))
+
+
+def test_bitmaps_bound_what_differs():
+    rng = np.random.default_rng(13)
+    pool = rng.integers(-(2**63), 2**63, 30_000, dtype=np.int64)
+    sets = [rng.choice(pool[:many], size, replace=False) for many, size in [(70, 60), (70, 66), (500, 400), (500, 480), (6000, 5000), (6000, 5900), (30_000, 9000), (30_000, 200), (1, 1)]]
+    bits = jaccard.bitmaps(np.concatenate(sets), np.r_[0, np.cumsum([len(x) for x in sets])]).to_numpy(zero_copy_only=False)
+    x, y = np.array(list(combinations(range(len(sets)), 2))).T
+    got = jaccard.differing(bits, x, y).tolist()
+    assert all(d <= len(np.setxor1d(sets[i], sets[j])) for d, i, j in zip(got, x, y))
+    assert jaccard.differing(bits, x, x).tolist() == [0] * len(x)
+    one = jaccard.bitmaps(np.r_[sets[4], sets[4][3:], pool[-3:]], np.array([0, 5000, 10_000])).to_numpy(zero_copy_only=False)
+    assert 0 < jaccard.differing(one, np.array([0]), np.array([1]))[0] <= 6
+
+
+def test_shared_passages_are_no_candidates(spark, monkeypatch):
+    """Texts that only share a passage are told apart before their sets are joined."""
+    rng = random.Random(14)
+    words = lambda n: ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n)]
+    texts = []
+    for _ in range(30):
+        passage = words(40)
+        texts += [" ".join(words(100) + passage + words(200)) for _ in range(2)]
+    texts.append(texts[0] + " end")
+    found, settle = [], jaccard.settle
+
+    def spy(nodes, search, verify, likely):
+        found.append(search(nodes.withColumn("label", nodes.id), False).count())
+        return settle(nodes, search, verify, likely)
+
+    monkeypatch.setattr(jaccard, "settle", spy)
+    assert near_dedup(spark, texts) == list(range(60))
+    assert found == [1]
