@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -37,6 +38,8 @@ PART, CHUNK = 500_000, 50_000
 FULL = 4096
 #: Text that is split into lines at once.
 LINE_BYTES = 1 << 19
+#: Tables that are looked up in a pass, and lines up to which there is one pass over all. The entries of a pass are gone before the next.
+PASS_TABLES, ONE_PASS = 5, 100_000
 #: Different lines with copies, or rows with lines that are wanted, up to which these are broadcast (some 32 MB).
 MAX_COPIED = 500_000
 #: Bits of the filter that tells which lines' texts are wanted: 2 MB, whatever the input.
@@ -165,12 +168,13 @@ def line_table(docs: DataFrame) -> DataFrame:
     return docs.transform(arrow_map, run, "row_key bigint, doc_id bigint, line int, h1 bigint, h2 bigint, sketch binary")
 
 
-def block_keys(fp: np.ndarray) -> np.ndarray:
-    """The key of each fingerprint (lines x 4 words) in each table: lines x TABLES, the number of the table before BLOCK bits."""
+def block_keys(fp: np.ndarray, tables: range = range(TABLES)) -> np.ndarray:
+    """The key of each fingerprint (lines x 4 words) in each of the tables: lines x tables, the number of the table before BLOCK bits."""
     words = np.ascontiguousarray(fp).view(">u8").astype(np.uint64).T.copy()  # the first bit is the highest
-    out = np.empty((len(fp), TABLES), np.uint32)
+    out = np.empty((len(fp), len(tables)), np.uint32)
     mask, top = np.uint64((1 << BLOCK) - 1), 64 - BLOCK
-    for t, columns in enumerate(COLUMNS):
+    for i, t in enumerate(tables):
+        columns = COLUMNS[t]
         if columns[-1] - columns[0] == BLOCK - 1:  # a run of bits, in one word or two
             w, begin = divmod(columns[0], 64)
             if begin <= top:
@@ -181,7 +185,7 @@ def block_keys(fp: np.ndarray) -> np.ndarray:
             key = np.zeros(len(fp), np.uint64)
             for c in columns:
                 key = key << np.uint64(1) | words[c // 64] >> np.uint64(63 - c % 64) & np.uint64(1)
-        out[:, t] = key | np.uint64(t << BLOCK)
+        out[:, i] = key | np.uint64(t << BLOCK)
     return out
 
 
@@ -244,11 +248,11 @@ def candidates(reps: DataFrame, max_distance: int = MAX_DISTANCE, min_similarity
     first COMPARED bits at most, and have lengths that let them be alike. If `labelled`, the lines that are so linked with one of
     another `label`, as both a and b.
 
-    The entries (key, id, bits, label) go to parts by key, packed: a row holds what a chunk of lines has for a part. Entries of
-    keys that are full are rows of their own, and dealt out in shares."""
+    The entries (key, id, bits, label) of PASS_TABLES at a time go to parts by key, packed: a row holds what a chunk of lines has for
+    a part. Entries of keys that are full are rows of their own, and dealt out in shares."""
     n = reps.count()
     reps = reps.select("id", "sketch", *(["label"] if labelled else []))
-    full, parts, far = full_keys(reps, n), max(1, n * TABLES // PART), _far(min_similarity)
+    full, far = full_keys(reps, n), _far(min_similarity)
     entry = np.dtype([("key", "<u4"), ("id", "<i8"), ("fp", "<u8"), ("more", "<u4"), *([("label", "<i8")] if labelled else [])])
 
     def hits(ident: np.ndarray, fp: np.ndarray, more: np.ndarray, length: np.ndarray, label: np.ndarray | None, x: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
@@ -262,28 +266,33 @@ def candidates(reps: DataFrame, max_distance: int = MAX_DISTANCE, min_similarity
         linked = np.unique(np.r_[ident[x[hit]], ident[y[hit]]])
         return [linked, linked]
 
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ident, sketch, label in _unpacked(batches):
-            key = block_keys(sketch["fp"]).ravel()
-            line = np.repeat(np.arange(len(sketch)), TABLES)
-            if len(full):
-                at = np.flatnonzero(full[np.minimum(np.searchsorted(full, key), len(full) - 1)] != key)
-                key, line = key[at], line[at]
-            part = (mix(key) % np.uint64(parts)).astype(np.int64)
-            order = np.argsort(part, kind="stable")
-            rows = np.empty(len(order), entry)
-            line = line[order]
-            rows["key"], rows["id"], rows["fp"] = key[order] << np.uint32(9) | sketch["length"][line], ident[line], sketch["fp"][line, 0]
-            rows["more"] = sketch["fp"][line, 1].astype(np.uint32)
-            if labelled:
-                rows["label"] = label[line]
-            names, first = np.unique(part[order], return_index=True)
-            cut = np.r_[first, len(order)]
-            for s in range(0, len(names), 1000):
-                e = min(s + 1000, len(names))
-                off = ((cut[s : e + 1] - cut[s]) * entry.itemsize).astype(np.int32)
-                packed = pa.Array.from_buffers(pa.binary(), e - s, [None, pa.py_buffer(off), pa.py_buffer(rows[cut[s] : cut[e]].tobytes())])
-                yield pa.RecordBatch.from_arrays([pa.array(names[s:e]), packed], ["part", "entries"])
+    def entries(tables: range) -> DataFrame:
+        parts = max(1, n * len(tables) // PART)
+
+        def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for ident, sketch, label in _unpacked(batches):
+                key = block_keys(sketch["fp"], tables).ravel()
+                line = np.repeat(np.arange(len(sketch)), len(tables))
+                if len(full):
+                    at = np.flatnonzero(full[np.minimum(np.searchsorted(full, key), len(full) - 1)] != key)
+                    key, line = key[at], line[at]
+                part = (mix(key) % np.uint64(parts)).astype(np.int64)
+                order = np.argsort(part, kind="stable")
+                rows = np.empty(len(order), entry)
+                line = line[order]
+                rows["key"], rows["id"], rows["fp"] = key[order] << np.uint32(9) | sketch["length"][line], ident[line], sketch["fp"][line, 0]
+                rows["more"] = sketch["fp"][line, 1].astype(np.uint32)
+                if labelled:
+                    rows["label"] = label[line]
+                names, first = np.unique(part[order], return_index=True)
+                cut = np.r_[first, len(order)]
+                for s in range(0, len(names), 1000):
+                    e = min(s + 1000, len(names))
+                    off = ((cut[s : e + 1] - cut[s]) * entry.itemsize).astype(np.int32)
+                    packed = pa.Array.from_buffers(pa.binary(), e - s, [None, pa.py_buffer(off), pa.py_buffer(rows[cut[s] : cut[e]].tobytes())])
+                    yield pa.RecordBatch.from_arrays([pa.array(names[s:e]), packed], ["part", "entries"])
+
+        return reps.transform(arrow_map, pack, "part bigint, entries binary")
 
     def compare(rows: np.ndarray) -> list[np.ndarray]:
         rows = rows[np.argsort(rows["key"], kind="stable")]
@@ -303,8 +312,17 @@ def candidates(reps: DataFrame, max_distance: int = MAX_DISTANCE, min_similarity
         if held:
             yield _edges(*compare(np.concatenate(held)))
 
-    packed = reps.transform(arrow_map, pack, "part bigint, entries binary")
-    found = packed.repartition("part").sortWithinPartitions("part").transform(arrow_map, run, "a bigint, b bigint")
+    def links(tables: range) -> DataFrame:
+        return entries(tables).repartition("part").sortWithinPartitions("part").transform(arrow_map, run, "a bigint, b bigint")
+
+    if n <= ONE_PASS:
+        found = links(range(TABLES))
+    else:
+        passes = []
+        for t in range(0, TABLES, PASS_TABLES):
+            passes.append(materialize(links(range(t, min(t + PASS_TABLES, TABLES))), "links"))
+            drop_shuffles(reps.sparkSession)
+        found = reduce(DataFrame.union, passes)
     if not len(full):
         return found
 

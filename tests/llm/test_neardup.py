@@ -332,3 +332,21 @@ def test_leaks_of_tables(spark, monkeypatch):
         got = decontam.leaks(docs, bench).collect()
         assert {r.doc_id: list(r["items"]) for r in got if r.contaminated} == want and len(got) == len(rows)
         assert decontam.drop_contaminated(docs, bench).count() == len(rows) - len(want)
+
+
+def test_line_tables_in_passes(spark, monkeypatch):
+    """The entries of a pass are those of five tables; the passes link what a single one over all tables links."""
+    rng = np.random.default_rng(15)
+    base = rng.integers(0, 2**64, (40, 4), dtype=np.uint64)
+    sketch = np.zeros(400, lines.SKETCH)
+    sketch["fp"] = np.repeat(base, 10, axis=0) ^ (np.uint64(1) << rng.integers(0, 64, (400, 4), dtype=np.uint64))
+    rows = spark.createDataFrame([(i, bytearray(sketch[i].tobytes())) for i in range(400)], "id bigint, sketch binary")
+    keys = lines.block_keys(sketch["fp"])
+    assert (lines.block_keys(sketch["fp"], range(5, 10)) == keys[:, 5:10]).all()
+    linked = lambda: lines.connected_components(lines.candidates(rows))
+    whole = sorted(linked().collect())
+    seen, write = [], lines.materialize
+    monkeypatch.setattr(lines, "materialize", lambda df, label: (seen.append(label), write(df, label))[1])
+    monkeypatch.setattr(lines, "ONE_PASS", 100)
+    assert sorted(linked().collect()) == whole and len({r.root for r in whole}) == 40
+    assert seen.count("links") == 4
