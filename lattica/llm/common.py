@@ -73,6 +73,14 @@ def drop_shuffles(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def free_heaps(spark: SparkSession) -> None:
+    """Has the executors collect their garbage, whereupon G1 gives the free heap back to the system; else a heap stays as large as it
+    ever was, beside the Python workers of what comes next. Two tasks a core reach every executor that is idle; where the JVM has
+    explicit collections disabled, nothing happens."""
+    tasks = 2 * spark.sparkContext.defaultParallelism
+    spark.range(0, tasks, 1, tasks).select(F.reflect(F.lit("java.lang.System"), F.lit("gc"))).collect()
+
+
 def unused(df: DataFrame, name: str) -> str:
     """A name that no column of df has (in any case of letters)."""
     taken = {c.lower() for c in df.columns}

@@ -21,6 +21,8 @@ TEXT_BYTES, CHUNK_BYTES = 4 << 20, 1 << 18
 NEVER = np.int64(1) << 40
 #: Edges of a step of the relaxation up to which they are taken one by one.
 FEW_EDGES = 48
+#: Bytes or ids that gather() copies at once; each takes 24 bytes meanwhile.
+GATHERED = 1 << 17
 
 
 class Model(NamedTuple):
@@ -210,8 +212,9 @@ def relax(model: Model, raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, n
     symbol, the one that is compatible with the last symbol of the place where it starts. Edges are relaxed in order of the place
     at which they end, in all segments at once; these are first cut where no piece crosses. Characters that are no symbol stand for themselves (symbol len(pieces))."""
     other, given = len(model.pieces), off
-    start, which = occurrences(model, raw)
-    length = np.array([len(p) for p in model.pieces] + [0])
+    kind = np.int32 if len(raw) < 1 << 30 else np.int64  # there are several edges a byte
+    start, which = (x.astype(kind) for x in occurrences(model, raw))
+    length = np.array([len(p) for p in model.pieces] + [0], kind)
     # where no piece crosses, nothing is merged, and a segment falls into several
     segment = np.repeat(np.arange(len(off) - 1), np.diff(off))
     inside = np.flatnonzero(length[which] > 1)
@@ -223,24 +226,27 @@ def relax(model: Model, raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, n
     free &= (raw & 0xC0) != 0x80
     off = np.union1d(np.flatnonzero(free), off)
     n, size = len(off) - 1, np.diff(off)
-    segment = np.repeat(np.arange(n), size)
+    segment = np.repeat(np.arange(n, dtype=kind), size)
+    del inside, finish, within, first, end, free
     # a character that is no usable piece is an edge too
-    lead = np.flatnonzero((raw & 0xC0) != 0x80)
+    lead = np.flatnonzero((raw & 0xC0) != 0x80).astype(kind)
     alone = np.ones(len(raw) + 1, bool)
     wide = np.diff(np.r_[lead, len(raw)])
     covered = start[length[which] == wide[np.searchsorted(lead, start)]]
     alone[covered] = False
     bare = lead[alone[lead]]
     where = np.r_[start, bare]
-    which = np.r_[which, np.full(len(bare), other)]
+    which = np.r_[which, np.full(len(bare), other, kind)]
     to = where + np.r_[length[which[: len(start)]], wide[alone[lead]]]
+    del start, lead, alone, wide, covered, bare
     inside = to <= off[segment[where] + 1] if len(where) else np.zeros(0, bool)
     where, which, to = where[inside], which[inside], to[inside]
     seg = segment[where]
-    reach = to - off[seg]
+    reach = (to - off[seg]).astype(kind)
     by = np.argsort(reach, kind="stable")
     where, which, seg, reach = where[by] + seg[by], which[by], seg[by], reach[by]  # a segment has a node more than bytes
     to = to[by] + seg
+    del segment, inside, by
     last = np.full(len(raw) + n, -1, np.int64)
     origin = np.zeros(len(raw) + n, np.int64)
     first = off[:-1] + np.arange(n)
@@ -303,9 +309,19 @@ def segment_of(nodes: np.ndarray, off: np.ndarray) -> np.ndarray:
 
 
 def gather(values: np.ndarray, off: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The slices off[i]:off[i + 1] of values for each i of which, joined, and how long each is."""
-    size = (off[1:] - off[:-1])[which]
-    return values[np.repeat(off[which] - (np.cumsum(size) - size), size) + np.arange(size.sum())], size
+    """The slices off[i]:off[i + 1] of values for each i of which, joined, and how long each is. Only some GATHERED places, or one
+    slice, are worked out at a time: those of all would take many times the memory of the result."""
+    size = np.diff(off)[which]
+    end = np.cumsum(size)
+    out = np.empty(int(end[-1]) if len(end) else 0, values.dtype)
+    i = 0
+    while i < len(which):
+        begin = int(end[i] - size[i])
+        j = max(i + 1, int(np.searchsorted(end, begin + GATHERED, "right")))
+        part, last = size[i:j], int(end[j - 1])
+        out[begin:last] = values[np.repeat(off[which[i:j]] - (end[i:j] - part), part) + np.arange(begin, last)]
+        i = j
+    return out, size
 
 
 def encode(model: Model, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -321,8 +337,11 @@ def encode(model: Model, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     cut[1:-1] = (space[1:] & ~space[:-1]) | alone[1:] | alone[:-1]
     cut[off] = True
     at = np.flatnonzero(cut)
-    words = pa.LargeStringArray.from_buffers(len(at) - 1, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(raw))).dictionary_encode()
-    segment = words.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    del space, alone, cut
+    words = pa.LargeStringArray.from_buffers(len(at) - 1, pa.py_buffer(at.astype(np.int64, copy=False)), pa.py_buffer(np.ascontiguousarray(raw))).dictionary_encode()
+    of_text = np.searchsorted(at, off)  # the first segment of each text
+    del at, raw, marked
+    segment = words.indices.to_numpy(zero_copy_only=False)
     parts, counts = [], []
     for b in sliced(iter([pa.RecordBatch.from_arrays([words.dictionary], ["s"])]), "s", CHUNK_BYTES):
         data, bound = buffers(b.column("s"))
@@ -351,21 +370,25 @@ def encode(model: Model, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
                 out[begin[k] : begin[k] + len(ids)] = ids
             total = np.r_[0, np.cumsum(size)]
             symbols, where = out, total[where]
-        parts.append(symbols)
+        parts.append(symbols.astype(np.int32))
         counts.append(np.diff(where))
-    count = np.concatenate(counts)
-    ids, size = gather(np.concatenate(parts), np.r_[0, np.cumsum(count)], segment)
-    total = np.r_[0, np.cumsum(size)]
-    return ids.astype(np.int32), total[np.searchsorted(at, off)]
+    ids, size = gather(np.concatenate(parts), np.r_[0, np.cumsum(np.concatenate(counts))], segment)
+    return ids, np.r_[0, np.cumsum(size)][of_text]
 
 
 def decode(model: Model, ids: np.ndarray, off: np.ndarray) -> list[str]:
     """Texts of joined ids: without the space that encoding puts first; bytes that are no UTF-8 become U+FFFD."""
     bounds = np.r_[0, np.cumsum([len(t) for t in model.text])]
-    raw, size = gather(np.frombuffer(b"".join(model.text), np.uint8), bounds, ids.astype(np.int64))
-    total = np.r_[0, np.cumsum(size)]
-    data = raw.tobytes()
-    return [data[s:e].removeprefix(b" ").decode("utf-8", "replace") for s, e in zip(total[off[:-1]].tolist(), total[off[1:]].tolist())]
+    text = np.frombuffer(b"".join(model.text), np.uint8)
+    out, i = [], 0
+    while i < len(off) - 1:  # some texts at a time
+        j = max(i + 1, int(np.searchsorted(off, off[i] + GATHERED, "right")) - 1)
+        raw, size = gather(text, bounds, ids[off[i] : off[j]])
+        total = np.r_[0, np.cumsum(size)][off[i : j + 1] - off[i]].tolist()
+        data = raw.tobytes()
+        out += [data[s:e].removeprefix(b" ").decode("utf-8", "replace") for s, e in zip(total[:-1], total[1:])]
+        i = j
+    return out
 
 
 def shared_model(spark: SparkSession, path: str):
